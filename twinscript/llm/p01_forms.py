@@ -92,7 +92,7 @@ def canonical_spellings(strings: DataFrame, budget: int = 0) -> DataFrame:
     buckets = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
 
-    def walk(key, odd_rows: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, odd_rows: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
         for spelling, count in zip(vocabulary.text, vocabulary.n, strict=True):
             trie.add(spelling, int(count))
