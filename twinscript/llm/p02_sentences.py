@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from twinscript.llm._chars import LOOKALIKES
 from twinscript.llm._registry import query
+from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
 # Marks that close a sentence, quotation marks, and closers that stay with the unit.
@@ -249,9 +250,9 @@ def _words(texts: DataFrame) -> DataFrame:
     return cut.select("language", F.regexp_replace("bare", r"\.$", "").alias("word"), F.col("bare").endswith(".").alias("period")).where("word <> ''").groupBy("language", "word", "period").agg(F.count("*").alias("n"))
 
 
-def abbreviations(texts: DataFrame, scanned: DataFrame) -> DataFrame:
+def abbreviations(words: DataFrame, scanned: DataFrame) -> DataFrame:
     """(language, word, can_end): types whose final period doesn't close a sentence."""
-    counts = _words(texts).groupBy("language", "word").agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(F.col("period"), 0).otherwise(F.col("n"))).alias("rest"))
+    counts = words.groupBy("language", "word").agg(F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(F.col("period"), 0).otherwise(F.col("n"))).alias("rest"))
     totals = counts.groupBy("language").agg(F.sum("k").alias("dots"), F.sum(F.col("k") + F.col("rest")).alias("all"))
     c = counts.where((F.col("k") > 0) & ~F.col("word").rlike(r"[\p{N}»”\"]")).join(totals, "language")
     n, k = F.col("k") + F.col("rest"), F.col("k")
@@ -266,11 +267,11 @@ def abbreviations(texts: DataFrame, scanned: DataFrame) -> DataFrame:
     return found.select("language", "word").join(closing, ["language", "word"], "left").select("language", "word", F.coalesce((F.col("final_rate") > 0.01) & (F.col("finals") > 0), F.lit(False)).alias("can_end"))
 
 
-def collocations(scanned: DataFrame, texts: DataFrame) -> DataFrame:
+def collocations(scanned: DataFrame, words: DataFrame) -> DataFrame:
     """(language, word, next): pairs across a period that occur together far more often than apart."""
     pairs = scanned.where("place.kind = 'dot' and place.next <> ''").groupBy("language", F.col("place.word").alias("word"), F.col("place.next").alias("next")).agg(F.count("*").alias("both"))
     first = pairs.groupBy("language", "word").agg(F.sum("both").alias("n_first"))
-    types = _words(texts).groupBy("language", F.col("word").alias("next")).agg(F.sum("n").alias("n_next"))
+    types = words.groupBy("language", F.col("word").alias("next")).agg(F.sum("n").alias("n_next"))
     total = types.groupBy("language").agg(F.sum("n_next").alias("all"))
     joined = pairs.join(first, ["language", "word"]).join(types, ["language", "next"]).join(total, "language")
     k1, n1 = F.col("both"), F.col("n_first")
@@ -279,10 +280,10 @@ def collocations(scanned: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.where((score >= COLLOCATION) & (k1 / n1 > k2 / n2) & (k1 > 1)).select("language", "word", "next")
 
 
-def starters(scanned: DataFrame, texts: DataFrame) -> DataFrame:
+def starters(scanned: DataFrame, words: DataFrame) -> DataFrame:
     """(language, next): words that follow safe boundaries far more often than other words."""
     sure = scanned.where("place.kind = 'sure' and place.next <> ''").groupBy("language", F.col("place.next").alias("next")).agg(F.count("*").alias("k"))
-    types = _words(texts).groupBy("language", F.col("word").alias("next")).agg(F.sum("n").alias("n_next"))
+    types = words.groupBy("language", F.col("word").alias("next")).agg(F.sum("n").alias("n_next"))
     total = types.groupBy("language").agg(F.sum("n_next").alias("all"))
     bounds = sure.groupBy("language").agg(F.sum("k").alias("bounds"))
     joined = sure.join(types, ["language", "next"]).join(total, "language").join(bounds, "language")
@@ -307,26 +308,29 @@ def openings(unmarked: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.where((score >= OPENING) & (F.col("k") > 2) & (F.col("k") / F.col("n_in") >= OPENING_SHARE) & (F.col("k") / F.col("n_in") > 8 * F.col("m") / F.col("n_out"))).select("language", "phrase")
 
 
-def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """(paragraph_id, end_offset) of paragraphs(id, language, text); statistics from learn_from, else from the same rows."""
+def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None, within: bool = False) -> DataFrame:
+    """(paragraph_id, end_offset) of paragraphs(id, language, text); statistics from learn_from, else from the same rows.
+
+    within says that learn_from holds the paragraphs too, so that each text is scanned once.
+    """
     rows = paragraphs.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''").dropDuplicates(["id"])
     base = rows if learn_from is None else learn_from.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''").dropDuplicates(["id"])
-    scan_of = lambda df: df.withColumn("scan", _scan("text"))
-    learnt = scan_of(base).select("id", "language", "text", "scan.marked", "scan.places")
+    scan_of = lambda df: df.withColumn("scan", _scan("text")).select("id", "language", "text", "scan.marked", "scan.places")
+    learnt = cut_lineage(scan_of(base))
     seen = learnt.select("language", F.explode("places").alias("place"))
-    texts = base.select("language", "text")
+    types = cut_lineage(_words(base.select("language", "text")))
     toks = F.transform(_tokens("text"), lambda x: x["token"])
     cased = F.col("text").rlike("[A-Za-z]")
     gram_rows = learnt.select("language", "marked", toks.alias("t"), (~F.regexp_replace("text", r"\s+$", "").contains("\n") & ~cased).alias("single")).select(
         "language", "marked", "single",
         F.concat("t", F.expr("transform(sequence(1, greatest(size(t) - 1, 1)), i -> concat(get(t, i - 1), ' ', coalesce(get(t, i), '')))")).alias("grams"),
     )
-    opening = openings(gram_rows.where("not marked and single"), gram_rows.where("marked"))
-    abbr = abbreviations(texts, seen)
-    colloc = collocations(seen, texts)
-    start = starters(seen, texts)
+    opening = cut_lineage(openings(gram_rows.where("not marked and single"), gram_rows.where("marked")))
+    abbr = abbreviations(types, seen)
+    colloc = collocations(seen, types)
+    start = starters(seen, types)
 
-    scanned = scan_of(rows).select("id", "language", "text", "scan.marked", "scan.places")
+    scanned = learnt if learn_from is None else learnt.join(rows.select("id"), "id", "left_semi") if within else scan_of(rows)
     cand = scanned.select("id", "language", "marked", F.explode("places").alias("p")).select("id", "language", "marked", "p.*")
     sure = cand.where("kind in ('sure', 'final') or (kind = 'line' and not marked)").select("id", F.col("end").alias("end_offset"))
     dots = cand.where("kind = 'dot'")
@@ -365,4 +369,4 @@ def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None) -
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     paragraphs = table(spark, d, "paragraphs", "id", "language", "text")
     split = table(spark, d, "sentences", "paragraph_id").select(F.col("paragraph_id").alias("id")).distinct()
-    return sentence_units(paragraphs.join(split, "id", "left_anti"), paragraphs)
+    return sentence_units(paragraphs.join(split, "id", "left_anti"), paragraphs, within=True)
