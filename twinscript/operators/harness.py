@@ -51,23 +51,22 @@ def run_scores(rows: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("error_rate", F.col("errors") / F.col("total")).withColumn("latency_p95", F.when(F.size("_lat") > 0, F.element_at("_lat", at.cast("int")))).drop("_lat")
 
 
-def ngram_counts(c: Column | str, n: int) -> Column:
-    """Character n-grams of a text without white space, as an array."""
-    bare = F.regexp_replace(c if isinstance(c, Column) else F.col(c), t.SPACE + "+", "")
-    return F.when(F.length(bare) >= n, F.transform(F.sequence(F.lit(1), F.length(bare) - n + 1), lambda i: F.substring(bare, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def ngrams(rows: DataFrame, side: str, order: int) -> DataFrame:
+    """rows with n and g, one row for each character n-gram of a side without white space.
+
+    The places are exploded first, so that the bare text is made once for each row; n-grams go on as hashes.
+    """
+    at = rows.withColumn("_t", F.regexp_replace(side, t.SPACE + "+", "")).where("_t <> ''").withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_t"))))
+    at = at.withColumn("_w", F.substring(F.col("_t"), F.col("_i"), F.lit(order))).drop("_t", "_i")
+    grams = F.array(*(F.when(F.length("_w") >= n, F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring("_w", 1, n)).alias("g"))) for n in range(1, order + 1)))
+    return at.withColumn("_g", F.explode(grams)).where("_g is not null").withColumn("n", F.col("_g.n")).withColumn("g", F.col("_g.g")).drop("_w", "_g")
 
 
 def chrf(pairs: DataFrame, *by: str, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Corpus chrF of pairs(id, hyp, ref) per group: counts are summed over the corpus, then precision and recall averaged over orders."""
     kept = pairs.where("trim(hyp) <> '' and trim(ref) <> ''").select("id", *by, "hyp", "ref")
-
-    def tagged(side: str, n: int) -> Column:
-        return F.transform(ngram_counts(side, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-
-    grams = lambda side: F.explode(F.flatten(F.array(*(tagged(side, n) for n in range(1, order + 1)))))
-    h = kept.select("id", *by, grams("hyp").alias("x"), F.lit(1).alias("h"), F.lit(0).alias("r"))
-    r = kept.select("id", *by, grams("ref").alias("x"), F.lit(0).alias("h"), F.lit(1).alias("r"))
-    counted = h.unionByName(r).select("id", *by, "x.n", "x.g", "h", "r").groupBy("id", *by, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    sides = [ngrams(kept.select("id", *by, side), side, order).select("id", *by, "n", "g", F.lit(int(side == "hyp")).alias("h"), F.lit(int(side == "ref")).alias("r")) for side in ("hyp", "ref")]
+    counted = sides[0].unionByName(sides[1]).groupBy("id", *by, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
     per = counted.groupBy(*by, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 and r > 0")
     mean = per.groupBy(*by).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("rec"))
     b = beta * beta

@@ -172,19 +172,19 @@ def manifest_textless(spark: SparkSession, d: str) -> DataFrame:
 def inject_counts(spark: SparkSession, d: str) -> DataFrame:
     """How often each injector applies to the reference translations."""
     rows = table(spark, d, "eval_items", "id", "reference_english")
-    return rows.select("id", F.explode(inject.injections("reference_english")).alias("x")).groupBy("x.injector", "x.taxonomy", "x.severity").agg(F.count("*").alias("n"))
+    return inject.inject(rows, "reference_english").groupBy("x.injector", "x.taxonomy", "x.severity").agg(F.count("*").alias("n"))
 
 
 @register("inject_variants")
 def inject_variants(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents", "doc_id", "text")
-    return rows.select("doc_id", F.explode(inject.injections("text")).alias("x")).select("doc_id", "x.injector", "x.corrupted")
+    return inject.inject(rows.where("text is not null"), "text").select("doc_id", "x.injector", "x.corrupted")
 
 
 @register("detection_summary")
 def detection_summary(spark: SparkSession, d: str) -> DataFrame:
     """Share of corruptions that lower a score; the score here is the overlap of words with the source's reference."""
-    rows = table(spark, d, "eval_items", "id", "reference_english").select("id", F.col("reference_english").alias("clean"), F.explode(inject.injections("reference_english")).alias("x"))
+    rows = inject.inject(table(spark, d, "eval_items", "id", "reference_english").withColumnRenamed("reference_english", "clean"), "clean")
     bag = lambda c: F.array_distinct(t.words(F.lower(c)))
     score = F.size(F.array_intersect(bag(F.col("clean")), bag(F.col("x.corrupted")))) / F.greatest(F.size(bag(F.col("clean"))), F.size(bag(F.col("x.corrupted"))), F.lit(1))
     delta = (1 - score).alias("delta")
