@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,18 @@ def words_of(text: str, drop: dict = _TABLE) -> list[str]:
     return _WORDS.findall(unicodedata.normalize("NFKD", text).translate(drop).lower())
 
 
-def _is_arabic(word: str) -> bool:
-    return "؀" <= word[0] <= "ۿ"
+_ARABIC = re.compile("[\u0620-\u064a\u0660-\u0669\u066e-\u06d3]+")
+_OTHER = re.compile("[^\\W_\u0600-\u06ff]+")
+
+
+def streams_of(text: str) -> list[list[str]]:
+    """The words of a text, Arabic and other ones apart if there are both."""
+    if text.isascii():
+        return [words_of(text)]
+    if "-" in text and "\n" in text:
+        text = _BROKEN.sub("-", text)
+    folded = unicodedata.normalize("NFKD", text).translate(_TABLE).lower()
+    return [x for x in (_ARABIC.findall(folded), _OTHER.findall(folded)) if x]
 
 
 class Index:
@@ -156,11 +167,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
                     if not isinstance(text, str) or not text:
                         continue
-                    words = words_of(text)
-                    arabic = [w for w in words if _is_arabic(w)]
-                    streams = [words] if not arabic or len(arabic) == len(words) else [arabic, [w for w in words if not _is_arabic(w)]]
-                    for stream in streams:
-                        ids = np.fromiter((get(w, 0) for w in stream), np.int64, len(stream))
+                    for stream in streams_of(text):
+                        ids = np.fromiter(map(get, stream, repeat(0)), np.int64, len(stream))
                         if hits := ix.hits(ids):
                             found += [(doc, ix.sides[s][0], n, n / len(ix.sides[s][1])) for s, n, _, _ in ix.verify(ids, hits)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "words", "share"])
