@@ -40,15 +40,16 @@ _LINK = re.compile(r"(?:https?:)?//[^\s'\"<>)]+|www\.[^\s'\"<>)]+|\b[a-z0-9-]{3,
 _TAG = re.compile(r"#\w+|[$€£]\s?\d[\d.,]*|\b[A-Z]{2,}\d{2,}\b")
 _MARKUP = re.compile(r"<[^>]*>")
 _JOINED = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_WORD = re.compile(r"[^\W\d_]+")
-_NUMBERED = re.compile(r"\w*\d\w*")
+_WORD = re.compile(r"[^\W_]+")
+_DOTTED = re.compile(r"\.[a-z]{3}")
+_ARABIC = re.compile("[\u0620-\u064a\u066e-\u06d3]+")
 _DROP = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640}
 
 
 def page(text: str) -> tuple[str, list[str], int, int]:
     """(script, words, links, tags) of one text."""
     links = tags = 0
-    if "." in text or "/" in text:
+    if "//" in text or "www." in text or _DOTTED.search(text):
         text, links = _LINK.subn(" ", text)
     if "<" in text:
         text = _MARKUP.sub(" ", text)
@@ -56,10 +57,10 @@ def page(text: str) -> tuple[str, list[str], int, int]:
         tags = len(_TAG.findall(text))
         text = _JOINED.sub(" ", text)
     if text.isascii():
-        words = _WORD.findall(_NUMBERED.sub(" ", text).lower())
-        return "latin", words, links, tags
-    words = _WORD.findall(_NUMBERED.sub(" ", unicodedata.normalize("NFC", text).translate(_DROP)).lower())
-    arabic = sum("؀" <= w[0] <= "ۿ" for w in words)
+        return "latin", list(filter(str.isalpha, _WORD.findall(text.lower()))), links, tags
+    folded = unicodedata.normalize("NFC", text).translate(_DROP).lower()
+    words = list(filter(str.isalpha, _WORD.findall(folded)))
+    arabic = len(_ARABIC.findall(folded))
     script = "arabic" if arabic > 0.75 * len(words) else "latin" if arabic < 0.25 * len(words) else "mixed"
     return script, words, links, tags
 
@@ -108,7 +109,7 @@ def page_features(documents: DataFrame, heads: dict[str, frozenset[str]]) -> Dat
                 script, words, links, tags = page(text)
                 mine = known.get(script, frozenset())
                 curve = Counter(Counter(zip(words, words[1:], strict=False)).values())
-                rows.append((doc, script, len(words), links, tags, sum(w in mine for w in words), [{"frequency": f, "pairs": m} for f, m in curve.items()]))
+                rows.append((doc, script, len(words), links, tags, sum(map(mine.__contains__, words)), [{"frequency": f, "pairs": m} for f, m in curve.items()]))
             yield pd.DataFrame(rows, columns=["doc_id", "script", "words", "links", "tags", "head", "curve"])
 
     schema = "doc_id bigint, script string, words int, links int, tags int, head int, curve array<struct<frequency int, pairs int>>"
