@@ -125,23 +125,25 @@ class Index:
                     cluster.append(place)
                     continue
                 agree = np.zeros(len(item), bool)
+                lines: list[tuple[int, np.ndarray]] = []
+                bound = 0
                 for diagonal in {p - q for p, q in cluster}:
                     low, high = max(0, -diagonal), min(len(item), len(ids) - diagonal)
                     same = np.zeros(len(item), bool)
-                    same[low:high] = item[low:high] == ids[low + diagonal : high + diagonal]
+                    np.equal(item[low:high], ids[low + diagonal : high + diagonal], out=same[low:high])
+                    lines.append((diagonal, same))
+                    bound += np.count_nonzero(same)
+                if bound < least:  # all words that agree on any diagonal are too few
+                    cluster = [place] if place is not None else []
+                    continue
+                for diagonal, same in lines:
                     near = np.convolve(same, np.ones(5, int), "same") >= 3
-                    # only what hangs together with a hit of this diagonal
-                    joined = same & near
-                    reach = np.zeros(len(item), bool)
-                    for p, q in cluster:
-                        if p - q == diagonal:
-                            a, b = q, q + N
-                            while a > 0 and joined[max(0, a - 3) : a].any():
-                                a -= 1
-                            while b < len(item) and joined[b : b + 3].any():
-                                b += 1
-                            reach[a:b] = True
-                    agree |= joined & reach
+                    # only what hangs together with a hit of this diagonal: gaps of up to two changed words
+                    at = np.flatnonzero(same & near)
+                    if len(at):
+                        part = np.cumsum(np.diff(at, prepend=at[0]) > 3)
+                        held = np.unique(part[np.isin(at, [q for p, q in cluster if p - q == diagonal])])
+                        agree[at[np.isin(part, held)]] = True
                 n = int((agree & own).sum())
                 if n >= least:
                     yield s, n, cluster[0][0], cluster[-1][0] + N
