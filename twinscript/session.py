@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +26,37 @@ def session(cores: int | str = "*", app: str = "twinscript", **conf: str) -> Spa
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder named in spark.checkpoint.dir; only where it is unset (tests) a temporary one is used."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinscript-ckpt-"))
-    return df.checkpoint(eager=True)
+    """df as a table written to the folder named in spark.checkpoint.dir and read again; any executor may be lost after that.
+
+    A written table is columnar and compressed, unlike a checkpoint. Only where the setting is missing (tests) a
+    temporary folder is used. The tables of this process are removed when it ends.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _temporary()
+    path = f"{base}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+_own: list[str] = []
+
+
+def _temporary() -> str:
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="twinscript-tables-"))
+    return _own[0]
+
+
+@atexit.register
+def _remove() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        for path in _written:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone; the folder's owner cleans up then
+        pass
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
