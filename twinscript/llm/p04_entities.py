@@ -3,8 +3,9 @@
 Titles come in transliteration, in English and in Arabic script. A lexicon learnt from rows that hold two of them
 (aligned word by word, or phrase by phrase where lengths differ) takes every title to the words of the catalogue's
 own transliteration; misspelt words go to the known word at one edit. Then a cascade of exact joins on weaker and
-weaker attribute combinations, each on the rows the earlier rules left (anti-join) and only where the combination
-points to a single work. A rule's confidence is its precision among its matches that carry an openiti_uri, with
+weaker attribute combinations: the first rule whose combination points to a single work resolves a row and later
+rules don't see it. All passes run as one join on keys that carry their rule's number, and a row keeps its first
+unambiguous rule, which is what a join for each rule with anti-joins in between leaves, at one shuffle for all. A rule's confidence is its precision among its matches that carry an openiti_uri, with
 LABELS added as prior counts; rules below LEAST_CONFIDENCE give no matches.
 
 Defined results: rows without any usable title and without an agreeing openiti_uri don't match; repeated rows of
@@ -154,6 +155,24 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 
 
+def _keys(number: int, fields: tuple[str, ...], missing: tuple[str, ...]) -> Column:
+    """Array of (rule, key): the row's values of a rule's attributes; empty if one is missing or one is there that mustn't be."""
+    options: list[Column] = []
+    for f in fields:
+        c = F.col(f)
+        options.append(F.filter(c, lambda x: x != "") if f.endswith("_cut") else F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.array(c.cast("string"))).otherwise(F.array().cast("array<string>")))
+    plain = [o for f, o in zip(fields, options, strict=True) if not f.endswith("_cut")]
+    cut = next((o for f, o in zip(fields, options, strict=True) if f.endswith("_cut")), F.array(F.lit("")))
+    whole = F.lit(True)
+    for o in plain:
+        whole &= F.size(o) > 0
+    for m in missing:
+        whole &= F.col(m).isNull()
+    head = F.concat_ws("|", *(F.get(o, F.lit(0)) for o in plain))
+    keyed = F.transform(cut, lambda x: F.struct(F.lit(number).alias("rule"), F.concat_ws("|", head, x).alias("key")))
+    return F.when(whole, keyed).otherwise(F.array().cast("array<struct<rule:int,key:string>>"))
+
+
 def editions(translations: DataFrame, works: DataFrame) -> DataFrame:
     """(translation_id, uri, rule, confidence)."""
     w = works.where("uri is not null").groupBy("uri").agg(F.max("author").alias("author"), F.max("title").alias("title"))
@@ -169,29 +188,28 @@ def editions(translations: DataFrame, works: DataFrame) -> DataFrame:
     right = w.withColumn("title", _key(F.col("words"))).withColumn("topics", _key(F.slice("words", 2, 10))).withColumn("family_cut", deletions("family")).withColumn("given_cut", deletions(F.coalesce("given", F.lit("")))).drop("words", "title_words")
     rows = cut_lineage(rows.withColumn("topics", F.when(F.contains("title", F.lit(" ")), F.regexp_replace("title", "^[^ ]+ ", ""))))
     right = cut_lineage(right.withColumn("topics", F.when(F.col("topics") != "", F.col("topics"))))
-    left, found = rows, None
-    for name, fields, missing in RULES:
-        a, b = left, right
-        for m in missing:
-            a = a.where(F.col(m).isNull())
-        for f in fields:
-            if f.endswith("_cut"):
-                a, b = a.withColumn(f, F.explode(f)), b.withColumn(f, F.explode(f))
-        a = a.where(" and ".join(f"{f} is not null and cast({f} as string) <> ''" for f in fields)).select("id", "openiti_uri", *fields, *[F.col(c).alias(f"a_{c}") for c in ("given", "death", "family", "father", "given_bones", "bones")])
-        b = b.where(" and ".join(f"{f} is not null and cast({f} as string) <> ''" for f in fields)).select(*dict.fromkeys(("uri", *fields)), *[F.col(c).alias(f"b_{c}") for c in ("given", "death", "family", "father", "given_bones", "bones")])
-        joined = a.join(b, list(fields))
-        agree = F.col("a_death").isNull() | F.col("b_death").isNull() | (F.col("a_death") == F.col("b_death"))
-        if "given" not in fields and "given_cut" not in fields and "given_bones" not in fields:
-            agree &= F.col("a_given_bones").isNull() | F.col("b_given_bones").isNull() | (F.col("a_given_bones") == F.col("b_given_bones")) | (F.levenshtein("a_given", "b_given") <= 2)
-        if "title" in fields and "uri" in fields:
-            agree &= F.col("a_bones").isNull() | (F.col("a_bones") == F.col("b_bones")) | (F.levenshtein("a_family", "b_family") <= 2)
-        if "family" not in fields and "bones" in fields:
-            agree &= F.col("a_family").startswith("؟") | (F.levenshtein("a_family", "b_family") <= 3)
-        matched = joined.where(agree).groupBy("id", "openiti_uri").agg(F.min("uri").alias("low"), F.max("uri").alias("uri")).where("low = uri").select("id", "openiti_uri", "uri")
-        matched = cut_lineage(matched)
-        new = matched.withColumn("rule", F.lit(name))
-        found = new if found is None else found.unionByName(new)
-        left = left.join(matched.select("id"), "id", "left_anti")
+    attributes = ["given", "death", "family", "given_bones", "bones"]
+    ruled = lambda df: F.explode(F.flatten(F.array(*(_keys(n, fields, missing if df is rows else ()) for n, (_, fields, missing) in enumerate(RULES)))))
+    a = rows.select("id", "openiti_uri", *(F.col(c).alias(f"a_{c}") for c in attributes), ruled(rows).alias("k")).select("*", "k.rule", "k.key").drop("k")
+    b = right.select("uri", *(F.col(c).alias(f"b_{c}") for c in attributes), ruled(right).alias("k")).select("*", "k.rule", "k.key").drop("k").distinct()
+    # a title without an author only counts where it is one work's, so that no common title is ever paired with all its works
+    by_title = len(RULES) - 1
+    lone = b.where(F.col("rule") == by_title).groupBy("key").agg(F.min("uri").alias("low"), F.max("uri").alias("high")).where("low = high").select(F.lit(by_title).alias("rule"), "key")
+    b = b.where(F.col("rule") < by_title).unionByName(b.where(F.col("rule") == by_title).join(lone, ["rule", "key"], "left_semi"))
+    agree = F.col("a_death").isNull() | F.col("b_death").isNull() | (F.col("a_death") == F.col("b_death"))
+    number = {name: n for n, (name, _, _) in enumerate(RULES)}
+    having = lambda *f: F.col("rule").isin([n for n, (_, fields, _) in enumerate(RULES) if set(f) <= set(fields)])
+    same_given = F.col("a_given_bones").isNull() | F.col("b_given_bones").isNull() | (F.col("a_given_bones") == F.col("b_given_bones")) | (F.levenshtein("a_given", "b_given") <= 2)
+    same_family = F.col("a_bones").isNull() | (F.col("a_bones") == F.col("b_bones")) | (F.levenshtein("a_family", "b_family") <= 2)
+    agree &= having("given") | having("given_cut") | having("given_bones") | same_given
+    agree &= ~(F.col("rule") == number["title and stated uri"]) | same_family
+    agree &= ~having("bones") | F.col("a_family").startswith("؟") | (F.levenshtein("a_family", "b_family") <= 3)
+    pairs = a.join(b, ["rule", "key"]).where(F.coalesce(agree, F.lit(False)))
+    matched = pairs.groupBy("id", "rule").agg(F.first("openiti_uri", ignorenulls=True).alias("openiti_uri"), F.min("uri").alias("low"), F.max("uri").alias("uri")).where("low = uri")
+    # the first rule that points to one work resolves a row: what joins with anti-joins in between would leave
+    first = matched.groupBy("id").agg(F.min_by(F.struct("rule", "uri", "openiti_uri"), "rule").alias("m")).select("id", "m.*")
+    names = F.create_map(*(x for n, (name, _, _) in enumerate(RULES) for x in (F.lit(n), F.lit(name))))
+    found = cut_lineage(first.withColumn("rule", names[F.col("rule")]))
     labelled = F.col("openiti_uri").isNotNull() & (F.trim("openiti_uri") != "")
     yes, no = LABELS
     trust = found.groupBy("rule").agg(((F.sum((labelled & (F.trim("openiti_uri") == F.col("uri"))).cast("int")) + yes) / (F.sum(labelled.cast("int")) + yes + no)).alias("confidence"), F.count("*").alias("matches"))
