@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +43,7 @@ OPENING_SHARE = 0.002
 LEAST_WORDS = 3
 
 _LOOK = str.maketrans(LOOKALIKES)
+_LATIN = re.compile("[A-Za-z]")
 _WORD = re.compile(r"[^\s]+")
 _INVISIBLE = "­؜​‌‍‎‏⁠﻿"
 
@@ -242,12 +245,39 @@ def _log_likelihood(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2 * (log_l(k1, n1, p1) + log_l(k2, n2, p2) - log_l(k1, n1, p) - log_l(k2, n2, p))
 
 
-def _words(texts: DataFrame) -> DataFrame:
-    """(language, word, period, n): counts of types, with a final period or without."""
-    raw = F.explode(F.filter(F.split("text", r"[\s  -  　]+"), lambda x: x != ""))
-    bare = F.regexp_replace(F.lower(F.regexp_replace(F.translate("raw", "".join(LOOKALIKES), "".join(LOOKALIKES.values())), r"[­؜​-‏⁠﻿]", "")), r"^[\"“«‘(\[]+|[\"”»’)\],;:!?،؛؟]+$", "")
-    cut = texts.select("language", raw.alias("raw")).select("language", bare.alias("bare"))
-    return cut.select("language", F.regexp_replace("bare", r"\.$", "").alias("word"), F.col("bare").endswith(".").alias("period")).where("word <> ''").groupBy("language", "word", "period").agg(F.count("*").alias("n"))
+_EDGE_LEFT, _EDGE_RIGHT = "\"“«‘([", "\"”»’)],;:!?،؛؟"
+
+
+def type_counts(learnt: DataFrame) -> DataFrame:
+    """(language, kind, word, n) over learnt(language, text, marked): kind 0 words without and 1 with a final period;
+    in texts without Latin letters also 2 words and word pairs of texts without closing marks and line ends, 3 of marked ones.
+
+    Each task counts what it reads, so only sums are shuffled.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, int], Counter] = {}
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame([(la, kind, w, n) for (la, kind), c in seen.items() for w, n in c.items()], columns=["language", "kind", "word", "n"])
+
+        for pdf in batches:
+            for language, text, marked in zip(pdf.language, pdf.text, pdf.marked, strict=True):
+                words = (text.lower() if text.isascii() else _clean(text).lower()).split()
+                bare = [w.lstrip(_EDGE_LEFT).rstrip(_EDGE_RIGHT) for w in words]
+                dotted = [w[:-1] for w in bare if w.endswith(".")]
+                seen.setdefault((language, 0), Counter()).update(w for w in bare if w and w[-1] != ".")
+                seen.setdefault((language, 1), Counter()).update(w for w in dotted if w)
+                if _LATIN.search(text) is None and (marked or "\n" not in text.rstrip()):
+                    c = seen.setdefault((language, 3 if marked else 2), Counter())
+                    c.update(words)
+                    c.update(map(" ".join, zip(words, words[1:], strict=False)))
+            if sum(map(len, seen.values())) > 500_000:
+                yield frame()
+                seen = {}
+        yield frame()
+
+    return learnt.select("language", "text", "marked").mapInPandas(count, "language string, kind int, word string, n bigint").groupBy("language", "kind", "word").agg(F.sum("n").alias("n"))
 
 
 def abbreviations(words: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -294,18 +324,16 @@ def starters(scanned: DataFrame, words: DataFrame) -> DataFrame:
     return joined.where((score >= STARTER) & (k / n > rest_k / rest_n)).select("language", "next")
 
 
-def openings(unmarked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(language, phrase): words and pairs of words that open statements where nothing marks their ends.
-
-    unmarked(language, grams) holds texts without closing marks, texts(language, text) all others.
-    """
-    inside = unmarked.select("language", F.explode("grams").alias("phrase")).groupBy("language", "phrase").agg(F.count("*").alias("k"))
-    outside = texts.select("language", F.explode("grams").alias("phrase")).groupBy("language", "phrase").agg(F.count("*").alias("m"))
+def openings(counts: DataFrame) -> DataFrame:
+    """(language, phrase): words and pairs of words that open statements where nothing marks their ends."""
+    inside = counts.where("kind = 2").select("language", F.col("word").alias("phrase"), F.col("n").alias("k"))
+    outside = counts.where("kind = 3").select("language", F.col("word").alias("phrase"), F.col("n").alias("m"))
     n_in = inside.groupBy("language").agg(F.sum("k").alias("n_in"))
     n_out = outside.groupBy("language").agg(F.sum("m").alias("n_out"))
-    joined = inside.join(outside, ["language", "phrase"], "left").join(n_in, "language").join(n_out, "language", "left").na.fill({"m": 0, "n_out": 1})
+    # rare phrases can't open statements, so they needn't meet the other side
+    joined = inside.join(n_in, "language").where((F.col("k") > 2) & (F.col("k") / F.col("n_in") >= OPENING_SHARE)).join(outside, ["language", "phrase"], "left").join(n_out, "language", "left").na.fill({"m": 0, "n_out": 1})
     score = _log_likelihood(F.col("k"), F.col("n_in"), F.col("m"), F.greatest(F.col("n_out"), F.col("m")))
-    return joined.where((score >= OPENING) & (F.col("k") > 2) & (F.col("k") / F.col("n_in") >= OPENING_SHARE) & (F.col("k") / F.col("n_in") > 8 * F.col("m") / F.col("n_out"))).select("language", "phrase")
+    return joined.where((score >= OPENING) & (F.col("k") / F.col("n_in") > 8 * F.col("m") / F.col("n_out"))).select("language", "phrase")
 
 
 def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None, within: bool = False) -> DataFrame:
@@ -318,14 +346,9 @@ def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None, w
     scan_of = lambda df: df.withColumn("scan", _scan("text")).select("id", "language", "text", "scan.marked", "scan.places")
     learnt = cut_lineage(scan_of(base))
     seen = learnt.select("language", F.explode("places").alias("place"))
-    types = cut_lineage(_words(base.select("language", "text")))
-    toks = F.transform(_tokens("text"), lambda x: x["token"])
-    cased = F.col("text").rlike("[A-Za-z]")
-    gram_rows = learnt.select("language", "marked", toks.alias("t"), (~F.regexp_replace("text", r"\s+$", "").contains("\n") & ~cased).alias("single")).select(
-        "language", "marked", "single",
-        F.concat("t", F.expr("transform(sequence(1, greatest(size(t) - 1, 1)), i -> concat(get(t, i - 1), ' ', coalesce(get(t, i), '')))")).alias("grams"),
-    )
-    opening = cut_lineage(openings(gram_rows.where("not marked and single"), gram_rows.where("marked")))
+    counts = cut_lineage(type_counts(learnt))
+    types = counts.where("kind < 2").select("language", "word", (F.col("kind") == 1).alias("period"), "n")
+    opening = cut_lineage(openings(counts))
     abbr = abbreviations(types, seen)
     colloc = collocations(seen, types)
     start = starters(seen, types)
