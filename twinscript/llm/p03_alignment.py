@@ -60,115 +60,129 @@ def words(text: str, arabic: bool, drop: dict = _TABLE) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-_WORDS = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("b", T.StringType())]))
+_WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.StructField("b", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(_WORDS)
-def _words(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    def both(t: str | None, la: str) -> list[dict]:
-        if not isinstance(t, str):
-            return []
+def _words(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+    """Words, numbers marked, and their consonants ('' where there are too few)."""
+    out = []
+    for t, la in zip(texts, languages, strict=True):
         arabic = la == "ar"
-        return [{"w": w, "b": w if w.isdigit() else (b if len(b := bones(w if arabic else roman(w))) > 1 else "")} for w in words(t, arabic)]
-
-    return pd.Series([both(t, la) for t, la in zip(texts, languages, strict=True)])
+        ws = words(t, arabic) if isinstance(t, str) else []
+        bs = ["" if w.isdigit() else bones(w if arabic else roman(w)) for w in ws]
+        out.append((["#" + w if w.isdigit() else w for w in ws], [b if len(b) > 1 else "" for b in bs]))
+    return pd.DataFrame(out, columns=["w", "b"])
 
 
-def _tokens(sentences: DataFrame) -> DataFrame:
-    """(work_id, language, at, id, w, b) with at = global_sequence."""
+def _sentences(sentences: DataFrame) -> DataFrame:
+    """(work, language, at, w, b): a row for each sentence; work, words and consonants as 64-bit hashes (0 for no consonants)."""
     s = sentences.where("language in ('ar', 'en') and id is not null and global_sequence is not null and text is not null").dropDuplicates(["id"])
-    return s.select("work_id", "language", F.col("global_sequence").alias("at"), "id", F.explode(_words("text", "language")).alias("t")).select("work_id", "language", "at", "id", "t.w", "t.b")
+    s = s.select(F.xxhash64("work_id").alias("work"), "language", F.col("global_sequence").alias("at"), _words("text", "language").alias("t"))
+    hashed = lambda c: F.transform(c, lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(x)))
+    number = F.transform("t.w", lambda x: x.startswith("#"))
+    return s.select("work", "language", "at", F.arrays_zip(hashed(F.col("t.w")).alias("w"), hashed(F.col("t.b")).alias("b"), number.alias("number")).alias("t")).select("work", "language", "at", F.col("t"))
 
 
 def _proposals(dp_links: DataFrame) -> DataFrame:
-    """(work_id, x, y): places that an earlier run linked, one row for each pair."""
+    """(work, x, y): places that an earlier run linked, one row for each pair."""
     good = dp_links.where("arabic_end > arabic_start and english_end > english_start").where("arabic_end - arabic_start <= 4 and english_end - english_start <= 4")
-    x = good.select("work_id", "english_start", "english_end", F.explode(F.sequence("arabic_start", F.col("arabic_end") - 1)).alias("x"))
-    return x.select("work_id", "x", F.explode(F.sequence("english_start", F.col("english_end") - 1)).alias("y")).distinct()
-
-
-def lexicon(tokens: DataFrame, proposals: DataFrame) -> DataFrame:
-    """(e, a): the Arabic word that each English word stands for."""
-    rare = tokens.join(_frequency(tokens), ["language", "w"]).where("not common and not w rlike '^[0-9]+$'")
-    ar = rare.where("language = 'ar'").select("work_id", F.col("at").alias("x"), F.col("w").alias("a"))
-    en = rare.where("language = 'en'").select("work_id", F.col("at").alias("y"), F.col("w").alias("e"))
-    together = proposals.join(ar, ["work_id", "x"]).join(en, ["work_id", "y"]).groupBy("a", "e").agg(F.count("*").alias("n"))
-    together = cut_lineage(together)
-    of_a, of_e, total = Window.partitionBy("a"), Window.partitionBy("e"), together.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
-    sums = together.withColumn("na", F.sum("n").over(of_a)).withColumn("ne", F.sum("n").over(of_e))
-    at_e = proposals.join(en, ["work_id", "y"]).groupBy("e").agg(F.count("*").alias("ce"))
-    scored = sums.where(F.col("n") >= LEAST_SUPPORT).join(at_e, "e").withColumn("one", F.lit(1)).join(total, "one")
+    x = good.select(F.xxhash64("work_id").alias("work"), "english_start", "english_end", F.explode(F.sequence("arabic_start", F.col("arabic_end") - 1)).alias("x"))
+    return x.select("work", "x", F.explode(F.sequence("english_start", F.col("english_end") - 1)).alias("y")).distinct()
+
+
+def _without_common(s: DataFrame) -> DataFrame:
+    """s without words in more than the share COMMON of a language's sentences.
+
+    At most mean words / COMMON words of a language can be that common, so their list is bounded and may go to the driver.
+    """
+    sizes = s.groupBy("language").agg(F.count("*").alias("sentences"))
+    counts = s.select("language", F.explode("t.w").alias("w")).groupBy("language", "w").agg(F.count("*").alias("df"))
+    common: dict[str, list[int]] = {"ar": [], "en": []}
+    for la, w in counts.join(sizes, "language").where(F.col("df") > COMMON * F.col("sentences")).select("language", "w").collect():
+        common[la].append(w)
+    keep = lambda la: F.filter("t", lambda x: ~x["w"].isin(common[la])) if common[la] else F.col("t")
+    return s.withColumn("t", F.when(F.col("language") == "ar", keep("ar")).otherwise(keep("en")))
+
+
+def lexicon(s: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(e, a): the Arabic word that each English word stands for, as hashes."""
+    plain = F.filter("t", lambda x: ~x["number"])
+    ar = s.where("language = 'ar'").select("work", F.col("at").alias("x"), plain.alias("ta"))
+    en = s.where("language = 'en'").select("work", F.col("at").alias("y"), plain.alias("te"))
+    both = proposals.join(ar, ["work", "x"]).join(en, ["work", "y"]).select("ta", "te")
+    each = both.select("ta", F.explode("te").alias("e")).select("e.w", "e.b", F.explode("ta").alias("a"))
+    named = ((F.col("a.b") == F.col("b")) & (F.col("b") != 0)).cast("int")
+    together = cut_lineage(each.select(F.col("w").alias("e"), F.col("a.w").alias("a"), named.alias("named")).groupBy("e", "a").agg(F.count("*").alias("n"), F.max("named").alias("named")))
+    at_e = both.select(F.explode("te.w").alias("e")).groupBy("e").agg(F.count("*").alias("ce"))
+    of_a, of_e = Window.partitionBy("a"), Window.partitionBy("e")
+    total = together.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
+    sums = together.withColumn("na", F.sum("n").over(of_a)).withColumn("ne", F.sum("n").over(of_e)).where(F.col("n") >= LEAST_SUPPORT)
+    scored = sums.join(at_e, "e").withColumn("one", F.lit(1)).join(total, "one")
     lift = F.col("n") / F.col("ne") / (F.col("na") / F.col("all"))
-    # a word whose consonants are those of its partner is a name, and that outweighs any other partner
-    sound = tokens.select("language", "w", "b").where("length(b) > 1").distinct()
-    scored = scored.join(sound.where("language = 'ar'").select(F.col("w").alias("a"), F.col("b").alias("b_a")), "a", "left").join(sound.where("language = 'en'").select(F.col("w").alias("e"), F.col("b").alias("b_e")), "e", "left")
-    scored = scored.withColumn("named", F.coalesce((F.col("b_a") == F.col("b_e")).cast("int"), F.lit(0)))
     scored = scored.withColumn("lift", lift).where((F.col("n") / F.col("ce") >= LEAST_GIVEN) & (F.col("lift") >= LEAST_LIFT))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("e").orderBy(F.desc("named"), F.desc(F.col("n") * F.log("lift")), "a")))
+    # a word whose consonants are those of its partner is a name, and that outweighs any other partner
+    best = scored.withColumn("r", F.row_number().over(of_e.orderBy(F.desc("named"), F.desc(F.col("n") * F.log("lift")), "a")))
     return cut_lineage(best.where("r = 1").select("e", "a"))
 
 
-def _frequency(tokens: DataFrame) -> DataFrame:
-    """(language, w, common)"""
-    sizes = tokens.select("language", "id").distinct().groupBy("language").agg(F.count("*").alias("sentences"))
-    return tokens.groupBy("language", "w").agg(F.count("*").alias("df")).join(sizes, "language").select("language", "w", (F.col("df") > COMMON * F.col("sentences")).alias("common"))
-
-
-def concepts(tokens: DataFrame, words_of: DataFrame) -> DataFrame:
-    """(work_id, language, at, id, c, weight): what each sentence speaks of, in terms both languages share."""
-    rare = tokens.join(_frequency(tokens), ["language", "w"]).where("not common").drop("common")
-    ar, en = rare.where("language = 'ar'"), rare.where("language = 'en'")
-    known = words_of.select(F.col("a").alias("w")).distinct()
-    number = F.col("w").rlike("^[0-9]+$")
-    a_word = ar.join(known.withColumn("known", F.lit(True)), "w", "left")
-    kept = ["work_id", "language", "at", "id"]
-    # a word may be met by its translation or, as a name, by its consonants: two concepts of one word
-    a_con = a_word.select(*kept, "w", F.explode(F.array_distinct(F.filter(F.array(F.when(number, F.concat(F.lit("#"), "w")), F.when(F.col("known") & ~number, F.concat(F.lit("="), "w")), F.when(~number & (F.col("b") != ""), F.concat(F.lit("~"), "b"))), lambda x: x.isNotNull()))).alias("c"))
-    e_word = en.join(words_of.withColumnRenamed("e", "w"), "w", "left")
-    e_con = e_word.select(*kept, "w", F.explode(F.filter(F.array(F.when(number, F.concat(F.lit("#"), "w")), F.when(~number, F.concat(F.lit("="), "a")), F.when(~number & (F.col("b") != ""), F.concat(F.lit("~"), "b"))), lambda x: x.isNotNull())).alias("c"))
-    both = a_con.unionByName(e_con).dropDuplicates(["id", "c"])
-    df = both.groupBy("c").agg(F.count("*").alias("df"), F.countDistinct("language").alias("sides"))
-    n = both.agg(F.count_distinct("id").alias("n")).withColumn("one", F.lit(1))
+def concepts(s: DataFrame, lex: DataFrame) -> DataFrame:
+    """(work, language, at, bit, c, weight, met): what each sentence speaks of, in terms both languages share.
+
+    A word may be met by its translation or, as a name, by its consonants: an Arabic word has both concepts, an
+    English one its translation if the lexicon has it. bit is the word's place in its sentence.
+    """
+    word = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w", "x.b", "x.number")
+    as_word, as_name = F.xxhash64(F.lit("="), "w"), F.xxhash64(F.lit("~"), "b")
+    name = F.when(~F.col("number") & (F.col("b") != 0), as_name)
+    ar = word.where("language = 'ar'").join(lex.select(F.col("a").alias("w")).distinct().withColumn("known", F.lit(True)), "w", "left")
+    ar = ar.select("work", "language", "at", "bit", F.explode(F.filter(F.array(F.when(F.col("number") | F.col("known"), as_word), name), lambda x: x.isNotNull())).alias("c"))
+    en = word.where("language = 'en'").join(lex.withColumnRenamed("e", "w"), "w", "left")
+    en = en.select("work", "language", "at", "bit", F.when(F.col("number"), as_word).when(F.col("a").isNotNull(), F.xxhash64(F.lit("="), "a")).otherwise(name).alias("c")).where("c is not null")
+    both = cut_lineage(ar.unionByName(en))
+    df = both.groupBy("c").agg(F.count("*").alias("df"), F.count_distinct("language").alias("sides"))
+    n = both.select("work", "language", "at").distinct().count()
     # concepts of one language only still weigh: they are content without a counterpart
-    weighed = both.join(df, "c").withColumn("one", F.lit(1)).join(n, "one").withColumn("weight", F.log(1 + F.col("n") / F.col("df"))).withColumn("met", F.col("sides") > 1)
-    return weighed.select(*kept, "w", "c", "weight", "met")
+    return cut_lineage(both.join(df, "c").select("work", "language", "at", "bit", "c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), (F.col("sides") > 1).alias("met")))
 
 
 def offsets(cons: DataFrame, proposals: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(work_id, stretch, shift, half): expected place y = x * slope + shift and half width of the rectangle, per stretch of Arabic."""
-    sizes = cons.groupBy("work_id").agg(F.max(F.when(F.col("language") == "ar", F.col("at"))).alias("last_x"), F.max(F.when(F.col("language") == "en", F.col("at"))).alias("last_y")).where("last_x is not null and last_y is not null")
+    """(work, stretch, slope, shift, half): expected place y = x * slope + shift and half width of the rectangle, per stretch of Arabic."""
+    sizes = cons.groupBy("work").agg(F.max(F.when(F.col("language") == "ar", F.col("at"))).alias("last_x"), F.max(F.when(F.col("language") == "en", F.col("at"))).alias("last_y")).where("last_x is not null and last_y is not null")
     sizes = sizes.withColumn("slope", (F.col("last_y") + 1) / (F.col("last_x") + 1))
-    once = cons.where("met").groupBy("work_id", "language", "c").agg(F.count("*").alias("n"), F.max("at").alias("at")).where("n = 1")
-    anchors = once.where("language = 'ar'").select("work_id", "c", F.col("at").alias("x")).join(once.where("language = 'en'").select("work_id", "c", F.col("at").alias("y")), ["work_id", "c"]).select("work_id", "x", "y")
+    here = lambda la: F.max(F.when(F.col("language") == la, F.col("at")))
+    once = cons.where("met").groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), here("ar").alias("x"), here("en").alias("y"))
+    anchors = once.where("na = 1 and ne = 1").select("work", "x", "y")
     points = anchors.unionByName(proposals) if links is None else anchors.unionByName(proposals).unionByName(links)
-    off = points.join(sizes, "work_id").withColumn("d", F.col("y") - F.col("x") * F.col("slope"))
+    off = points.join(sizes, "work").withColumn("d", F.col("y") - F.col("x") * F.col("slope"))
     # each point speaks for its own stretch and both neighbours
     near = off.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("x") / STRETCH) + k for k in (-1, 0, 1)))))
-    local = near.groupBy("work_id", "stretch").agg(F.percentile_approx("d", 0.5, 1000).alias("shift"), F.percentile_approx("d", F.array(F.lit(0.1), F.lit(0.9)), 1000).alias("q"), F.count("*").alias("points"))
+    local = near.groupBy("work", "stretch").agg(F.percentile_approx("d", 0.5, 1000).alias("shift"), F.percentile_approx("d", F.array(F.lit(0.1), F.lit(0.9)), 1000).alias("q"), F.count("*").alias("points"))
     spread = (F.col("q")[1] - F.col("q")[0]) / 2
-    stretches = sizes.select("work_id", "slope", "last_x", "last_y", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_x") / STRETCH))).alias("stretch"))
-    known = stretches.join(local, ["work_id", "stretch"], "left")
+    stretches = sizes.select("work", "slope", "last_x", "last_y", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_x") / STRETCH))).alias("stretch"))
+    known = stretches.join(local, ["work", "stretch"], "left")
     half = F.when(F.col("points") >= 5, HALF + SPREAD * spread).otherwise(HALF + 0.1 * F.col("last_y"))
-    return known.select("work_id", "stretch", "slope", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.least(F.ceil(half), F.col("last_y") + 1).cast("long").alias("half"))
+    return cut_lineage(known.select("work", "stretch", "slope", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.least(F.ceil(half), F.col("last_y") + 1).cast("long").alias("half")))
 
 
 def points(cons: DataFrame, where: DataFrame) -> DataFrame:
-    """(work_id, x, y, ar_id, en_id, shared, of_ar, of_en): sentence pairs in the rectangles with enough in common."""
+    """(work, x, y, shared, of_ar, of_en, ar_bits, en_bits): sentence pairs in the rectangles with enough in common."""
     # a word weighs once, with its likeliest concept
-    whole = cons.groupBy("work_id", "language", "at", "id", "w").agg(F.max(F.when(F.col("met"), F.col("weight")).otherwise(F.col("weight") * 0.5)).alias("weight")).groupBy("id").agg(F.sum("weight").alias("whole"))
-    a = cons.where("language = 'ar' and met").withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(where, ["work_id", "stretch"])
+    weight = F.when(F.col("met"), F.col("weight")).otherwise(F.col("weight") * 0.5)
+    whole = cut_lineage(cons.groupBy("work", "language", "at", "bit").agg(F.max(weight).alias("weight")).groupBy("work", "language", "at").agg(F.sum("weight").alias("whole")))
+    a = cons.where("language = 'ar' and met").withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(where, ["work", "stretch"])
     center = F.col("at") * F.col("slope") + F.col("shift")
     side = F.lit(2 * HALF)
     low, high = F.floor((center - F.col("half")) / side), F.floor((center + F.col("half")) / side)
-    a = a.select("work_id", F.col("at").alias("x"), F.col("id").alias("ar_id"), F.col("w").alias("ar_w"), "c", center.alias("center"), "half", F.explode(F.sequence(low, high)).alias("cell"))
-    e = cons.where("language = 'en' and met").select("work_id", F.col("at").alias("y"), F.col("id").alias("en_id"), F.col("w").alias("en_w"), "c", "weight", F.floor(F.col("at") / side).alias("cell"))
-    met = a.join(e, ["work_id", "cell", "c"]).where(F.abs(F.col("y") - F.col("center")) <= F.col("half"))
-    # one Arabic word may meet an English one as a word and as a name; it counts once
-    met = met.groupBy("work_id", "x", "y", "ar_id", "en_id", "ar_w").agg(F.max("weight").alias("weight"), F.max("en_w").alias("en_w"))
-    pairs = met.groupBy("work_id", "x", "y", "ar_id", "en_id").agg(F.sum("weight").alias("shared"), F.collect_list("ar_w").alias("ar_words"), F.collect_list("en_w").alias("en_words"))
-    pairs = pairs.join(whole.select(F.col("id").alias("ar_id"), F.col("whole").alias("ar_whole")), "ar_id").join(whole.select(F.col("id").alias("en_id"), F.col("whole").alias("en_whole")), "en_id")
-    of = lambda c: F.least(F.col("shared") / F.greatest(c, F.lit(1e-6)), F.lit(1.0))
-    pairs = pairs.select("work_id", "x", "y", "ar_id", "en_id", "shared", of(F.col("ar_whole")).alias("of_ar"), of(F.col("en_whole")).alias("of_en"), "ar_words", "en_words")
+    a = a.select("work", F.col("at").alias("x"), F.col("bit").alias("a_bit"), "c", center.alias("center"), "half", F.explode(F.sequence(low, high)).alias("cell"))
+    e = cons.where("language = 'en' and met").select("work", F.col("at").alias("y"), F.col("bit").alias("e_bit"), "c", "weight", F.floor(F.col("at") / side).alias("cell"))
+    met = a.join(e, ["work", "cell", "c"]).where(F.abs(F.col("y") - F.col("center")) <= F.col("half"))
+    bits = lambda c: F.expr(f"bit_or(shiftleft(1L, cast({c} % 63 as int)))")
+    pairs = met.groupBy("work", "x", "y").agg(F.sum("weight").alias("shared"), bits("a_bit").alias("ar_bits"), bits("e_bit").alias("en_bits")).where("shared > 2")
+    of = lambda la, at, to: whole.where(F.col("language") == la).select("work", F.col("at").alias(at), F.col("whole").alias(to))
+    pairs = pairs.join(of("ar", "x", "ar_whole"), ["work", "x"]).join(of("en", "y", "en_whole"), ["work", "y"])
+    share = lambda c: F.least(F.col("shared") / F.greatest(F.col(c), F.lit(1e-6)), F.lit(1.0))
+    pairs = pairs.select("work", "x", "y", "shared", share("ar_whole").alias("of_ar"), share("en_whole").alias("of_en"), "ar_bits", "en_bits")
     return pairs.where(F.greatest("of_ar", "of_en") >= LEAST_SHARED)
 
 
@@ -195,7 +209,7 @@ def chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """The points of one stretch that hold: the chain, further members of its blocks, inversions."""
-    pdf = pdf.sort_values(["x", "y", "ar_id", "en_id"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["x", "y"], kind="stable").reset_index(drop=True)
     x, y, of_ar, of_en = (pdf[c].to_numpy() for c in ("x", "y", "of_ar", "of_en"))
     fit = np.sqrt(np.maximum(of_ar, 0.05) * np.maximum(of_en, 0.05))
     weight = fit * np.log1p(pdf.shared.to_numpy())
@@ -205,17 +219,18 @@ def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     idx = np.flatnonzero(alive)
     kept = idx[chain(x[idx], y[idx], weight[idx])] if len(idx) else idx
     # of several points in one row or column only those that add content stay
-    ar_words, en_words = pdf.ar_words.map(set).to_numpy(), pdf.en_words.map(set).to_numpy()
-    seen_x: dict[int, set[str]] = {}
-    seen_y: dict[int, set[str]] = {}
+    ar_bits, en_bits = pdf.ar_bits.tolist(), pdf.en_bits.tolist()
+    seen_x: dict[int, int] = {}
+    seen_y: dict[int, int] = {}
     taken: list[int] = []
 
     def take(some: np.ndarray, distance: np.ndarray) -> None:
         for i in some[np.lexsort((distance, -fit[some].round(1)))]:
-            a, e = seen_x.setdefault(x[i], set()), seen_y.setdefault(y[i], set())
-            if len(ar_words[i] - a) >= 0.5 * len(ar_words[i]) and len(en_words[i] - e) >= 0.5 * len(en_words[i]):
-                a |= ar_words[i]
-                e |= en_words[i]
+            a, e = ar_bits[i], en_bits[i]
+            new_a, new_e = a & ~seen_x.get(x[i], 0), e & ~seen_y.get(y[i], 0)
+            if 2 * new_a.bit_count() >= a.bit_count() and 2 * new_e.bit_count() >= e.bit_count():
+                seen_x[x[i]] = seen_x.get(x[i], 0) | a
+                seen_y[y[i]] = seen_y.get(y[i], 0) | e
                 taken.append(int(i))
 
     if len(kept):
@@ -234,28 +249,31 @@ def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def align(sentences: DataFrame, dp_links: DataFrame, structural_links: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
     """(arabic_sentence_id, english_sentence_id, of_ar, of_en)."""
-    tokens = cut_lineage(_tokens(sentences.select("id", "paragraph_id", "work_id", "language", "global_sequence", "text")))
+    rows = sentences.select("id", "paragraph_id", "work_id", "language", "global_sequence", "text")
+    s = _without_common(cut_lineage(_sentences(rows)))
     proposals = cut_lineage(_proposals(dp_links.select("work_id", "arabic_start", "arabic_end", "english_start", "english_end")))
-    cons = cut_lineage(concepts(tokens, lexicon(tokens, proposals)))
-    links = None if structural_links is None or paragraphs is None else _starts(structural_links, paragraphs, sentences)
+    cons = concepts(s, lexicon(s, proposals))
+    links = None if structural_links is None or paragraphs is None else _starts(structural_links, paragraphs, rows)
     found = points(cons, offsets(cons, proposals, links))
-    own = F.floor(F.col("x") / STRETCH)
-    reach = F.array_distinct(F.array(F.floor((F.col("x") - MARGIN) / STRETCH), own, F.floor((F.col("x") + MARGIN) / STRETCH)))
+    reach = F.array_distinct(F.array(F.floor((F.col("x") - MARGIN) / STRETCH), F.floor(F.col("x") / STRETCH), F.floor((F.col("x") + MARGIN) / STRETCH)))
     spread = found.withColumn("stretch", F.explode(reach))
 
     def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = blocks(pdf)
-        return out[out.x // STRETCH == key[1]][["ar_id", "en_id", "of_ar", "of_en"]]
+        return out[out.x // STRETCH == key[1]][["work", "x", "y", "of_ar", "of_en"]]
 
-    kept = spread.groupBy("work_id", "stretch").applyInPandas(keep, "ar_id string, en_id string, of_ar double, of_en double")
-    return kept.select(F.col("ar_id").alias("arabic_sentence_id"), F.col("en_id").alias("english_sentence_id"), "of_ar", "of_en").distinct()
+    kept = spread.groupBy("work", "stretch").applyInPandas(keep, "work bigint, x int, y int, of_ar double, of_en double").distinct()
+    named = rows.where("language in ('ar', 'en') and id is not null and text is not null").select(F.xxhash64("work_id").alias("work"), "language", F.col("global_sequence").alias("at"), "id").distinct()
+    of = lambda la, at, to: named.where(F.col("language") == la).select("work", F.col("at").alias(at), F.col("id").alias(to))
+    out = kept.join(of("ar", "x", "arabic_sentence_id"), ["work", "x"]).join(of("en", "y", "english_sentence_id"), ["work", "y"])
+    return out.select("arabic_sentence_id", "english_sentence_id", "of_ar", "of_en")
 
 
 def _starts(structural_links: DataFrame, paragraphs: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(work_id, x, y): first places of linked structures."""
+    """(work, x, y): first places of linked structures."""
     first = paragraphs.select(F.col("id").alias("paragraph_id"), "structure_id").join(sentences.select("paragraph_id", "global_sequence"), "paragraph_id").groupBy("structure_id").agg(F.min("global_sequence").alias("at"))
-    both = structural_links.where("size(arabic_structure_ids) > 0 and size(english_structure_ids) > 0").select("work_id", F.col("arabic_structure_ids")[0].alias("sa"), F.col("english_structure_ids")[0].alias("se"))
-    return both.join(first.select(F.col("structure_id").alias("sa"), F.col("at").alias("x")), "sa").join(first.select(F.col("structure_id").alias("se"), F.col("at").alias("y")), "se").select("work_id", "x", "y")
+    both = structural_links.where("size(arabic_structure_ids) > 0 and size(english_structure_ids) > 0").select(F.xxhash64("work_id").alias("work"), F.col("arabic_structure_ids")[0].alias("sa"), F.col("english_structure_ids")[0].alias("se"))
+    return both.join(first.select(F.col("structure_id").alias("sa"), F.col("at").alias("x")), "sa").join(first.select(F.col("structure_id").alias("se"), F.col("at").alias("y")), "se").select("work", "x", "y")
 
 
 def _align(spark: SparkSession, d: str) -> DataFrame:
