@@ -1,7 +1,7 @@
 """Problem 10: keyword-stuffed and link-list pages.
 
 Per page the rank-frequency curve of its adjacent word pairs is fitted with SQL windows (ties share their middle
-rank); its slope is compared with that of pages in the same script at comparable lengths, by the median over all
+rank); its slope and height are compared with those of pages in the same script at comparable lengths, by the median over all
 documents. Divergence from prose is the share of head words, the words that a quarter of all pages of the script
 contain; links and product tags weigh against it. A page is stuffed if it lacks head words and either its curve is
 extremely steep or links and tags fill it. Pages in between (chains of tellers lack head words and repeat
@@ -30,11 +30,15 @@ from twinscript.sources.tables import table
 
 #: Share of a script's pages that contain a head word; least number of words, links and tags of a page to judge.
 HEAD_SHARE, LEAST_TERMS = 0.25, 8
+#: Fewest pages of a length class that are compared among themselves.
+LEAST_PAGES = 30
 #: Bounds on the ratio of head words to prose, slope below comparable pages, share of links and tags: surely, steeply, to be judged by words.
 BARE, BARE_SLOPE, BARE_LINKS = 0.2, 0.08, 0.06
 THIN, THIN_SLOPE, THIN_LINKS = 0.3, 0.2, 0.15
 OPEN, OPEN_SLOPE, OPEN_LINKS = 0.8, 0.1, 0.05
 LINKED = 0.6
+#: A few keywords repeated equally often have a flat curve, but a high one: so much mean log frequency above comparable pages counts as a slope of one below them.
+LEVEL = 5.0
 
 _LINK = re.compile(r"(?:https?:)?//[^\s'\"<>)]+|www\.[^\s'\"<>)]+|\b[a-z0-9-]{3,}\.[a-z]{3,}\b(?:/[^\s'\"<>)]*)?")
 _TAG = re.compile(r"#\w+|[$€£]\s?\d[\d.,]*|\b[A-Z]{2,}\d{2,}\b")
@@ -130,7 +134,8 @@ def curves(features: DataFrame) -> DataFrame:
     slope = F.when(spread > 1e-9, (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / spread).otherwise(0.0)
     fitted = sums.withColumn("slope", slope).withColumn("intercept", (F.col("y") - F.col("slope") * F.col("x")) / F.col("w"))
     square = (F.col("yy") - F.col("intercept") * F.col("y") - F.col("slope") * F.col("xy")) / F.col("w")
-    return fitted.select("page.*", "script", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("residual"))
+    level = F.coalesce(F.col("y") / F.col("w"), F.lit(0.0))
+    return fitted.select("page.*", "script", level.alias("level"), F.coalesce("slope", F.lit(0.0)).alias("slope"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("residual"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -140,11 +145,12 @@ def judged(documents: DataFrame) -> DataFrame:
     linked = (F.col("links") + F.col("tags")) / F.greatest(F.col("links") + F.col("tags") + F.col("words"), F.lit(1))
     share = F.col("head") / F.greatest(F.col("words") + 2 * (F.col("links") + F.col("tags")), F.lit(1))
     f = f.withColumn("linked", linked).withColumn("share", share).withColumn("length", F.floor(F.log2(F.col("words") + 1)))
-    by_script = f.groupBy("script").agg(F.percentile_approx("share", 0.5, 1000).alias("prose_share"))
-    by_length = f.groupBy("script", "length").agg(F.percentile_approx("slope", 0.5, 1000).alias("prose_slope"))
-    f = f.join(by_script, "script").join(by_length, ["script", "length"])
+    by_script = f.groupBy("script").agg(F.percentile_approx("share", 0.5, 1000).alias("prose_share"), F.percentile_approx("slope", 0.5, 1000).alias("script_slope"), F.percentile_approx("level", 0.5, 1000).alias("script_level"))
+    # a length class of few pages is compared with all pages of its script
+    by_length = f.groupBy("script", "length").agg(F.percentile_approx("slope", 0.5, 1000).alias("length_slope"), F.percentile_approx("level", 0.5, 1000).alias("length_level"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).drop("pages")
+    f = f.join(by_script, "script").join(by_length, ["script", "length"], "left").withColumn("prose_slope", F.coalesce("length_slope", "script_slope")).withColumn("prose_level", F.coalesce("length_level", "script_level"))
     ratio = F.when(F.col("prose_share") > 0, F.col("share") / F.col("prose_share")).otherwise(1.0)
-    f = f.withColumn("ratio", ratio).withColumn("steeper", F.col("prose_slope") - F.col("slope"))
+    f = f.withColumn("ratio", ratio).withColumn("steeper", F.greatest(F.col("prose_slope") - F.col("slope"), (F.col("level") - F.col("prose_level")) / LEVEL))
     enough = F.col("words") + F.col("links") + F.col("tags") >= LEAST_TERMS
     sure = (F.col("ratio") < BARE) & ((F.col("steeper") > BARE_SLOPE) | (F.col("linked") > BARE_LINKS))
     sure |= (F.col("ratio") < THIN) & ((F.col("steeper") > THIN_SLOPE) | (F.col("linked") > THIN_LINKS))
