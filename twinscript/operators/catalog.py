@@ -38,8 +38,8 @@ def token_join(hits: DataFrame, index: DataFrame, least: int = 2) -> DataFrame:
     and the join runs on the others; a hit of common tokens only falls back to all of them.
     """
     df = index.groupBy("token").agg(F.count("*").alias("_df"))
-    n = index.agg(F.count_distinct("uri").alias("_n"))
-    rare = df.join(n).where(F.col("_df") <= F.greatest(F.col("_n") * 0.05, F.lit(20))).select("token")
+    works = index.select("uri").distinct().count()
+    rare = df.where(F.col("_df") <= max(works * 0.05, 20)).select("token")
     tokens = hits.select("id", F.explode(F.array_union(t.title_tokens(F.coalesce("title", F.lit(""))), t.title_tokens(F.coalesce("authors", F.lit(""))))).alias("token"))
     seeds = tokens.join(index.join(rare, "token", "left_semi"), "token").select("id", "uri").distinct()
     scored = seeds.join(tokens, "id").join(index, ["uri", "token"]).groupBy("id", "uri").agg(F.count("*").alias("score"))

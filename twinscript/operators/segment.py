@@ -71,8 +71,8 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     """One row of sizes."""
     n = t.word_count("arabic")
     each = blocks.select(n.alias("n"), "parent_id")
-    per = each.groupBy("parent_id").agg(F.count("*").alias("k")).agg(F.avg("k").alias("blocks_per_item"))
-    return each.agg(F.count("*").alias("blocks"), F.avg("n").alias("mean_words"), F.percentile("n", 0.5).alias("median_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words")).join(per)
+    sizes = (F.count("*").alias("blocks"), F.avg("n").alias("mean_words"), F.percentile("n", 0.5).alias("median_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words"))
+    return each.agg(*sizes, (F.count("*") / F.count_distinct("parent_id")).alias("blocks_per_item"))
 
 
 def expected_counts(blocks: DataFrame) -> DataFrame:
