@@ -32,7 +32,7 @@ from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
 #: Sentences to a stretch, its margin, least and further half width of a rectangle for each sentence of spread.
-STRETCH, MARGIN, HALF, SPREAD = 128, 32, 24, 3.0
+STRETCH, MARGIN, HALF, SPREAD = 256, 32, 24, 3.0
 #: Least share of the lighter sentence's weight that a pair shares, and for an inversion of both sentences; farthest inversion.
 LEAST_SHARED, LEAST_INVERTED, FARTHEST = 0.55, 0.6, 40
 #: Words in more sentences than this share of a language carry no content; least support of a translation.
@@ -67,11 +67,18 @@ _WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.Struct
 def _words(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
     """Words, numbers marked, and their consonants ('' where there are too few)."""
     out = []
+    known: dict[tuple[str, bool], str] = {}  # words repeat within a batch
     for t, la in zip(texts, languages, strict=True):
         arabic = la == "ar"
         ws = words(t, arabic) if isinstance(t, str) else []
-        bs = ["" if w.isdigit() else bones(w if arabic else roman(w)) for w in ws]
-        out.append((["#" + w if w.isdigit() else w for w in ws], [b if len(b) > 1 else "" for b in bs]))
+        bs = []
+        for w in ws:
+            b = known.get((w, arabic))
+            if b is None:
+                b = "" if w.isdigit() else bones(w if arabic else roman(w))
+                known[w, arabic] = b = b if len(b) > 1 else ""
+            bs.append(b)
+        out.append((["#" + w if w.isdigit() else w for w in ws], bs))
     return pd.DataFrame(out, columns=["w", "b"])
 
 
@@ -126,24 +133,37 @@ def lexicon(s: DataFrame, proposals: DataFrame) -> DataFrame:
     return cut_lineage(best.where("r = 1").select("e", "a"))
 
 
-def concepts(s: DataFrame, lex: DataFrame) -> DataFrame:
-    """(work, language, at, bit, c, weight, met): what each sentence speaks of, in terms both languages share.
+def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows (of a few numbers each), else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def concepts(s: DataFrame, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each sentence speaks of, in terms both languages share: (work, language, at, bit, c, weight), and (work, language, at, whole).
 
     A word may be met by its translation or, as a name, by its consonants: an Arabic word has both concepts, an
-    English one its translation if the lexicon has it. bit is the word's place in its sentence.
+    English one its translation if the lexicon has it. bit is the word's place in its sentence, whole the sentence's
+    weight, where a word counts once, and half if its concept occurs in one language only.
     """
     word = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w", "x.b", "x.number")
     as_word, as_name = F.xxhash64(F.lit("="), "w"), F.xxhash64(F.lit("~"), "b")
     name = F.when(~F.col("number") & (F.col("b") != 0), as_name)
-    ar = word.where("language = 'ar'").join(lex.select(F.col("a").alias("w")).distinct().withColumn("known", F.lit(True)), "w", "left")
-    ar = ar.select("work", "language", "at", "bit", F.explode(F.filter(F.array(F.when(F.col("number") | F.col("known"), as_word), name), lambda x: x.isNotNull())).alias("c"))
-    en = word.where("language = 'en'").join(lex.withColumnRenamed("e", "w"), "w", "left")
-    en = en.select("work", "language", "at", "bit", F.when(F.col("number"), as_word).when(F.col("a").isNotNull(), F.xxhash64(F.lit("="), "a")).otherwise(name).alias("c")).where("c is not null")
-    both = cut_lineage(ar.unionByName(en))
-    df = both.groupBy("c").agg(F.count("*").alias("df"), F.count_distinct("language").alias("sides"))
-    n = both.select("work", "language", "at").distinct().count()
-    # concepts of one language only still weigh: they are content without a counterpart
-    return cut_lineage(both.join(df, "c").select("work", "language", "at", "bit", "c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), (F.col("sides") > 1).alias("met")))
+    ar = word.where("language = 'ar'").join(_small(lex.select(F.col("a").alias("w")).distinct().withColumn("known", F.lit(True))), "w", "left")
+    ar = ar.select("work", "language", "at", "bit", F.when(F.col("number") | F.col("known"), as_word).alias("c1"), name.alias("c2"))
+    en = word.where("language = 'en'").join(_small(lex.withColumnRenamed("e", "w")), "w", "left")
+    en = en.select("work", "language", "at", "bit", F.when(F.col("number"), as_word).when(F.col("a").isNotNull(), F.xxhash64(F.lit("="), "a")).otherwise(name).alias("c1"), F.lit(None).cast("bigint").alias("c2"))
+    both = cut_lineage(ar.unionByName(en).where("c1 is not null or c2 is not null"))
+    one = both.select("language", F.explode(F.array("c1", "c2")).alias("c")).where("c is not null")
+    df = one.groupBy("c").agg(F.count("*").alias("df"), (F.max((F.col("language") == "ar").cast("int")) + F.max((F.col("language") == "en").cast("int")) > 1).alias("met"))
+    n = s.count()
+    df = cut_lineage(df.select("c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), "met"))
+    side = lambda k: _small(df.select(F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"), F.col("met").alias(f"m{k}")))
+    weighed = both.join(side(1), "c1", "left").join(side(2), "c2", "left")
+    own = lambda k: F.coalesce(F.when(F.col(f"m{k}"), F.col(f"w{k}")).otherwise(F.col(f"w{k}") * 0.5), F.lit(0.0))
+    whole = cut_lineage(weighed.groupBy("work", "language", "at").agg(F.sum(F.greatest(own(1), own(2))).alias("whole")))
+    each = F.explode(F.array(*(F.when(F.col(f"m{k}"), F.struct(F.col(f"c{k}").alias("c"), F.col(f"w{k}").alias("weight"))) for k in (1, 2))))
+    cons = cut_lineage(weighed.select("work", "language", "at", "bit", each.alias("x")).where("x is not null").select("work", "language", "at", "bit", "x.c", "x.weight"))
+    return cons, whole
 
 
 def offsets(cons: DataFrame, proposals: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -151,7 +171,7 @@ def offsets(cons: DataFrame, proposals: DataFrame, links: DataFrame | None = Non
     sizes = cons.groupBy("work").agg(F.max(F.when(F.col("language") == "ar", F.col("at"))).alias("last_x"), F.max(F.when(F.col("language") == "en", F.col("at"))).alias("last_y")).where("last_x is not null and last_y is not null")
     sizes = sizes.withColumn("slope", (F.col("last_y") + 1) / (F.col("last_x") + 1))
     here = lambda la: F.max(F.when(F.col("language") == la, F.col("at")))
-    once = cons.where("met").groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), here("ar").alias("x"), here("en").alias("y"))
+    once = cons.groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), here("ar").alias("x"), here("en").alias("y"))
     anchors = once.where("na = 1 and ne = 1").select("work", "x", "y")
     points = anchors.unionByName(proposals) if links is None else anchors.unionByName(proposals).unionByName(links)
     off = points.join(sizes, "work").withColumn("d", F.col("y") - F.col("x") * F.col("slope"))
@@ -165,17 +185,14 @@ def offsets(cons: DataFrame, proposals: DataFrame, links: DataFrame | None = Non
     return cut_lineage(known.select("work", "stretch", "slope", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.least(F.ceil(half), F.col("last_y") + 1).cast("long").alias("half")))
 
 
-def points(cons: DataFrame, where: DataFrame) -> DataFrame:
+def points(cons: DataFrame, whole: DataFrame, where: DataFrame) -> DataFrame:
     """(work, x, y, shared, of_ar, of_en, ar_bits, en_bits): sentence pairs in the rectangles with enough in common."""
-    # a word weighs once, with its likeliest concept
-    weight = F.when(F.col("met"), F.col("weight")).otherwise(F.col("weight") * 0.5)
-    whole = cut_lineage(cons.groupBy("work", "language", "at", "bit").agg(F.max(weight).alias("weight")).groupBy("work", "language", "at").agg(F.sum("weight").alias("whole")))
-    a = cons.where("language = 'ar' and met").withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(where, ["work", "stretch"])
+    a = cons.where("language = 'ar'").withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(where, ["work", "stretch"])
     center = F.col("at") * F.col("slope") + F.col("shift")
     side = F.lit(2 * HALF)
     low, high = F.floor((center - F.col("half")) / side), F.floor((center + F.col("half")) / side)
     a = a.select("work", F.col("at").alias("x"), F.col("bit").alias("a_bit"), "c", center.alias("center"), "half", F.explode(F.sequence(low, high)).alias("cell"))
-    e = cons.where("language = 'en' and met").select("work", F.col("at").alias("y"), F.col("bit").alias("e_bit"), "c", "weight", F.floor(F.col("at") / side).alias("cell"))
+    e = cons.where("language = 'en'").select("work", F.col("at").alias("y"), F.col("bit").alias("e_bit"), "c", "weight", F.floor(F.col("at") / side).alias("cell"))
     met = a.join(e, ["work", "cell", "c"]).where(F.abs(F.col("y") - F.col("center")) <= F.col("half"))
     bits = lambda c: F.expr(f"bit_or(shiftleft(1L, cast({c} % 63 as int)))")
     pairs = met.groupBy("work", "x", "y").agg(F.sum("weight").alias("shared"), bits("a_bit").alias("ar_bits"), bits("e_bit").alias("en_bits")).where("shared > 2")
@@ -207,6 +224,14 @@ def chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], int)
 
 
+def _most(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest value of each key, for each place."""
+    names, at = np.unique(key, return_inverse=True)
+    out = np.full(len(names), -np.inf)
+    np.maximum.at(out, at, value)
+    return out[at]
+
+
 def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """The points of one stretch that hold: the chain, further members of its blocks, inversions."""
     pdf = pdf.sort_values(["x", "y"], kind="stable").reset_index(drop=True)
@@ -214,7 +239,7 @@ def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     fit = np.sqrt(np.maximum(of_ar, 0.05) * np.maximum(of_en, 0.05))
     weight = fit * np.log1p(pdf.shared.to_numpy())
     # noise: points that are weak in the heavier sentence and beaten clearly in their row and in their column
-    row, col = pd.Series(fit).groupby(x).transform("max").to_numpy(), pd.Series(fit).groupby(y).transform("max").to_numpy()
+    row, col = _most(x, fit), _most(y, fit)
     alive = (fit >= 0.7 * row) | (fit >= 0.7 * col)
     idx = np.flatnonzero(alive)
     kept = idx[chain(x[idx], y[idx], weight[idx])] if len(idx) else idx
@@ -235,7 +260,8 @@ def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
     if len(kept):
         # the line through the chain, smoothed, since single points of it may be repetitions
-        line = pd.Series(y[kept] - x[kept]).rolling(5, center=True, min_periods=1).median().to_numpy()
+        shift = y[kept] - x[kept]
+        line = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(shift, 2, mode="edge"), 5), axis=1)
         off = lambda some: np.abs(y[some] - x[some] - np.interp(x[some], x[kept], line))
         take(kept, off(kept))
         rest = np.setdiff1d(np.arange(len(x)), kept)
@@ -252,9 +278,9 @@ def align(sentences: DataFrame, dp_links: DataFrame, structural_links: DataFrame
     rows = sentences.select("id", "paragraph_id", "work_id", "language", "global_sequence", "text")
     s = _without_common(cut_lineage(_sentences(rows)))
     proposals = cut_lineage(_proposals(dp_links.select("work_id", "arabic_start", "arabic_end", "english_start", "english_end")))
-    cons = concepts(s, lexicon(s, proposals))
+    cons, whole = concepts(s, lexicon(s, proposals))
     links = None if structural_links is None or paragraphs is None else _starts(structural_links, paragraphs, rows)
-    found = points(cons, offsets(cons, proposals, links))
+    found = points(cons, whole, offsets(cons, proposals, links))
     reach = F.array_distinct(F.array(F.floor((F.col("x") - MARGIN) / STRETCH), F.floor(F.col("x") / STRETCH), F.floor((F.col("x") + MARGIN) / STRETCH)))
     spread = found.withColumn("stretch", F.explode(reach))
 
