@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from twinscript.llm._chars import AMBIGUOUS, LOOKALIKES, PLAIN_CLASS, SPACE_CLASS, fold, is_plain, route, visible
 from twinscript.llm._registry import query
+from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
 
@@ -85,7 +86,7 @@ def canonical_spellings(strings: DataFrame, budget: int = 0) -> DataFrame:
     that share a key with one of them are shuffled to a trie.
     """
     counted = strings.where("text is not null").groupBy("text").agg(F.sum("n").alias("n"))
-    marked = counted.withColumn("odd", _suspicious("text") | ~_plain("text"))
+    marked = cut_lineage(counted.withColumn("odd", _suspicious("text") | ~_plain("text")))
     odd = marked.where("odd").select("text", _route("text").alias("key"))
     words = marked.where(~F.col("odd") & (F.col("text") != "")).select("text", "n", _route("text").alias("key"))
     words = words.join(odd.select("key").distinct(), "key", "left_semi")
@@ -101,7 +102,7 @@ def canonical_spellings(strings: DataFrame, budget: int = 0) -> DataFrame:
 
     left = odd.select(F.col("text").alias("odd_text"), F.col("key").alias("odd_key")).withColumn("odd_bucket", F.pmod(F.xxhash64("odd_key"), F.lit(buckets)))
     right = words.select("text", "n", bucket)
-    return left.groupBy("odd_bucket").cogroup(right.groupBy("bucket")).applyInPandas(walk, "text string, canonical string")
+    return cut_lineage(left.groupBy("odd_bucket").cogroup(right.groupBy("bucket")).applyInPandas(walk, "text string, canonical string"))
 
 
 def canonical_texts(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -128,7 +129,7 @@ def canonical_texts(rows: DataFrame, key: list[str], text: str = "text") -> Data
 def lookalike_sentences(sentences: DataFrame) -> DataFrame:
     """(first_id, second_id): rows of one work and language that look the same but aren't equal."""
     rows = sentences.select("id", "work_id", "language", "text").where("id is not null and text is not null").dropDuplicates(["id", "text"])
-    forms = canonical_texts(rows, ["id", "work_id", "language"])
+    forms = cut_lineage(canonical_texts(rows, ["id", "work_id", "language"]))
     where = ["work_id", "language", "canonical"]
     mixed = forms.groupBy(*where).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*where)
     members = forms.join(mixed, where, "left_semi")
