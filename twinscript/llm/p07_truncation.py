@@ -119,7 +119,9 @@ def word_evidence(measured: DataFrame) -> DataFrame:
     """(word, ending): log-likelihood ratio that a text whose last word this is was cut rather than complete."""
     plain = measured.where("not wrapped and body <> ''")
     tokens = F.filter(F.split(F.trim("body"), r"\s+"), lambda x: x != "")
-    words = plain.select(F.posexplode(tokens).alias("at", "w"), F.size(tokens).alias("size"), F.get(tokens, F.size(tokens) - 2).rlike(CLOSING).alias("after_mark"))
+    # cut once for each text, not once for each word
+    whole = plain.select(tokens.alias("tokens")).withColumn("size", F.size("tokens")).withColumn("after_mark", F.get("tokens", F.col("size") - 2).rlike(CLOSING))
+    words = whole.select("size", "after_mark", F.posexplode("tokens").alias("at", "w"))
     marked = F.col("w").rlike(CLOSING)
     last = F.col("at") == F.col("size") - 1
     counted = words.select(_bare(F.col("w")).alias("word"), (marked | (last & F.coalesce("after_mark", F.lit(False)))).cast("long").alias("final")).groupBy("word").agg(F.count("*").alias("n"), F.sum("final").alias("final"))
