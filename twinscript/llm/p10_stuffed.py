@@ -45,9 +45,10 @@ _TAG = re.compile(r"#\w+|[$€£]\s?\d[\d.,]*|\b[A-Z]{2,}\d{2,}\b")
 _MARKUP = re.compile(r"<[^>]*>")
 _JOINED = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 _DOTTED = re.compile(r"\.[a-z]{3}")
 _ARABIC = re.compile("[\u0620-\u064a\u066e-\u06d3]+")
-_DROP = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640}
+_MARKS = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640) + "]+")
 
 
 def page(text: str) -> tuple[str, list[str], int, int]:
@@ -61,8 +62,8 @@ def page(text: str) -> tuple[str, list[str], int, int]:
         tags = len(_TAG.findall(text))
         text = _JOINED.sub(" ", text)
     if text.isascii():
-        return "latin", list(filter(str.isalpha, _WORD.findall(text.lower()))), links, tags
-    folded = unicodedata.normalize("NFC", text).translate(_DROP).lower()
+        return "latin", list(filter(str.isalpha, text.translate(_ASCII).split())), links, tags
+    folded = _MARKS.sub("", unicodedata.normalize("NFC", text)).lower()
     words = list(filter(str.isalpha, _WORD.findall(folded)))
     arabic = len(_ARABIC.findall(folded))
     script = "arabic" if arabic > 0.75 * len(words) else "latin" if arabic < 0.25 * len(words) else "mixed"
