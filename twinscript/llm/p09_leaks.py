@@ -34,19 +34,26 @@ N, LEAST_SHARE, LEAST_WORDS, GAP = 5, 0.23, 8, 60
 #: Most characters of item text whose n-grams one slice sends to the executors.
 SLICE_CHARS = 20_000_000
 
-_DROP: dict[int, str | None] = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640}
-_TABLE = _DROP | {ord(k): v for k, v in LOOKALIKES.items()}
+_MARKS = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640) + "]+")
+_LOOKS = re.compile("[" + "".join(LOOKALIKES) + "]")
+_LOOK = str.maketrans(LOOKALIKES)
 _WORDS = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 
 
-def words_of(text: str, drop: dict = _TABLE) -> list[str]:
+def folded(text: str) -> str:
+    """Lower case without accents, marks and invisible characters, look-alikes replaced."""
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return (text.translate(_LOOK) if _LOOKS.search(text) else text).lower()
+
+
+def words_of(text: str) -> list[str]:
     """Normalised words."""
     if "-" in text and "\n" in text:
         text = _BROKEN.sub("-", text)
     if text.isascii():
         return _WORDS.findall(text.lower())
-    return _WORDS.findall(unicodedata.normalize("NFKD", text).translate(drop).lower())
+    return _WORDS.findall(folded(text))
 
 
 _ARABIC = re.compile("[\u0620-\u064a\u0660-\u0669\u066e-\u06d3]+")
@@ -59,8 +66,8 @@ def streams_of(text: str) -> list[list[str]]:
         return [words_of(text)]
     if "-" in text and "\n" in text:
         text = _BROKEN.sub("-", text)
-    folded = unicodedata.normalize("NFKD", text).translate(_TABLE).lower()
-    return [x for x in (_ARABIC.findall(folded), _OTHER.findall(folded)) if x]
+    plain = folded(text)
+    return [x for x in (_ARABIC.findall(plain), _OTHER.findall(plain)) if x]
 
 
 class Index:
