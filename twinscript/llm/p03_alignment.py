@@ -38,14 +38,16 @@ LEAST_SHARED, LEAST_INVERTED, FARTHEST = 0.55, 0.6, 40
 #: Words in more sentences than this share of a language carry no content; least support of a translation.
 COMMON, LEAST_SUPPORT, LEAST_GIVEN, LEAST_LIFT = 0.1, 2, 0.3, 4.0
 
-_DROP: dict[int, str | None] = {c: None for c in range(0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf")}
-_TABLE = _DROP | {ord(k): v for k, v in LOOKALIKES.items()} | {0x660 + k: str(k) for k in range(10)} | {0x6F0 + k: str(k) for k in range(10)}
+_MARKS = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf")) + "]+")
+_LOOK = str.maketrans(LOOKALIKES | {chr(0x660 + k): str(k) for k in range(10)} | {chr(0x6F0 + k): str(k) for k in range(10)})
+_LOOKS = re.compile("[" + "".join(chr(c) for c in _LOOK) + "]")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str, arabic: bool, drop: dict = _TABLE) -> list[str]:
+def words(text: str, arabic: bool) -> list[str]:
     """Normalised words: articles and joined prepositions off in Arabic, plural endings in English."""
-    t = text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).translate(drop).lower()
+    t = text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    t = (t.translate(_LOOK) if _LOOKS.search(t) else t).lower()
     t = t.replace("لـ", " ").replace("ـ", "")
     out = []
     for w in _WORD.findall(t):
