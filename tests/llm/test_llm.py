@@ -241,6 +241,23 @@ def test_stuffed_pages(spark):
     assert p10_stuffed.judged(df.limit(0)).count() == 0
 
 
+def _plain_and_stuffed(rng):
+    """150 pages of prose of which half the words are common, six of keywords."""
+    rare = ["".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(600)]
+    prose = [" ".join(f"The {rng.choice(rare)} {rng.choice(rare)} saw the {rng.choice(rare)} in the {rng.choice(rare)}." for _ in range(rng.randint(4, 12))) for _ in range(150)]
+    keywords = "buy cheap books online free novels ebooks download the".split()
+    return prose, [" ".join(rng.sample(keywords, 9)) + " " + " ".join(keywords[i % 8 : i % 8 + 1] + keywords) * 10 for i in range(6)]
+
+
+def test_stuffed_pages_with_common_words(spark):
+    prose, spam = _plain_and_stuffed(random.Random(6))
+    mixed, verse = "the books the novels " * 25, "\n".join("the king saw the mill in the rain" for _ in range(20))
+    df = spark.createDataFrame(list(enumerate([*prose, *spam, mixed, verse])), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in p10_stuffed.judged(df).collect()}
+    assert got[156].ratio > 0.8 and got[156].stuffed
+    assert {i for i, r in got.items() if r.stuffed} == set(range(150, 157))
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_packed", "p9_found", "p10_found"])
 def test_queries_run_on_the_smallest_tables(spark, name):
     from twinscript.llm import QUERIES

@@ -1,12 +1,13 @@
 """Problem 10: keyword-stuffed and link-list pages.
 
 Per page the rank-frequency curve of its adjacent word pairs is fitted with SQL windows (ties share their middle
-rank); its slope and height are compared with those of pages in the same script at comparable lengths, by the median over all
-documents. Divergence from prose is the share of head words, the words that a quarter of all pages of the script
-contain; links and product tags weigh against it. A page is stuffed if it lacks head words and either its curve is
-extremely steep or links and tags fill it. Pages in between (chains of tellers lack head words and repeat
-themselves too) are decided by the mean log-likelihood ratio of their words under the words of the pages decided
-so far, stuffed against prose.
+rank); its slope, height and residual are compared with those of pages in the same script at comparable lengths, by the
+median over all documents. Divergence from prose is the share of head words, the words that a quarter of all pages of
+the script contain, against the same median; links and product tags weigh against it. A page is stuffed if it lacks
+head words and either its curve is extremely steep or links and tags fill it. Pages in between (chains of tellers lack
+head words and repeat themselves too) and pages whose curve alone is extreme, whatever their words, are decided by the
+mean log-likelihood ratio of their words under the words of the pages decided so far, stuffed against prose; a word
+that no stuffed page contains can't speak for stuffing.
 
 Head words are at most four times the mean number of distinct words of a page, so their broadcast is bounded.
 Defined results: null and empty texts, and texts of fewer than LEAST_TERMS words, links and tags, aren't stuffed;
@@ -37,6 +38,8 @@ BARE, BARE_SLOPE, BARE_LINKS = 0.2, 0.08, 0.06
 THIN, THIN_SLOPE, THIN_LINKS = 0.3, 0.2, 0.15
 OPEN, OPEN_SLOPE, OPEN_LINKS = 0.8, 0.1, 0.05
 LINKED = 0.6
+#: A curve so much steeper, or fitted so much worse, than comparable pages opens a page by itself.
+EXTREME_SLOPE, EXTREME_RESIDUAL = 0.3, 0.15
 #: A few keywords repeated equally often have a flat curve, but a high one: so much mean log frequency above comparable pages counts as a slope of one below them.
 LEVEL = 5.0
 
@@ -146,10 +149,12 @@ def judged(documents: DataFrame) -> DataFrame:
     linked = (F.col("links") + F.col("tags")) / F.greatest(F.col("links") + F.col("tags") + F.col("words"), F.lit(1))
     share = F.col("head") / F.greatest(F.col("words") + 2 * (F.col("links") + F.col("tags")), F.lit(1))
     f = f.withColumn("linked", linked).withColumn("share", share).withColumn("length", F.floor(F.log2(F.col("words") + 1)))
-    by_script = f.groupBy("script").agg(F.percentile_approx("share", 0.5, 1000).alias("prose_share"), F.percentile_approx("slope", 0.5, 1000).alias("script_slope"), F.percentile_approx("level", 0.5, 1000).alias("script_level"))
-    # a length class of few pages is compared with all pages of its script
-    by_length = f.groupBy("script", "length").agg(F.percentile_approx("slope", 0.5, 1000).alias("length_slope"), F.percentile_approx("level", 0.5, 1000).alias("length_level"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).drop("pages")
-    f = f.join(by_script, "script").join(by_length, ["script", "length"], "left").withColumn("prose_slope", F.coalesce("length_slope", "script_slope")).withColumn("prose_level", F.coalesce("length_level", "script_level"))
+    medians = lambda of: [F.percentile_approx(c, 0.5, 1000).alias(f"{of}_{c}") for c in ("share", "slope", "level", "residual")]
+    by_script = f.groupBy("script").agg(*medians("script"))
+    # a length class of few pages, or without head words, is compared with all pages of its script
+    by_length = f.groupBy("script", "length").agg(*medians("length"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).drop("pages")
+    f = f.join(by_script, "script").join(by_length, ["script", "length"], "left").withColumn("prose_share", F.when(F.col("length_share") > 0, F.col("length_share")).otherwise(F.col("script_share")))
+    f = f.withColumns({f"prose_{c}": F.coalesce(f"length_{c}", f"script_{c}") for c in ("slope", "level", "residual")})
     ratio = F.when(F.col("prose_share") > 0, F.col("share") / F.col("prose_share")).otherwise(1.0)
     f = f.withColumn("ratio", ratio).withColumn("steeper", F.greatest(F.col("prose_slope") - F.col("slope"), (F.col("level") - F.col("prose_level")) / LEVEL))
     enough = F.col("words") + F.col("links") + F.col("tags") >= LEAST_TERMS
@@ -157,6 +162,7 @@ def judged(documents: DataFrame) -> DataFrame:
     sure |= (F.col("ratio") < THIN) & ((F.col("steeper") > THIN_SLOPE) | (F.col("linked") > THIN_LINKS))
     sure |= (F.col("ratio") < LINKED) & (F.col("linked") > 0.3)
     maybe = (F.col("ratio") < OPEN) & ((F.col("steeper") > OPEN_SLOPE) | (F.col("linked") > OPEN_LINKS))
+    maybe |= (F.col("steeper") > EXTREME_SLOPE) | (F.col("residual") - F.col("prose_residual") > EXTREME_RESIDUAL)
     decided = f.withColumn("verdict", F.when(~enough, "prose").when(sure, "stuffed").when(maybe, "open").otherwise("prose")).persist()
     rest = _by_words(documents, decided.select("doc_id", "verdict"), counts)
     out = decided.join(rest, "doc_id", "left")
@@ -178,6 +184,7 @@ def _by_words(documents: DataFrame, verdicts: DataFrame, counts: DataFrame) -> D
     sizes = verdicts.agg(F.sum(F.when(F.col("verdict") == "stuffed", 1).otherwise(0)).alias("ns"), F.count("*").alias("na")).withColumn("one", F.lit(1))
     known = words.where("verdict = 'open'").join(every, "word").join(stuffed, "word", "left").na.fill(0, ["s"]).withColumn("one", F.lit(1)).join(sizes, "one")
     llr = F.log((F.col("s") + 0.5) / (F.col("ns") + 1)) - F.log((F.greatest(F.col("n") - F.col("s"), F.lit(0)) + 0.5) / (F.col("na") - F.col("ns") + 1))
+    llr = F.when(F.col("s") > 0, llr).otherwise(F.least(llr, F.lit(0.0)))
     bound = F.lit(math.log(50))
     return known.groupBy("doc_id").agg((F.sum(F.col("k") * F.greatest(F.least(llr, bound), -bound)) / F.sum("k")).alias("llr"))
 
