@@ -258,6 +258,16 @@ def test_stuffed_pages_with_common_words(spark):
     assert {i for i, r in got.items() if r.stuffed} == set(range(150, 157))
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_a_hot_group_of_stuffed_pages_defines_nothing(spark, alike):
+    rng = random.Random(7)
+    prose, spam = _plain_and_stuffed(rng)
+    hot = "old poetry cheap maqamat arabic pdf".split()
+    pages = [" ".join(hot * 8)] * 100 if alike else [" ".join(" ".join(rng.sample(hot, 6)) + " old poetry cheap" * 9 for _ in range(3)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate([*prose, *spam, *pages])), "doc_id bigint, text string")
+    assert {r.doc_id for r in p10_stuffed.judged(df).where("stuffed").collect()} == set(range(150, 256))
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "p8_packed", "p9_found", "p10_found"])
 def test_queries_run_on_the_smallest_tables(spark, name):
     from twinscript.llm import QUERIES

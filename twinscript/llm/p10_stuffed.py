@@ -9,6 +9,10 @@ head words and repeat themselves too) and pages whose curve alone is extreme, wh
 mean log-likelihood ratio of their words under the words of the pages decided so far, stuffed against prose; a word
 that no stuffed page contains can't speak for stuffing.
 
+What prose is can't be defined by a hot group: equal texts count once in head words, medians and likelihoods, and pages
+that repeat their pairs or hold links have no say in head words and medians, so neither copies of a stuffed page nor a
+source that varies the same keywords make them common.
+
 Head words are at most four times the mean number of distinct words of a page, so their broadcast is bounded.
 Defined results: null and empty texts, and texts of fewer than LEAST_TERMS words, links and tags, aren't stuffed;
 repeated rows give one row; empty tables give empty results.
@@ -31,6 +35,8 @@ from twinscript.sources.tables import table
 
 #: Share of a script's pages that contain a head word; least number of words, links and tags of a page to judge.
 HEAD_SHARE, LEAST_TERMS = 0.25, 8
+#: A page has a say in what prose is if so great a share of the pairs in its first words are distinct.
+DISTINCT_PAIRS, FIRST_WORDS = 0.7, 128
 #: Fewest pages of a length class that are compared among themselves.
 LEAST_PAGES = 30
 #: Bounds on the ratio of head words to prose, slope below comparable pages, share of links and tags: surely, steeply, to be judged by words.
@@ -73,60 +79,75 @@ def page(text: str) -> tuple[str, list[str], int, int]:
     return script, words, links, tags
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(script, word, n): pages of a script that contain a word; the word '' counts the pages."""
+def plain(words: list[str], links: int, tags: int) -> bool:
+    """Whether a page has a say in what prose is: it neither repeats itself nor is filled with links and tags."""
+    first = words[:FIRST_WORDS]
+    return bool(words) and links + tags <= OPEN_LINKS * (links + tags + len(words)) and len(set(zip(first, first[1:], strict=False))) >= DISTINCT_PAIRS * (len(first) - 1)
+
+
+def weighed(documents: DataFrame) -> DataFrame:
+    """The documents that have a text as (doc_id, text, key, weight); the weights of equal texts add up to one."""
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key")).where("text is not null and text <> ''")
+    copies = texts.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").persist()
+    copies.count()  # with its size known, a small table is broadcast and the texts stay where they are
+    return texts.join(copies, "key", "left").select("doc_id", "text", "key", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
 
-    def frame(seen: dict[str, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(s, w, n) for s, c in seen.items() for w, n in c.items()], columns=["script", "word", "n"])
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(script, word, n, plain): weighed pages, and weighed plain pages, of a script that contain a word; the word '' counts the pages."""
+
+    def frame(seen: dict[tuple[str, bool], dict[str, float]]) -> pd.DataFrame:
+        return pd.DataFrame([(s, w, n, n if p else 0.0) for (s, p), c in seen.items() for w, n in c.items()], columns=["script", "word", "n", "plain"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, Counter] = {}
+        seen: dict[tuple[str, bool], Counter] = {}
         for pdf in batches:
-            for text in pdf.text:
-                script, words, _, _ = page(text)
-                c = seen.setdefault(script, Counter())
-                c.update(set(words))
-                c[""] += 1
+            for text, weight in zip(pdf.text, pdf.weight, strict=True):
+                script, words, links, tags = page(text)
+                c = seen.setdefault((script, plain(words, links, tags)), Counter())
+                mine = {*words, ""}
+                c.update(mine if weight == 1 else dict.fromkeys(mine, weight))
             if sum(map(len, seen.values())) > 500_000:
                 yield frame(seen)
                 seen = {}
         yield frame(seen)
 
-    return documents.select("text").where("text is not null and text <> ''").mapInPandas(count, "script string, word string, n bigint").groupBy("script", "word").agg(F.sum("n").alias("n"))
+    return texts.select("text", "weight").mapInPandas(count, "script string, word string, n double, plain double").groupBy("script", "word").agg(F.round(F.sum("n"), 6).alias("n"), F.round(F.sum("plain"), 6).alias("plain"))
 
 
 def head_words(counts: DataFrame) -> dict[str, frozenset[str]]:
-    """The words that HEAD_SHARE of a script's pages contain, by script."""
-    pages = counts.where("word = ''").select(F.col("script").alias("of"), F.col("n").alias("pages"))
-    frequent = counts.where("word <> ''").join(pages, F.col("script") == F.col("of")).where(F.col("n") >= HEAD_SHARE * F.col("pages"))
+    """The words that HEAD_SHARE of a script's plain pages contain, by script; of all pages where few are plain."""
+    pages = counts.where("word = ''").select(F.col("script").alias("of"), F.col("n").alias("pages"), F.col("plain").alias("plain_pages"))
+    enough = F.col("plain_pages") >= LEAST_PAGES
+    frequent = counts.where("word <> ''").join(pages, F.col("script") == F.col("of")).where(F.when(enough, F.col("plain")).otherwise(F.col("n")) >= HEAD_SHARE * F.when(enough, F.col("plain_pages")).otherwise(F.col("pages")))
     heads: dict[str, set[str]] = {}
     for script, word in frequent.select("script", "word").collect():
         heads.setdefault(script, set()).add(word)
     return {s: frozenset(w) for s, w in heads.items()}
 
 
-def page_features(documents: DataFrame, heads: dict[str, frozenset[str]]) -> DataFrame:
-    """(doc_id, script, words, links, tags, head, curve) of documents(doc_id, text); curve lists (frequency, how many pairs have it)."""
-    sent = documents.sparkSession.sparkContext.broadcast(heads)
+def page_features(texts: DataFrame, heads: dict[str, frozenset[str]]) -> DataFrame:
+    """(doc_id, key, weight, script, words, links, tags, head, plain, curve) of weighed texts; curve lists (frequency, how many pairs have it)."""
+    sent = texts.sparkSession.sparkContext.broadcast(heads)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
+            for doc, text, key, weight in zip(pdf.doc_id, pdf.text, pdf.key, pdf.weight, strict=True):
                 script, words, links, tags = page(text)
                 mine = known.get(script, frozenset())
                 curve = Counter(Counter(zip(words, words[1:], strict=False)).values())
-                rows.append((doc, script, len(words), links, tags, sum(map(mine.__contains__, words)), [{"frequency": f, "pairs": m} for f, m in curve.items()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "script", "words", "links", "tags", "head", "curve"])
+                rows.append((doc, key, weight, script, len(words), links, tags, sum(map(mine.__contains__, words)), plain(words, links, tags), [{"frequency": f, "pairs": m} for f, m in curve.items()]))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "weight", "script", "words", "links", "tags", "head", "plain", "curve"])
 
-    schema = "doc_id bigint, script string, words int, links int, tags int, head int, curve array<struct<frequency int, pairs int>>"
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''").mapInPandas(measure, schema)
+    schema = "doc_id bigint, key bigint, weight double, script string, words int, links int, tags int, head int, plain boolean, curve array<struct<frequency int, pairs int>>"
+    return texts.where("doc_id is not null").mapInPandas(measure, schema)
 
 
 def curves(features: DataFrame) -> DataFrame:
     """features with slope, residual and their comparison with pages of the same script and length class."""
-    base = features.withColumn("page", F.struct("doc_id", "words", "links", "tags", "head"))
+    base = features.withColumn("page", F.struct("doc_id", "key", "weight", "words", "links", "tags", "head", "plain"))
     points = base.select("page", "script", F.explode_outer("curve").alias("p")).select("page", "script", "p.frequency", "p.pairs")
     down = Window.partitionBy("page").orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = points.withColumn("rank", F.coalesce(F.sum("pairs").over(down), F.lit(0)) + (F.col("pairs") + 1) / 2)
@@ -144,15 +165,19 @@ def curves(features: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, stuffed, ratio, slope, residual, linked) of every text that isn't empty."""
-    counts = word_counts(documents).persist()
-    f = curves(page_features(documents, head_words(counts))).persist()
+    texts = weighed(documents)
+    counts = word_counts(texts).persist()
+    f = curves(page_features(texts, head_words(counts))).persist()
     linked = (F.col("links") + F.col("tags")) / F.greatest(F.col("links") + F.col("tags") + F.col("words"), F.lit(1))
     share = F.col("head") / F.greatest(F.col("words") + 2 * (F.col("links") + F.col("tags")), F.lit(1))
     f = f.withColumn("linked", linked).withColumn("share", share).withColumn("length", F.floor(F.log2(F.col("words") + 1)))
-    medians = lambda of: [F.percentile_approx(c, 0.5, 1000).alias(f"{of}_{c}") for c in ("share", "slope", "level", "residual")]
-    by_script = f.groupBy("script").agg(*medians("script"))
-    # a length class of few pages, or without head words, is compared with all pages of its script
-    by_length = f.groupBy("script", "length").agg(*medians("length"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).drop("pages")
+    once = f.dropDuplicates(["key"])
+    median = lambda c, few: F.percentile_approx(F.when(F.col("plain") | few, F.col(c)), 0.5, 1000)
+    medians = lambda of, few: [median(c, few).alias(f"{of}_{c}") for c in ("share", "slope", "level", "residual")]
+    few = once.groupBy("script").agg((F.count_if("plain") < LEAST_PAGES).alias("few"))
+    by_script = once.join(few, "script").groupBy("script").agg(*medians("script", F.col("few")))
+    # a length class of few plain pages, or without head words, is compared with all pages of its script
+    by_length = once.groupBy("script", "length").agg(*medians("length", F.lit(False)), F.count_if("plain").alias("pages")).where(F.col("pages") >= LEAST_PAGES).drop("pages")
     f = f.join(by_script, "script").join(by_length, ["script", "length"], "left").withColumn("prose_share", F.when(F.col("length_share") > 0, F.col("length_share")).otherwise(F.col("script_share")))
     f = f.withColumns({f"prose_{c}": F.coalesce(f"length_{c}", f"script_{c}") for c in ("slope", "level", "residual")})
     ratio = F.when(F.col("prose_share") > 0, F.col("share") / F.col("prose_share")).otherwise(1.0)
@@ -164,25 +189,25 @@ def judged(documents: DataFrame) -> DataFrame:
     maybe = (F.col("ratio") < OPEN) & ((F.col("steeper") > OPEN_SLOPE) | (F.col("linked") > OPEN_LINKS))
     maybe |= (F.col("steeper") > EXTREME_SLOPE) | (F.col("residual") - F.col("prose_residual") > EXTREME_RESIDUAL)
     decided = f.withColumn("verdict", F.when(~enough, "prose").when(sure, "stuffed").when(maybe, "open").otherwise("prose")).persist()
-    rest = _by_words(documents, decided.select("doc_id", "verdict"), counts)
+    rest = _by_words(texts, decided.select("doc_id", "verdict", "weight"), counts)
     out = decided.join(rest, "doc_id", "left")
     return out.select("doc_id", ((F.col("verdict") == "stuffed") | ((F.col("verdict") == "open") & (F.coalesce("llr", F.lit(-1.0)) > 0))).alias("stuffed"), "verdict", "ratio", "slope", "residual", "linked", "llr")
 
 
-def _by_words(documents: DataFrame, verdicts: DataFrame, counts: DataFrame) -> DataFrame:
+def _by_words(texts: DataFrame, verdicts: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, llr) of the open pages: mean log-likelihood ratio of their words, stuffed against all others."""
-    few = documents.select("doc_id", "text").where("text is not null and text <> ''").join(verdicts.where("verdict <> 'prose'"), "doc_id")
+    few = texts.select("doc_id", "text").join(verdicts.where("verdict <> 'prose'"), "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, v, w, k) for d, v, t in zip(pdf.doc_id, pdf.verdict, pdf.text, strict=True) for w, k in Counter(page(t)[1]).items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "verdict", "word", "k"])
+            rows = [(d, v, g, w, k) for d, v, g, t in zip(pdf.doc_id, pdf.verdict, pdf.weight, pdf.text, strict=True) for w, k in Counter(page(t)[1]).items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "verdict", "weight", "word", "k"])
 
-    words = few.mapInPandas(cut, "doc_id bigint, verdict string, word string, k bigint").persist()
-    stuffed = words.where("verdict = 'stuffed'").groupBy("word").agg(F.count("*").alias("s"))
+    words = few.mapInPandas(cut, "doc_id bigint, verdict string, weight double, word string, k bigint").persist()
+    stuffed = words.where("verdict = 'stuffed'").groupBy("word").agg(F.sum("weight").alias("s"))
     every = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    sizes = verdicts.agg(F.sum(F.when(F.col("verdict") == "stuffed", 1).otherwise(0)).alias("ns"), F.count("*").alias("na")).withColumn("one", F.lit(1))
-    known = words.where("verdict = 'open'").join(every, "word").join(stuffed, "word", "left").na.fill(0, ["s"]).withColumn("one", F.lit(1)).join(sizes, "one")
+    sizes = verdicts.agg(F.sum(F.when(F.col("verdict") == "stuffed", F.col("weight")).otherwise(0.0)).alias("ns"), F.sum("weight").alias("na")).withColumn("one", F.lit(1))
+    known = words.where("verdict = 'open'").join(every, "word").join(stuffed, "word", "left").na.fill(0.0, ["s"]).withColumn("one", F.lit(1)).join(sizes, "one")
     llr = F.log((F.col("s") + 0.5) / (F.col("ns") + 1)) - F.log((F.greatest(F.col("n") - F.col("s"), F.lit(0)) + 0.5) / (F.col("na") - F.col("ns") + 1))
     llr = F.when(F.col("s") > 0, llr).otherwise(F.least(llr, F.lit(0.0)))
     bound = F.lit(math.log(50))
