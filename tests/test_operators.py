@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinscript import schemas, sinks
-from twinscript.operators import documents, factory, harness, sampling, segment, timeline
+from twinscript.operators import catalog, documents, factory, harness, sampling, segment, timeline
 from twinscript.streaming import events
 
 
@@ -65,6 +67,23 @@ def test_glossary_terms_in_words_and_alone(spark):
     assert sorted((r.id, r.entry_id) for r in factory.retrieve(p, g).collect()) == [("a", "1"), ("b", "2"), ("c", "4")]
 
 
+def test_token_join_equals_brute_force(spark):
+    rng = random.Random(1)
+    usual, rarer = "kitab ibn sharh diwan".split(), [f"{a}{b}{c}" for a in "bdf" for b in "aeo" for c in "lmns"]
+    works = [(f"{i:03d}", " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 2)))) for i in range(120)]
+    titles = [(i, " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 2)))) for i in range(80)]
+    index = spark.createDataFrame([(u, w) for u, x in works for w in x.split()], "uri string, token string")
+    hits = spark.createDataFrame([(i, x, None) for i, x in titles], "id int, title string, authors string")
+    want = {}
+    for i, x in titles:
+        score, uri = min((-len(set(x.split()) & set(w.split())), u) for u, w in works)
+        if score <= -2:
+            want[i] = (uri, -score)
+    joined = catalog.token_join(hits, index)
+    assert {r.id: (r.uri, r.score) for r in joined.collect()} == want
+    assert {r.id for r in catalog.unmatched(hits, joined).collect()} == {i for i, _ in titles} - set(want)
+
+
 def test_closed_schemas(spark):
     df = spark.createDataFrame([("u", "a")], "uri string, author string")
     assert schemas.enforce(df, "work").columns == schemas.schema("work").fieldNames()

@@ -34,15 +34,23 @@ def token_index(works: DataFrame) -> DataFrame:
 def token_join(hits: DataFrame, index: DataFrame, least: int = 2) -> DataFrame:
     """(id, uri, score): the work that shares most tokens with hits(id, title, authors); ties to the first uri.
 
-    Tokens in a great share of all works say nothing and would pair everything with everything: they are weighed down,
-    and the join runs on the others; a hit of common tokens only falls back to all of them.
+    Tokens in a great share of all works would pair everything with everything, so works are scored one by one only
+    where a rarer token is shared. Works that share nothing but common tokens are scored by their sets of them: each
+    distinct set stands for its first uri, and each distinct set of the hits meets it once. The result is that of
+    comparing every hit with every work.
     """
     df = index.groupBy("token").agg(F.count("*").alias("_df"))
     works = index.select("uri").distinct().count()
-    rare = df.where(F.col("_df") <= max(works * 0.05, 20)).select("token")
+    common = F.col("_df") > max(works * 0.05, 20)
+    rare, common = df.where(~common).select("token"), df.where(common).select("token")
     tokens = hits.select("id", F.explode(F.array_union(t.title_tokens(F.coalesce("title", F.lit(""))), t.title_tokens(F.coalesce("authors", F.lit(""))))).alias("token"))
     seeds = tokens.join(index.join(rare, "token", "left_semi"), "token").select("id", "uri").distinct()
     scored = seeds.join(tokens, "id").join(index, ["uri", "token"]).groupBy("id", "uri").agg(F.count("*").alias("score"))
+    sets = lambda rows, key: rows.join(common, "token", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias(f"{key}_set")).where(F.size(f"{key}_set") >= least)
+    mine, theirs = sets(tokens, "id"), sets(index, "uri").groupBy("uri_set").agg(F.min("uri").alias("uri"))
+    met = mine.select("id_set").distinct().select("id_set", F.explode("id_set").alias("token")).join(theirs.select("uri", F.explode("uri_set").alias("token")), "token").groupBy("id_set", "uri").agg(F.count("*").alias("score"))
+    best = met.groupBy("id_set").agg(F.min(F.struct((-F.col("score")).alias("less"), "uri")).alias("b")).select("id_set", F.col("b.uri").alias("uri"), (-F.col("b.less")).alias("score"))
+    scored = scored.unionByName(mine.join(best, "id_set").select("id", "uri", "score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "uri")
     return scored.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
