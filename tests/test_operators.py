@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinscript import schemas, sinks
-from twinscript.operators import catalog, documents, factory, harness, sampling, segment, timeline
+from twinscript.operators import alignment, catalog, documents, factory, harness, sampling, segment, timeline
 from twinscript.streaming import events
 
 
@@ -84,6 +84,31 @@ def test_token_join_equals_brute_force(spark):
     assert {r.id for r in catalog.unmatched(hits, joined).collect()} == {i for i, _ in titles} - set(want)
 
 
+def test_large_units_are_aligned_whole(spark, tmp_path):
+    from twinscript.plans import bitext
+
+    n, m = 2000, 2001
+    spark.createDataFrame([("w", 0, ["a"], ["b"])], "work_id string, structural_link_index int, arabic_structure_ids array<string>, english_structure_ids array<string>").write.parquet(str(tmp_path / "structural_links.parquet"))
+    spark.createDataFrame([("pa", "a"), ("pb", "b")], "id string, structure_id string").write.parquet(str(tmp_path / "paragraphs.parquet"))
+    words = lambda k: " ".join(["word"] * (k % 7 + 2))
+    rows = [("pa", i, words(i)) for i in range(n)] + [("pb", j, words(j if j < 1200 else j - 1)) for j in range(m)]
+    spark.createDataFrame(rows, "paragraph_id string, global_sequence int, text string").write.parquet(str(tmp_path / "sentences.parquet"))
+    shared = sorted((r.seq, r.first, r.last) for r in bitext.length_partition(spark, str(tmp_path)).collect())
+    assert [s for s, _, _ in shared] == list(range(n)) and [x for _, a, b in shared for x in range(a, b + 1)] == list(range(m))
+    links = sorted((r.a_start, r.a_end, r.b_start, r.b_end) for r in bitext.dp_align_units(spark, str(tmp_path)).collect())
+    assert [x for a, b, _, _ in links for x in range(a, b)] == list(range(n)) and [x for _, _, a, b in links for x in range(a, b)] == list(range(m))
+
+
+def test_divided_tables_give_the_same_path(monkeypatch):
+    rng = random.Random(2)
+    texts = lambda: [" ".join(rng.choice(["a", "b", "12", "7"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 14))]
+    pairs = [(texts(), texts()) for _ in range(30)]
+    sizes = [([rng.randint(0, 90) for _ in range(5)], [rng.randint(0, 50) for _ in range(rng.randint(5, 20))]) for _ in range(30)]
+    whole = [alignment.align_units(a, b) for a, b in pairs], [alignment.length_partition(u, f) for u, f in sizes]
+    monkeypatch.setattr(alignment, "MOST_CELLS", 10)
+    assert whole == ([alignment.align_units(a, b) for a, b in pairs], [alignment.length_partition(u, f) for u, f in sizes])
+
+
 def test_closed_schemas(spark):
     df = spark.createDataFrame([("u", "a")], "uri string, author string")
     assert schemas.enforce(df, "work").columns == schemas.schema("work").fieldNames()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cost of skipping a sentence, words of the target for each of the source, largest table of one group.
+#: Cost of skipping a sentence, words of the target for each of the source, most cells of a table kept at once.
 SKIP, RATIO, MOST_CELLS = 0.6, 1.55, 2_000_000
 MOVES = tuple((a, e) for a in range(1, 4) for e in range(1, 4) if a == 1 or e == 1 or a == e == 2)
 _NUMBER = re.compile(r"\d+")
@@ -28,30 +28,88 @@ def pair_score(source: str, target: str) -> float:
     return 0.1 * shared + 0.1 * length + 0.6 * min(1.0, length)
 
 
+def _span_scores(source: list[str], target: list[str], scorer):
+    """(i, a, e) -> scores of source[i : i + a] with each target[j : j + e]; the same numbers as the scorer's, which for pair_score is called on few pairs only."""
+    joined = lambda texts, i, k: " ".join(texts[i : i + k])
+    if scorer is not pair_score:
+        return lambda i, a, e: np.array([scorer(joined(source, i, a), joined(target, j, e)) for j in range(len(target) - e + 1)])
+    counts = [np.concatenate([[0], np.cumsum([len(x.split()) for x in texts])]) for texts in (source, target)]
+    numbers = [[{str(int(y)) for y in _NUMBER.findall(x)} for x in texts] for texts in (source, target)]
+    where: dict[str, list[int]] = {}
+    for j, found in enumerate(numbers[1]):
+        for number in found:
+            where.setdefault(number, []).append(j)
+    spans: dict[int, tuple[np.ndarray, list[int]]] = {}
+    by_length: dict[tuple[int, int], np.ndarray] = {}
+
+    def scores(i: int, a: int, e: int) -> np.ndarray:
+        if e not in spans:
+            sizes, at = np.unique(counts[1][e:] - counts[1][:-e], return_inverse=True)
+            spans[e] = at, sizes.tolist()
+        at, sizes = spans[e]
+        words = int(counts[0][i + a] - counts[0][i])
+        if (words, e) not in by_length:
+            by_length[words, e] = np.array([pair_score("x " * words, "x " * size) for size in sizes])
+        out = by_length[words, e][at]
+        for j in {k for x in numbers[0][i : i + a] for number in x for at in where.get(number, ()) for k in range(max(0, at - e + 1), min(at, len(target) - e) + 1)}:
+            out[j] = pair_score(joined(source, i, a), joined(target, j, e))
+        return out
+
+    return scores
+
+
 def align_units(source: list[str], target: list[str], scorer=pair_score, skip: float = SKIP, moves=MOVES) -> list[tuple[int, int, int, int, float]]:
-    """Best monotone path of spans (source start, end, target start, end, score); ends exclusive, the first of equal paths."""
+    """Best monotone path of spans (source start, end, target start, end, score); ends exclusive, the first of equal paths.
+
+    Rows are filled one after the other; of a table beyond MOST_CELLS, only every so many rows are kept, and the rows
+    between two of them are filled again on the way back. The path is that of the whole table.
+    """
     n, m = len(source), len(target)
-    if (n + 1) * (m + 1) > MOST_CELLS:
-        raise ValueError(f"a group of {n} by {m} units is too large for one table; divide it by structural anchors")
-    best = np.full((n + 1, m + 1), -np.inf)
-    back: dict[tuple[int, int], tuple[int, int, float]] = {}
-    best[0, 0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            here = best[i, j]
-            if here == -np.inf:
-                continue
-            steps = [(a, e, scorer(" ".join(source[i : i + a]), " ".join(target[j : j + e])) - 0.05 * (a + e - 2)) for a, e in moves if i + a <= n and j + e <= m]
-            steps += [(1, 0, -skip)] * (i < n) + [(0, 1, -skip)] * (j < m)
-            for a, e, s in steps:
-                if here + s > best[i + a, j + e]:
-                    best[i + a, j + e] = here + s
-                    back[i + a, j + e] = (a, e, s)
+    steps = sorted({*((a, e) for a, e in moves), (1, 0), (0, 1)}, reverse=True)
+    deep = max(a for a, _ in steps)
+    spans = _span_scores(source, target, scorer)
+
+    def gain(i: int, a: int, e: int) -> np.ndarray | float:
+        return -skip if (a, e) in ((1, 0), (0, 1)) else spans(i, a, e) - 0.05 * (a + e - 2)
+
+    def fill(before: list[np.ndarray], first: int, last: int, keep: bool) -> tuple[list[np.ndarray], np.ndarray | None]:
+        """The last rows before last, and the step into each cell of rows first to last - 1."""
+        back = np.full((last - first, m + 1), -1, np.int8) if keep else None
+        for i in range(first, last):
+            row, into = np.full(m + 1, -np.inf), np.full(m + 1, -1, np.int8)
+            if i == 0:
+                row[0] = 0.0
+            for k, (a, e) in enumerate(steps):
+                if a == 0 or a > i or e > m:
+                    continue
+                c = before[-a][: m + 1 - e] + gain(i - a, a, e)
+                better = c > row[e:]
+                row[e:][better], into[e:][better] = c[better], k
+            inside = [(k, e, np.broadcast_to(gain(i, 0, e), m + 1 - e).tolist()) for k, (a, e) in enumerate(steps) if a == 0 and e <= m]
+            cells, came = row.tolist(), into.tolist()
+            for j in range(1, m + 1):
+                for k, e, s in inside:
+                    if j >= e and cells[j - e] + s[j - e] > cells[j]:
+                        cells[j], came[j] = cells[j - e] + s[j - e], k
+            before = [*before, np.array(cells)][-deep:]
+            if keep:
+                back[i - first] = came
+        return before, back
+
+    size = max(deep, MOST_CELLS // (m + 1))
+    starts, kept, before = range(0, n + 1, size), [], []
+    for first in starts:
+        kept.append(before)
+        if first != starts[-1]:
+            before, _ = fill(before, first, first + size, False)
     out, i, j = [], n, m
-    while (i, j) != (0, 0):
-        a, e, s = back[i, j]
-        out.append((i - a, i, j - e, j, s))
-        i, j = i - a, j - e
+    for first in reversed(starts):
+        back = fill(kept.pop(), first, min(first + size, n + 1), True)[1]
+        while i >= first and (i, j) != (0, 0):
+            a, e = steps[back[i - first, j]]
+            s = -skip if (a, e) in ((1, 0), (0, 1)) else scorer(" ".join(source[i - a : i]), " ".join(target[j - e : j])) - 0.05 * (a + e - 2)
+            out.append((i - a, i, j - e, j, s))
+            i, j = i - a, j - e
     return out[::-1]
 
 
@@ -78,20 +136,43 @@ def length_partition(units: list[float], fragments: list[float], least: int = 1,
         raise ValueError(f"{m} fragments can't be shared among {n} units of {least} to {most}")
     scale = (sum(fragments) or 1) / (sum(units) or 1)
     prefix = np.concatenate([[0.0], np.cumsum(fragments)])
-    cost = np.full((n + 1, m + 1), np.inf)
-    take = np.zeros((n + 1, m + 1), int)
-    cost[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(i * least, min(m, i * most) + 1):
-            for k in range(least, min(most, j) + 1):
-                if cost[i - 1, j - k] < np.inf:
-                    c = cost[i - 1, j - k] + math.log((prefix[j] - prefix[j - k] + 1) / (units[i - 1] * scale + 1)) ** 2
-                    if c < cost[i, j]:
-                        cost[i, j], take[i, j] = c, k
+    # only places from which the rest can still be shared out: low[i] to high[i]
+    low, high = [max(i * least, m - (n - i) * most) for i in range(n + 1)], [min(i * most, m - (n - i) * least) for i in range(n + 1)]
+
+    def fill(row: np.ndarray, first: int, last: int, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The costs of unit last, and the fragments each place of units first + 1 to last takes."""
+        takes = []
+        for i in range(first + 1, last + 1):
+            here, take = np.full(high[i] - low[i] + 1, np.inf), np.zeros(high[i] - low[i] + 1, np.int32)
+            for k in range(least, most + 1):
+                start, end = max(low[i], low[i - 1] + k), min(high[i], high[i - 1] + k)
+                if start > end:
+                    continue
+                j = slice(start, end + 1)
+                length = prefix[j] - prefix[start - k : end - k + 1]
+                c = row[start - k - low[i - 1] : end - k - low[i - 1] + 1] + np.log((length + 1) / (units[i - 1] * scale + 1)) ** 2
+                at = slice(start - low[i], end - low[i] + 1)
+                better = c < here[at]
+                here[at][better], take[at][better] = c[better], k
+            row = here
+            if keep:
+                takes.append(take)
+        return row, takes
+
+    # of a table beyond MOST_CELLS only every so many rows are kept, the others are filled again on the way back
+    size = max(1, MOST_CELLS // (max(h - x for h, x in zip(high, low, strict=True)) + 1))
+    starts, kept, row = range(0, n, size), [], np.zeros(1)
+    for first in starts:
+        kept.append(row)
+        if first != starts[-1]:
+            row, _ = fill(row, first, first + size, False)
     out, j = [], m
-    for i in range(n, 0, -1):
-        out.append((j - take[i, j], j))
-        j -= take[i, j]
+    for first in reversed(starts):
+        takes = fill(kept.pop(), first, min(first + size, n), True)[1]
+        for i in range(min(first + size, n), first, -1):
+            k = int(takes[i - first - 1][j - low[i]])
+            out.append((j - k, j))
+            j -= k
     return out[::-1]
 
 

@@ -93,7 +93,7 @@ def length_partition(spark: SparkSession, d: str) -> DataFrame:
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.side == s].sort_values("seq") for s in "ab")
-        if not len(a) or len(b) < len(a) or len(b) * len(a) > 4_000_000:
+        if not len(a) or len(b) < len(a):
             return pd.DataFrame(columns=["unit", "seq", "first", "last"])
         shared = alignment.length_partition(a.n.tolist(), b.n.tolist(), 1, max(1, -(-len(b) // len(a)) + 3))
         return pd.DataFrame([(key[0], s, int(b.seq.iloc[i]), int(b.seq.iloc[k - 1])) for s, (i, k) in zip(a.seq, shared, strict=True)], columns=["unit", "seq", "first", "last"])
