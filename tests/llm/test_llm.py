@@ -226,6 +226,15 @@ def test_leaks_however_typed(spark):
     assert p09_leaks.leaks(df, items.limit(0)).count() == 0
 
 
+def test_a_quarter_of_a_short_item_leaks(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    items = spark.createDataFrame([("q", " ".join(words[:26]), None), ("s", " ".join(words[30:35]), None)], "id string, arabic string, reference_english string")
+    noise = " ".join(words[60:120])
+    docs = [(1, f"{noise} {' '.join(words[4:11])} {noise}"), (2, f"{noise} {' '.join(words[4:10])} {noise}"), (3, f"{noise} {' '.join(words[30:35])} {noise}"), (4, f"{noise} {' '.join(words[30:34])} {noise}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert rows(p09_leaks.leaks(df, items).select("doc_id", "item_id")) == [(1, "q"), (3, "s")]
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -8,12 +8,14 @@ known words is looked up. Hits near each other are verified word by word along t
 it agrees and at least three of the five words around it do, so changed words cost only themselves. 5-grams that
 several items share (stock formulas) neither open nor support a case.
 
-Defined results: null and empty texts hold nothing; an item side of fewer than five words is never found; repeated
+Defined results: null and empty texts hold nothing; a short item side needs a quarter of its
+words, five at least, so one of fewer than five words is never found; repeated
 rows give one case; ids may repeat with other texts, each text is scanned.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -29,7 +31,7 @@ from twinscript.llm._chars import LOOKALIKES
 from twinscript.llm._registry import query
 from twinscript.sources.tables import table
 
-#: Words in an n-gram, least share of an item's words and least number of words for a case, words between two hits of one passage.
+#: Words in an n-gram, least share of an item's words and least number of words for a case (a quarter of a short item's), words between two hits of one passage.
 N, LEAST_SHARE, LEAST_WORDS, GAP = 5, 0.23, 8, 60
 #: Most characters of item text whose n-grams one slice sends to the executors.
 SLICE_CHARS = 20_000_000
@@ -124,7 +126,7 @@ class Index:
             by_side[s].append((p, q))
         for s, places in by_side.items():
             item, own = self.sides[s][1], ~self.formula[s]
-            least = max(LEAST_WORDS, LEAST_SHARE * len(item))
+            least = max(min(LEAST_WORDS, max(N, math.ceil(len(item) / 4))), LEAST_SHARE * len(item))
             places.sort()
             cluster: list[tuple[int, int]] = []
             for place in [*places, None]:
