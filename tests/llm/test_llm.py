@@ -166,6 +166,15 @@ def test_consensus_finds_truth_and_spammers(spark):
     assert skill["spam"] < 0.2 < 0.5 < skill["fair"] < skill["good2"]
 
 
+def test_long_chains_of_misspellings_reach_their_end(spark):
+    given = ["abcdefghijkl"]
+    for k in range(11):
+        given.append(given[-1][:k] + "z" + given[-1][k + 1 :])
+    schema = "role string, name string, n bigint, family string, given string, father string, kunya string, death int, bones string, given_bones string, father_bones string"
+    df = spark.createDataFrame([("translator", f"{g} x", 2**k, "familyname", g, None, None, None, "b", "g", None) for k, g in enumerate(given)], schema)
+    assert {r.person for r in p06_variants.persons(df).collect()} == {f"familyname|{given[-1]}"}
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -67,9 +67,13 @@ def persons(spellings: DataFrame) -> DataFrame:
     stronger = (F.col("b_weight") > F.col("a_weight")) | ((F.col("b_weight") == F.col("a_weight")) & (F.col("b_key") < F.col("a_key")))
     best = pairs.where(fits & stronger).groupBy(F.col("a_role").alias("role"), F.col("a_key").alias("key")).agg(F.max_by("b_key", F.struct("b_weight", "b_key")).alias("next"))
     best = cut_lineage(best)
-    step = best.select("role", F.col("key").alias("next"), F.col("next").alias("after"))
-    for _ in range(3):  # weights grow along the chain, so it has no cycle; four steps reach the form a misspelling of a misspelling belongs to
-        best = best.join(step, ["role", "next"], "left").select("role", "key", F.coalesce("after", "next").alias("next"))
+    while True:  # each round doubles the steps until every chain has reached its end; weights grow along it, so it has no cycle
+        step = best.select("role", F.col("key").alias("next"), F.col("next").alias("after"))
+        best = cut_lineage(best.join(step, ["role", "next"], "left").select("role", "key", F.coalesce("after", "next").alias("next"), F.col("after").isNotNull().alias("moved")))
+        if best.where("moved").isEmpty():
+            break
+        best = best.drop("moved")
+    best = best.drop("moved")
     p = p.join(best, ["role", "key"], "left").withColumn("person", F.coalesce("next", "key")).drop("next", "key")
     return cut_lineage(p)
 
