@@ -103,10 +103,39 @@ def test_alignment_of_a_made_up_pair(spark):
     assert p03_alignment.align(s.limit(0), dp.limit(0)).count() == 0
 
 
+def _work(spark, sides):
+    return spark.createDataFrame([("w", la, at, text) for la, at, text in sides], "work_id string, language string, global_sequence int, text string").withColumn("id", F.concat("language", F.col("global_sequence").cast("string")))
+
+
+def test_concepts_are_the_same_sent_or_joined(spark):
+    rng = random.Random(8)
+    names, numbers = ["salim", "karim", "badr", "فرج", "كريم", "سليم"], ["12", "١٢", "7"]
+    sides = [(la, at, " ".join(rng.choices(names + numbers + [f"word{k}" for k in range(20)], k=rng.randint(0, 9)))) for la in ("ar", "en") for at in range(40)]
+    s = p03_alignment._sentences(_work(spark, sides))
+    e, a = p03_alignment._hash("=", "word1") & ~1, p03_alignment._hash("=", "word2") & ~1
+    lex = spark.createDataFrame([(e, a)], "e bigint, a bigint")
+    sent, joined = ({(r.language, r.at): (round(r.whole, 3), sorted(zip(r.c, r.bit, [round(x, 4) for x in r.weight], strict=True))) for r in p03_alignment.concepts(s, lex, most).collect()} for most in (100, 0))
+    assert sent == joined and any(c for _, c in sent.values())
+
+
+def test_proposals_of_any_width_and_sentences_of_any_length(spark):
+    dp = spark.createDataFrame([("w", 0, 2, 5, 7), ("w", 10, 30, 100, 160), ("w", 5, 5, 1, 2), ("w", None, 2, 1, 2)], "work_id string, arabic_start int, arabic_end int, english_start int, english_end int")
+    got = {(r.x, r.y) for r in p03_alignment._proposals(dp).collect()}
+    assert {p for p in got if p[0] < 3} == {(0, 5), (0, 6), (1, 5), (1, 6)}
+    assert {p for p in got if p[0] >= 10} == {(x, 100 + 3 * (x - 10) + k) for x in range(10, 30) for k in range(3)}
+    starts = np.array([0, 2])
+    assert [int.from_bytes(b, "little") for b in p03_alignment._ors(starts, np.array([3, 200, 63, 0]))] == [1 << 3 | 1 << 200, 1 << 63 | 1]
+
+
 def test_chain_is_monotone_and_heaviest():
     rng = np.random.default_rng(0)
-    x, y, w = rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.random(40)
+    x, y = (np.array(v) for v in zip(*random.Random(0).sample([(i, j) for i in range(12) for j in range(12)], 40), strict=True))
+    w = rng.random(40)
     got = p03_alignment.chain(x, y, w)
+    best = {}
+    for i in sorted(range(40), key=lambda i: (x[i], y[i])):
+        best[i] = w[i] + max([best[j] - 0.01 * abs(y[i] - y[j] - x[i] + x[j]) for j in best if x[j] <= x[i] and y[j] <= y[i]] + [0])
+    assert abs(sum(w[i] for i in got) - sum(0.01 * abs(y[b] - y[a] - x[b] + x[a]) for a, b in zip(got, got[1:], strict=False)) - max(best.values())) < 1e-9
     assert all(x[a] <= x[b] and y[a] <= y[b] for a, b in zip(got, got[1:], strict=False))
     assert len(p03_alignment.chain(x[:0], y[:0], w[:0])) == 0
 

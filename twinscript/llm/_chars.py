@@ -31,7 +31,25 @@ def is_plain(text: str) -> bool:
 
 
 def ignorable(char: str) -> bool:
-    return unicodedata.category(char) == "Cf" or char in INVISIBLE or "︀" <= char <= "️"
+    """Format characters, fillers and variation selectors of every plane."""
+    return unicodedata.category(char) == "Cf" or char in INVISIBLE or "︀" <= char <= "️" or "\U000e0100" <= char <= "\U000e01ef"
+
+
+def character_class(*categories: str, also: str = "") -> str:
+    """The characters of the categories beyond ASCII in all planes that hold any, as the inside of a class."""
+    codes = [*range(0x80, 0x20000), *range(0xE0000, 0xE0201)]
+    inside = [c for c, kind in zip(codes, map(unicodedata.category, map(chr, codes)), strict=True) if kind in categories]
+    spans: list[list[int]] = []
+    for c in sorted({*inside, *map(ord, also)}):
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in spans)
+
+
+# Combining marks and format characters.
+MARKS = re.compile(f"[{character_class('Mn', 'Cf')}]+")
 
 
 def visible(text: str) -> str:

@@ -1,16 +1,18 @@
 """Problem 3: sentences that translate each other, by geometric bitext correspondence.
 
 A lexicon of word translations is learnt from the proposals in dp_links (noise averages out); words it lacks are
-compared by their consonants, numbers by value. Both languages' sentences become sets of concepts. Concepts that
-are rare in a work and occur once on each side give anchor points; with the proposals and structural links they
-give each stretch of a work a local offset and spread by medians, so wrong ones don't count. Around the expected
-place a rectangle as large as the local spread demands is searched for points of correspondence: sentence pairs whose
-shared concepts weigh enough in the lighter sentence. Per stretch (of bounded size, with margins) the heaviest chain
-of slope-consistent points is kept, noisy points go, and what remains unmatched on both sides is paired where an
-inversion explains it. Points with a common sentence make blocks of several sentences.
-
-Nothing is gathered by work: stretches are STRETCH sentences. Defined results: null or empty sentences match
-nothing; repeated rows count once; a work with one language only has no pairs; ties go to the earlier place; missing
+compared by their consonants, numbers by value. Both languages' sentences become lists of concepts. The proposals and
+structural links give each stretch of a work a local offset and spread by medians, so wrong ones don't count; in works
+where they leave a stretch with few points, concepts that occur once on each side are anchors too, and a stretch that
+still has none lies between its neighbours, with a rectangle that widens with the distance to them. In the rectangle
+around the expected place points of correspondence are searched: sentence pairs whose shared concepts weigh enough in
+the lighter sentence. Per stretch (of bounded size, with margins) the heaviest chain of slope-consistent points is
+kept, noisy points go, and what remains unmatched on both sides is paired where an inversion explains it. Points with a
+common sentence make blocks of several sentences.
+
+Nothing is gathered by work: points are searched in tiles of STRETCH Arabic and CELL English sentences, chains in
+stretches. Defined results: null or empty sentences match nothing; repeated rows count once, of several texts of one
+place the one with the lowest hashes; a work with one language only has no pairs; ties go to the earlier place; missing
 dp_links or structural_links only cost anchors; links that point to no sentence are ignored.
 """
 
@@ -18,37 +20,41 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from twinscript.llm._chars import LOOKALIKES
+from twinscript.llm._chars import LOOKALIKES, MARKS
 from twinscript.llm._names import bones, roman
 from twinscript.llm._registry import query
 from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
-#: Sentences to a stretch, its margin, least and further half width of a rectangle for each sentence of spread.
-STRETCH, MARGIN, HALF, SPREAD = 256, 32, 24, 3.0
+#: Arabic sentences to a stretch, its margin, English sentences to a tile, least and further half width of a rectangle for each sentence of spread.
+STRETCH, MARGIN, CELL, HALF, SPREAD = 256, 32, 512, 24, 3.0
+#: Fewest points that tell where a stretch lies, and half width for each sentence of distance to a stretch that has them.
+LEAST_POINTS, DRIFT = 5, 0.1
+#: Proposals of more sentences are read as a diagonal instead of as all their pairs.
+WIDE = 4
 #: Least share of the lighter sentence's weight that a pair shares, and for an inversion of both sentences; farthest inversion.
 LEAST_SHARED, LEAST_INVERTED, FARTHEST = 0.55, 0.6, 40
 #: Words in more sentences than this share of a language carry no content; least support of a translation.
 COMMON, LEAST_SUPPORT, LEAST_GIVEN, LEAST_LIFT = 0.1, 2, 0.3, 4.0
+#: Most tokens whose words a task remembers (it forgets them all beyond), most rows of lexicon or weights that are sent to the executors.
+REMEMBERED, MOST_SENT = 200_000, 1_000_000
 
-_MARKS = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf")) + "]+")
-_LOOK = str.maketrans(LOOKALIKES | {chr(0x660 + k): str(k) for k in range(10)} | {chr(0x6F0 + k): str(k) for k in range(10)})
-_LOOKS = re.compile("[" + "".join(chr(c) for c in _LOOK) + "]")
 _WORD = re.compile(r"[^\W_]+")
+_LOOK = str.maketrans(LOOKALIKES | {chr(0x660 + k): str(k) for k in range(10)} | {chr(0x6F0 + k): str(k) for k in range(10)})
 
 
 def words(text: str, arabic: bool) -> list[str]:
     """Normalised words: articles and joined prepositions off in Arabic, plural endings in English."""
-    t = text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    t = (t.translate(_LOOK) if _LOOKS.search(t) else t).lower()
-    t = t.replace("لـ", " ").replace("ـ", "")
+    t = text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_LOOK)
+    t = t.lower().replace("لـ", " ").replace("ـ", "")
     out = []
     for w in _WORD.findall(t):
         if arabic:
@@ -62,42 +68,71 @@ def words(text: str, arabic: bool) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-_WORDS = T.StructType([T.StructField("w", T.ArrayType(T.StringType())), T.StructField("b", T.ArrayType(T.StringType()))])
+def _hash(kind: str, word: str) -> int:
+    return int.from_bytes(blake2b((kind + word).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-@F.pandas_udf(_WORDS)
-def _words(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-    """Words, numbers marked, and their consonants ('' where there are too few)."""
-    out = []
-    known: dict[tuple[str, bool], str] = {}  # words repeat within a batch
-    for t, la in zip(texts, languages, strict=True):
-        arabic = la == "ar"
-        ws = words(t, arabic) if isinstance(t, str) else []
-        bs = []
-        for w in ws:
-            b = known.get((w, arabic))
-            if b is None:
-                b = "" if w.isdigit() else bones(w if arabic else roman(w))
-                known[w, arabic] = b = b if len(b) > 1 else ""
-            bs.append(b)
-        out.append((["#" + w if w.isdigit() else w for w in ws], bs))
-    return pd.DataFrame(out, columns=["w", "b"])
+def hashed(word: str, arabic: bool) -> tuple[int, int]:
+    """Hashes of a word and of its consonants, 0 where there are too few; the first is odd for numbers only."""
+    number = word.isdigit()
+    b = "" if number else bones(word if arabic else roman(word))
+    return _hash("=", word) & ~1 | number, _hash("~", b) if len(b) > 1 else 0
+
+
+class _Memory(dict):
+    """Values made by a function when first asked for; all are forgotten beyond REMEMBERED."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, key: str):
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
+def _memory(arabic: bool) -> _Memory:
+    """The hashed words of each token; words and tokens repeat, so each is made once."""
+    of_word = _Memory(lambda w: hashed(w, arabic))
+    return _Memory(lambda token: [of_word[w] for w in words(token, arabic)])
 
 
 def _sentences(sentences: DataFrame) -> DataFrame:
-    """(work, language, at, w, b): a row for each sentence; work, words and consonants as 64-bit hashes (0 for no consonants)."""
-    s = sentences.where("language in ('ar', 'en') and id is not null and global_sequence is not null and text is not null").dropDuplicates(["id"])
-    s = s.select(F.xxhash64("work_id").alias("work"), "language", F.col("global_sequence").alias("at"), _words("text", "language").alias("t"))
-    hashed = lambda c: F.transform(c, lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(x)))
-    number = F.transform("t.w", lambda x: x.startswith("#"))
-    return s.select("work", "language", "at", F.arrays_zip(hashed(F.col("t.w")).alias("w"), hashed(F.col("t.b")).alias("b"), number.alias("number")).alias("t")).select("work", "language", "at", F.col("t"))
+    """(work, language, at, t): a row for each sentence; t lists its words, each once, as hashes w of the word and b of its consonants."""
+    s = sentences.where("language in ('ar', 'en') and id is not null and global_sequence is not null and text is not null")
+    s = s.select(F.xxhash64("work_id").alias("work"), "language", F.col("global_sequence").alias("at"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = {"ar": _memory(True), "en": _memory(False)}
+        for batch in batches:
+            ends, flat_w, flat_b = [0], [], []
+            for text, language in zip(batch["text"].to_pylist(), batch["language"].to_pylist(), strict=True):
+                of = memory[language]
+                found = dict(pair for token in text.split() for pair in of[token])
+                flat_w += found
+                flat_b += found.values()
+                ends.append(len(flat_w))
+            structs = pa.StructArray.from_arrays([pa.array(flat_w, pa.int64()), pa.array(flat_b, pa.int64())], ["w", "b"])
+            yield pa.RecordBatch.from_arrays([batch["work"], batch["language"], batch["at"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], ["work", "language", "at", "t"])
+
+    made = cut_lineage(s.mapInArrow(cut, "work bigint, language string, at int, t array<struct<w:bigint,b:bigint>>"))
+    # places with several rows are few: only they are gathered
+    place = ["work", "language", "at"]
+    twice = cut_lineage(made.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return made.join(twice, place, "left_anti").unionByName(made.join(twice, place, "left_semi").groupBy(*place).agg(F.min("t").alias("t")))
 
 
 def _proposals(dp_links: DataFrame) -> DataFrame:
-    """(work, x, y): places that an earlier run linked, one row for each pair."""
-    good = dp_links.where("arabic_end > arabic_start and english_end > english_start").where("arabic_end - arabic_start <= 4 and english_end - english_start <= 4")
-    x = good.select(F.xxhash64("work_id").alias("work"), "english_start", "english_end", F.explode(F.sequence("arabic_start", F.col("arabic_end") - 1)).alias("x"))
-    return x.select("work", "x", F.explode(F.sequence("english_start", F.col("english_end") - 1)).alias("y")).distinct()
+    """(work, x, y): places that an earlier run linked, one row for each pair; of wide proposals the places about their diagonal."""
+    good = dp_links.where("arabic_start >= 0 and english_start >= 0 and arabic_end > arabic_start and english_end > english_start")
+    x = good.select(F.xxhash64("work_id").alias("work"), "arabic_start", "arabic_end", "english_start", "english_end", F.explode(F.sequence("arabic_start", F.col("arabic_end") - 1)).alias("x"))
+    n, m = F.col("arabic_end") - F.col("arabic_start"), F.col("english_end") - F.col("english_start")
+    low = F.floor((F.col("x") - F.col("arabic_start")) * m / n).cast("int")
+    high = F.ceil((F.col("x") - F.col("arabic_start") + 1) * m / n).cast("int") - 1
+    wide = F.greatest(n, m) > WIDE
+    ys = F.sequence(F.col("english_start") + F.when(wide, low).otherwise(0), F.col("english_start") + F.when(wide, F.greatest(low, high)).otherwise(m - 1))
+    return x.select("work", "x", F.explode(ys).alias("y")).distinct()
 
 
 def _without_common(s: DataFrame) -> DataFrame:
@@ -116,105 +151,242 @@ def _without_common(s: DataFrame) -> DataFrame:
 
 def lexicon(s: DataFrame, proposals: DataFrame) -> DataFrame:
     """(e, a): the Arabic word that each English word stands for, as hashes."""
-    plain = F.filter("t", lambda x: ~x["number"])
-    ar = s.where("language = 'ar'").select("work", F.col("at").alias("x"), plain.alias("ta"))
-    en = s.where("language = 'en'").select("work", F.col("at").alias("y"), plain.alias("te"))
-    both = proposals.join(ar, ["work", "x"]).join(en, ["work", "y"]).select("ta", "te")
-    each = both.select("ta", F.explode("te").alias("e")).select("e.w", "e.b", F.explode("ta").alias("a"))
-    named = ((F.col("a.b") == F.col("b")) & (F.col("b") != 0)).cast("int")
-    together = cut_lineage(each.select(F.col("w").alias("e"), F.col("a.w").alias("a"), named.alias("named")).groupBy("e", "a").agg(F.count("*").alias("n"), F.max("named").alias("named")))
-    at_e = both.select(F.explode("te.w").alias("e")).groupBy("e").agg(F.count("*").alias("ce"))
-    of_a, of_e = Window.partitionBy("a"), Window.partitionBy("e")
-    total = together.agg(F.sum("n").alias("all")).withColumn("one", F.lit(1))
-    sums = together.withColumn("na", F.sum("n").over(of_a)).withColumn("ne", F.sum("n").over(of_e)).where(F.col("n") >= LEAST_SUPPORT)
-    scored = sums.join(at_e, "e").withColumn("one", F.lit(1)).join(total, "one")
-    lift = F.col("n") / F.col("ne") / (F.col("na") / F.col("all"))
-    scored = scored.withColumn("lift", lift).where((F.col("n") / F.col("ce") >= LEAST_GIVEN) & (F.col("lift") >= LEAST_LIFT))
+    ar = s.where("language = 'ar'").select("work", F.col("at").alias("x"), F.col("t").alias("ta"))
+    en = s.where("language = 'en'").select("work", F.col("at").alias("y"), F.col("t").alias("te"))
+    both = cut_lineage(proposals.join(ar, ["work", "x"]).join(en, ["work", "y"]).select("ta", "te"))
+    each = both.select("ta", F.explode("te").alias("e")).where("e.w & 1 = 0").select("e.w", "e.b", F.explode("ta").alias("a")).where("a.w & 1 = 0")
+    named = ((F.col("a.b") == F.col("b")) & (F.col("b") != 0)).cast("tinyint")
+    together = cut_lineage(each.select(F.col("w").alias("e"), F.col("a.w").alias("a"), named.alias("named")).groupBy("e", "a").agg(F.count("*").cast("int").alias("n"), F.max("named").alias("named")))
+    # one row for each word: what it met in all, and how many sentence pairs it is in
+    sums = lambda c: together.groupBy(c).agg(F.sum("n").alias(f"n{c}"))
+    at_e = both.select(F.explode("te.w").alias("e")).where("e & 1 = 0").groupBy("e").agg(F.count("*").alias("ce"))
+    of_e, of_a = cut_lineage(sums("e").join(at_e, "e")), cut_lineage(sums("a"))
+    total = of_a.agg(F.sum("na").alias("all")).first()["all"] or 0
+    lift = F.col("n") / F.col("ne") / (F.col("na") / F.lit(float(total)))
+    scored = together.where(F.col("n") >= LEAST_SUPPORT).join(of_e, "e").where(F.col("n") / F.col("ce") >= LEAST_GIVEN).join(of_a, "a")
     # a word whose consonants are those of its partner is a name, and that outweighs any other partner
-    best = scored.withColumn("r", F.row_number().over(of_e.orderBy(F.desc("named"), F.desc(F.col("n") * F.log("lift")), "a")))
-    return cut_lineage(best.where("r = 1").select("e", "a"))
+    best = scored.withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT).groupBy("e").agg(F.max_by("a", F.struct("named", F.col("n") * F.log("lift"), -F.col("a"))).alias("a"))
+    return cut_lineage(best)
+
+
+_COUNTS, _SPOKEN = "c bigint, df bigint, ar boolean, en boolean", "work bigint, language string, at int, whole float, c array<bigint>, bit array<int>, weight array<float>"
 
 
-def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """df marked for a broadcast if it has at most so many rows (of a few numbers each), else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+class _Terms:
+    """The concepts of a batch of sentences, word by word, by a lexicon that is sent to the executors."""
 
+    def __init__(self, e: np.ndarray, a: np.ndarray) -> None:
+        by = np.argsort(e)
+        self.e, self.a, self.known = e[by], a[by], np.unique(a)
 
-def concepts(s: DataFrame, lex: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What each sentence speaks of, in terms both languages share: (work, language, at, bit, c, weight), and (work, language, at, whole).
+    @staticmethod
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the wanted among sorted keys, and whether they are there."""
+        if not len(keys):
+            return np.zeros(len(wanted), int), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
+
+    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first concept, second concept, whether Arabic, ends of the sentences); 0 is no concept."""
+        lists = batch["t"]
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        w, b = (x.to_numpy() for x in lists.flatten().flatten())
+        arabic = np.repeat(batch["language"].to_numpy(zero_copy_only=False) == "ar", np.diff(ends))
+        number = (w & 1) == 1
+        at, there = self.find(self.e, w)
+        to = np.where(there & ~arabic, self.a[at] if len(self.a) else 0, 0)
+        to = np.where(number | arabic & self.find(self.known, w)[1], w, to)
+        name = np.where(number, 0, b)
+        return np.where((to == 0) & ~arabic, name, to), np.where(arabic, name, 0), arabic, ends
+
+
+def concepts(s: DataFrame, lex: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """What each sentence speaks of, in terms both languages share: (work, language, at, whole, c, bit, weight).
 
     A word may be met by its translation or, as a name, by its consonants: an Arabic word has both concepts, an
-    English one its translation if the lexicon has it. bit is the word's place in its sentence, whole the sentence's
-    weight, where a word counts once, and half if its concept occurs in one language only.
+    English one its translation if the lexicon has it. c lists the concepts that occur in both languages, with bit, the
+    word's place in its sentence, and weight. whole is the sentence's weight, where a word counts once, and half if its
+    concept occurs in one language only. Lexicon and weights of at most so many rows are sent to the executors, where
+    sentences stay as they are; greater ones are joined. Both ways give the same concepts.
     """
-    word = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w", "x.b", "x.number")
-    as_word, as_name = F.xxhash64(F.lit("="), "w"), F.xxhash64(F.lit("~"), "b")
-    name = F.when(~F.col("number") & (F.col("b") != 0), as_name)
-    ar = word.where("language = 'ar'").join(_small(lex.select(F.col("a").alias("w")).distinct().withColumn("known", F.lit(True))), "w", "left")
-    ar = ar.select("work", "language", "at", "bit", F.when(F.col("number") | F.col("known"), as_word).alias("c1"), name.alias("c2"))
-    en = word.where("language = 'en'").join(_small(lex.withColumnRenamed("e", "w")), "w", "left")
-    en = en.select("work", "language", "at", "bit", F.when(F.col("number"), as_word).when(F.col("a").isNotNull(), F.xxhash64(F.lit("="), "a")).otherwise(name).alias("c1"), F.lit(None).cast("bigint").alias("c2"))
-    both = cut_lineage(ar.unionByName(en).where("c1 is not null or c2 is not null"))
-    one = both.select("language", F.explode(F.array("c1", "c2")).alias("c")).where("c is not null")
-    df = one.groupBy("c").agg(F.count("*").alias("df"), (F.max((F.col("language") == "ar").cast("int")) + F.max((F.col("language") == "en").cast("int")) > 1).alias("met"))
     n = s.count()
-    df = cut_lineage(df.select("c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), "met"))
-    side = lambda k: _small(df.select(F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"), F.col("met").alias(f"m{k}")))
+    weights = lambda df: cut_lineage(df.groupBy("c").agg(F.sum("df").alias("df"), (F.max("ar") & F.max("en")).alias("met")).select("c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), "met"))
+    if lex.count() > most:
+        both = _joined_terms(s, lex)
+        one = both.select("language", F.explode(F.array("c1", "c2")).alias("c")).where("c is not null")
+        return _joined_concepts(both, weights(one.select("c", F.lit(1).alias("df"), (F.col("language") == "ar").alias("ar"), (F.col("language") == "en").alias("en"))))
+    pairs = lex.toPandas()
+    sent_terms = s.sparkSession.sparkContext.broadcast((pairs["e"].to_numpy(np.int64), pairs["a"].to_numpy(np.int64)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(*sent_terms.value)
+        for batch in batches:
+            c1, c2, arabic, _ = terms.of(batch)
+            c, ar = np.concatenate([c1, c2]), np.concatenate([arabic, arabic])
+            c, at, df = np.unique(c[c != 0], return_inverse=True, return_counts=True) if c.any() else (c[:0], c[:0], c[:0])
+            mine = np.bincount(at, ar[np.concatenate([c1, c2]) != 0], len(c)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(df, pa.int64()), pa.array(mine > 0), pa.array(df > mine)], ["c", "df", "ar", "en"])
+
+    df = weights(s.select("language", "t").mapInArrow(count, _COUNTS))
+    if df.count() > most:
+        return _joined_concepts(_joined_terms(s, lex), df)
+    sent = df.toPandas().sort_values("c")
+    scale = s.sparkSession.sparkContext.broadcast((sent["c"].to_numpy(np.int64), sent["weight"].to_numpy(np.float32), sent["met"].to_numpy(bool)))
+
+    def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, (keys, weight, met) = _Terms(*sent_terms.value), scale.value
+        for batch in batches:
+            c1, c2, _, ends = terms.of(batch)
+            size = np.diff(ends)
+            bit = np.arange(len(c1)) - np.repeat(ends[:-1], size)
+            own, kept = np.zeros(len(c1)), []
+            for c in (c1, c2):
+                at, there = _Terms.find(keys, c)
+                there &= c != 0
+                w, m = (x[at] if len(x) else np.zeros(len(c), x.dtype) for x in (weight, met))
+                own = np.maximum(own, np.where(there, np.where(m, w, w * 0.5), 0.0))
+                kept.append((there & m, w))
+            whole = np.diff(np.concatenate([[0.0], np.cumsum(own)])[ends])
+            use = np.stack([k for k, _ in kept], 1).ravel()
+            flat = lambda a, b: np.stack([a, b], 1).ravel()[use]  # noqa: B023, E731
+            edges = np.concatenate([[0], np.cumsum(use)])[2 * ends].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(flat(a, b).astype(k))) for a, b, k in ((c1, c2, np.int64), (bit, bit, np.int32), (kept[0][1], kept[1][1], np.float32))]
+            yield pa.RecordBatch.from_arrays([batch["work"], batch["language"], batch["at"], pa.array(whole.astype(np.float32)), *lists], ["work", "language", "at", "whole", "c", "bit", "weight"]).filter(pa.array(np.add.reduceat(np.append((c1 != 0) | (c2 != 0), False), ends[:-1]).astype(bool) & (size > 0)))
+
+    return cut_lineage(s.mapInArrow(speak, _SPOKEN))
+
+
+def _joined_terms(s: DataFrame, lex: DataFrame) -> DataFrame:
+    """(work, language, at, bit, c1, c2): the concepts of each word by joins."""
+    word = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w", "x.b")
+    to = lex.select(F.lit("en").alias("language"), F.col("e").alias("w"), F.col("a").alias("to")).unionByName(lex.select(F.lit("ar").alias("language"), F.col("a").alias("w"), F.col("a").alias("to")).distinct())
+    number, arabic = F.col("w").bitwiseAND(F.lit(1)) == 1, F.col("language") == "ar"
+    name = F.when(~number & (F.col("b") != 0), F.col("b"))
+    known = word.join(to, ["language", "w"], "left")
+    both = known.select("work", "language", "at", "bit", F.when(number, F.col("w")).when(F.col("to").isNotNull(), F.col("to")).when(~arabic, name).alias("c1"), F.when(arabic, name).alias("c2"))
+    return cut_lineage(both.where("c1 is not null or c2 is not null"))
+
+
+def _joined_concepts(both: DataFrame, df: DataFrame) -> DataFrame:
+    """concepts() by joins and one row gathered for each sentence."""
+    side = lambda k: df.select(F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"), F.col("met").alias(f"m{k}"))
     weighed = both.join(side(1), "c1", "left").join(side(2), "c2", "left")
     own = lambda k: F.coalesce(F.when(F.col(f"m{k}"), F.col(f"w{k}")).otherwise(F.col(f"w{k}") * 0.5), F.lit(0.0))
-    whole = cut_lineage(weighed.groupBy("work", "language", "at").agg(F.sum(F.greatest(own(1), own(2))).alias("whole")))
-    each = F.explode(F.array(*(F.when(F.col(f"m{k}"), F.struct(F.col(f"c{k}").alias("c"), F.col(f"w{k}").alias("weight"))) for k in (1, 2))))
-    cons = cut_lineage(weighed.select("work", "language", "at", "bit", each.alias("x")).where("x is not null").select("work", "language", "at", "bit", "x.c", "x.weight"))
-    return cons, whole
-
-
-def offsets(cons: DataFrame, proposals: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(work, stretch, slope, shift, half): expected place y = x * slope + shift and half width of the rectangle, per stretch of Arabic."""
-    sizes = cons.groupBy("work").agg(F.max(F.when(F.col("language") == "ar", F.col("at"))).alias("last_x"), F.max(F.when(F.col("language") == "en", F.col("at"))).alias("last_y")).where("last_x is not null and last_y is not null")
-    sizes = sizes.withColumn("slope", (F.col("last_y") + 1) / (F.col("last_x") + 1))
-    here = lambda la: F.max(F.when(F.col("language") == la, F.col("at")))
-    once = cons.groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), here("ar").alias("x"), here("en").alias("y"))
-    anchors = once.where("na = 1 and ne = 1").select("work", "x", "y")
-    points = anchors.unionByName(proposals) if links is None else anchors.unionByName(proposals).unionByName(links)
-    off = points.join(sizes, "work").withColumn("d", F.col("y") - F.col("x") * F.col("slope"))
+    met = F.filter(F.array(*(F.when(F.col(f"m{k}"), F.struct("bit", F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.col(f"w{k}").alias("weight"))) for k in (1, 2))), lambda x: x.isNotNull())
+    spoken = weighed.groupBy("work", "language", "at").agg(F.sum(F.greatest(own(1), own(2))).cast("float").alias("whole"), F.array_sort(F.flatten(F.collect_list(met))).alias("m"))
+    return cut_lineage(spoken.select("work", "language", "at", "whole", F.col("m.c").alias("c"), F.col("m.bit").alias("bit"), F.col("m.weight").alias("weight")))
+
+
+def offsets(spoken: DataFrame, proposals: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(work, stretch, last_y, slope, shift, half): expected place y = x * slope + shift and half width of the rectangle, per stretch of Arabic."""
+    last = lambda la: F.max(F.when(F.col("language") == la, F.col("at")))
+    sizes = cut_lineage(spoken.groupBy("work").agg(last("ar").alias("last_x"), last("en").alias("last_y")).where("last_x is not null and last_y is not null").withColumn("slope", (F.col("last_y") + 1) / (F.col("last_x") + 1)))
+    stretches = sizes.select("work", "slope", "last_y", F.explode(F.sequence(F.lit(0), F.floor(F.col("last_x") / STRETCH).cast("int"))).alias("stretch"))
+    given = proposals if links is None else proposals.unionByName(links)
     # each point speaks for its own stretch and both neighbours
-    near = off.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("x") / STRETCH) + k for k in (-1, 0, 1)))))
-    local = near.groupBy("work", "stretch").agg(F.percentile_approx("d", 0.5, 1000).alias("shift"), F.percentile_approx("d", F.array(F.lit(0.1), F.lit(0.9)), 1000).alias("q"), F.count("*").alias("points"))
-    spread = (F.col("q")[1] - F.col("q")[0]) / 2
-    stretches = sizes.select("work", "slope", "last_x", "last_y", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_x") / STRETCH))).alias("stretch"))
-    known = stretches.join(local, ["work", "stretch"], "left")
-    half = F.when(F.col("points") >= 5, HALF + SPREAD * spread).otherwise(HALF + 0.1 * F.col("last_y"))
-    return cut_lineage(known.select("work", "stretch", "slope", F.coalesce("shift", F.lit(0.0)).alias("shift"), F.least(F.ceil(half), F.col("last_y") + 1).cast("long").alias("half")))
-
-
-def points(cons: DataFrame, whole: DataFrame, where: DataFrame) -> DataFrame:
-    """(work, x, y, shared, of_ar, of_en, ar_bits, en_bits): sentence pairs in the rectangles with enough in common."""
-    a = cons.where("language = 'ar'").withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(where, ["work", "stretch"])
+    around = lambda df: df.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("x") / STRETCH).cast("int") + k for k in (-1, 0, 1)))))
+    told = around(given.select("work", "x")).groupBy("work", "stretch").agg(F.count("*").alias("n"))
+    thin = stretches.join(told, ["work", "stretch"], "left").where(F.coalesce("n", F.lit(0)) < LEAST_POINTS).select("work").distinct()
+    some = spoken.join(cut_lineage(thin), "work", "left_semi").select("work", "language", "at", F.explode("c").alias("c"))
+    once = some.groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), last("ar").alias("x"), last("en").alias("y"))
+    points = once.where("na = 1 and ne = 1").select("work", "x", "y").unionByName(given)
+    near = around(points.join(sizes, "work").select("work", "x", (F.col("y") - F.col("x") * F.col("slope")).alias("d")))
+    local = near.groupBy("work", "stretch").agg(F.percentile_approx("d", F.array(*map(F.lit, (0.1, 0.5, 0.9))), 1000).alias("q"), F.count("*").alias("points")).where(F.col("points") >= LEAST_POINTS)
+    known = stretches.join(local.select("work", "stretch", F.col("q")[1].alias("own"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("spread")), ["work", "stretch"], "left")
+    # between known stretches, or a known one and an end of the work, the shift changes evenly
+    w = Window.partitionBy("work").orderBy("stretch")
+    mark = F.when(F.col("own").isNotNull(), F.struct("stretch", "own", "spread"))
+    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    between = known.withColumn("before", before).withColumn("after", after).withColumn("end", F.max("stretch").over(Window.partitionBy("work")) + 1)
+    a, b = F.coalesce("before.stretch", F.lit(-1)), F.coalesce("after.stretch", "end")
+    left, right = F.coalesce("before.own", F.lit(0.0)), F.coalesce("after.own", F.lit(0.0))
+    part = F.when(b > a, (F.col("stretch") - a) / (b - a)).otherwise(0.0)
+    far = F.least(F.col("stretch") - a, b - F.col("stretch")) * STRETCH
+    spread = F.greatest(F.coalesce("before.spread", F.lit(0.0)), F.coalesce("after.spread", F.lit(0.0)))
+    half = F.least(F.ceil(HALF + SPREAD * spread + DRIFT * far), F.col("last_y") + 1).cast("int")
+    return cut_lineage(between.select("work", "stretch", "last_y", "slope", (left + part * (right - left)).alias("shift"), half.alias("half")))
+
+
+def _ors(pair_starts: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """The sets of places of each run of matches as the bytes of a whole number, whatever its length."""
+    out = [0] * len(pair_starts)
+    for k in range(int(bits.max(initial=0)) // 62 + 1):
+        part = np.where(bits // 62 == k, np.left_shift(1, bits % 62), 0)
+        some = np.bitwise_or.reduceat(part, pair_starts).tolist() if len(pair_starts) else []
+        out = [o | x << 62 * k for o, x in zip(out, some, strict=True)] if k else some
+    return [o.to_bytes((o.bit_length() + 7) // 8, "little") for o in out]
+
+
+_POINTS = "work bigint, x int, y int, shared double, of_ar double, of_en double, ar_bits binary, en_bits binary"
+
+
+def _meet(tile: pa.Table) -> pa.Table:
+    """The points of one tile: sentence pairs in the rectangle with enough in common."""
+    order = np.argsort(tile["at"].to_numpy(), kind="stable")
+    arabic = tile["arabic"].to_numpy()[order]
+
+    def side(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        t = tile.take(rows)
+        lists = t["c"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return t["at"].to_numpy(), t["whole"].to_numpy(), np.repeat(np.arange(len(rows)), sizes), lists.flatten().to_numpy(), t["bit"].combine_chunks().flatten().to_numpy(), t["weight"].combine_chunks().flatten().to_numpy()
+
+    mine, theirs = order[arabic], order[~arabic]
+    x, x_whole, ax, ac, abit, _ = side(mine)
+    y, y_whole, ey, ec, ebit, eweight = side(theirs)
+    center, half = tile["center"].to_numpy()[mine], tile["half"].to_numpy()[mine]
+    by = np.argsort(ec, kind="stable")
+    low, high = np.searchsorted(ec[by], ac, "left"), np.searchsorted(ec[by], ac, "right")
+    n = high - low
+    i = np.repeat(np.arange(len(ac)), n)
+    j = by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[i]]
+    inside = np.abs(y[ey[j]] - center[ax[i]]) <= half[ax[i]]
+    i, j = i[inside], j[inside]
+    pair = ax[i] * len(y) + ey[j]
+    by = np.argsort(pair, kind="stable")
+    i, j, pair = i[by], j[by], pair[by]
+    starts = np.flatnonzero(np.diff(pair, prepend=-1))
+    shared = np.add.reduceat(eweight[j].astype(float), starts) if len(starts) else np.zeros(0)
+    px, py = pair[starts] // max(len(y), 1), pair[starts] % max(len(y), 1)
+    of_ar, of_en = (np.minimum(shared / np.maximum(whole[p], 1e-6), 1.0) for whole, p in ((x_whole, px), (y_whole, py)))
+    good = (shared > 2) & (np.maximum(of_ar, of_en) >= LEAST_SHARED)
+    # the places of those matches only
+    keep = np.repeat(good, np.diff(np.append(starts, len(pair))))
+    i, j = i[keep], j[keep]
+    starts = np.flatnonzero(np.diff(pair[keep], prepend=-1))
+    made = [np.full(len(starts), tile["work"][0].as_py()), x[px[good]], y[py[good]], shared[good], of_ar[good], of_en[good], _ors(starts, abit[i].astype(np.int64)), _ors(starts, ebit[j].astype(np.int64))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], ["work", "x", "y", "shared", "of_ar", "of_en", "ar_bits", "en_bits"])
+
+
+def points(spoken: DataFrame, where: DataFrame) -> DataFrame:
+    """(work, x, y, shared, of_ar, of_en, ar_bits, en_bits): sentence pairs in the rectangles with enough in common.
+
+    A tile is the part of a stretch's rectangle in one cell of English; a sentence goes to the tiles its own rectangle meets.
+    """
+    first = F.col("stretch") * STRETCH * F.col("slope") + F.col("shift") - F.col("half")
+    final = ((F.col("stretch") + 1) * STRETCH - 1) * F.col("slope") + F.col("shift") + F.col("half")
+    spans = where.withColumn("low", F.least(F.greatest(F.floor(first), F.lit(0)), F.col("last_y")).cast("int")).withColumn("high", F.least(F.greatest(F.ceil(final), F.lit(0)), F.col("last_y")).cast("int"))
+    tiles = cut_lineage(spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL).cast("int"), F.floor(F.col("high") / CELL).cast("int")))))
     center = F.col("at") * F.col("slope") + F.col("shift")
-    side = F.lit(2 * HALF)
-    low, high = F.floor((center - F.col("half")) / side), F.floor((center + F.col("half")) / side)
-    a = a.select("work", F.col("at").alias("x"), F.col("bit").alias("a_bit"), "c", center.alias("center"), "half", F.explode(F.sequence(low, high)).alias("cell"))
-    e = cons.where("language = 'en'").select("work", F.col("at").alias("y"), F.col("bit").alias("e_bit"), "c", "weight", F.floor(F.col("at") / side).alias("cell"))
-    met = a.join(e, ["work", "cell", "c"]).where(F.abs(F.col("y") - F.col("center")) <= F.col("half"))
-    bits = lambda c: F.expr(f"bit_or(shiftleft(1L, cast({c} % 63 as int)))")
-    pairs = met.groupBy("work", "x", "y").agg(F.sum("weight").alias("shared"), bits("a_bit").alias("ar_bits"), bits("e_bit").alias("en_bits")).where("shared > 2")
-    of = lambda la, at, to: whole.where(F.col("language") == la).select("work", F.col("at").alias(at), F.col("whole").alias(to))
-    pairs = pairs.join(of("ar", "x", "ar_whole"), ["work", "x"]).join(of("en", "y", "en_whole"), ["work", "y"])
-    share = lambda c: F.least(F.col("shared") / F.greatest(F.col(c), F.lit(1e-6)), F.lit(1.0))
-    pairs = pairs.select("work", "x", "y", "shared", share("ar_whole").alias("of_ar"), share("en_whole").alias("of_en"), "ar_bits", "en_bits")
-    return pairs.where(F.greatest("of_ar", "of_en") >= LEAST_SHARED)
+    columns = ["work", "stretch", "cell", "at", "whole", "c", "bit", "weight"]
+    a = spoken.where("language = 'ar'").withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("int")).withColumn("weight", F.array().cast("array<float>")).join(tiles, ["work", "stretch"]).withColumn("center", center)
+    a = a.where((F.col("center") + F.col("half") >= F.col("cell") * CELL) & (F.col("center") - F.col("half") < (F.col("cell") + 1) * CELL)).select(*columns, F.lit(True).alias("arabic"), "center", "half")
+    e = spoken.where("language = 'en'").withColumn("cell", F.floor(F.col("at") / CELL).cast("int")).join(tiles, ["work", "cell"]).where("at between low and high").select(*columns, F.lit(False).alias("arabic"), F.lit(0.0).alias("center"), F.lit(0).alias("half"))
+    return a.unionByName(e).groupBy("work", "stretch", "cell").applyInArrow(_meet, _POINTS)
 
 
 def chain(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indices of the heaviest chain of points that falls in neither coordinate; of equal chains the earlier."""
+    """Indices of the heaviest chain of distinct points that falls in neither coordinate; of equal chains the earlier."""
     order = np.lexsort((y, x))
-    xs, ys, ws = x[order], y[order], weight[order]
-    best, back = ws.copy(), np.full(len(ws), -1)
-    for i in range(1, len(ws)):
-        ok = (ys[:i] <= ys[i]) & ((xs[:i] < xs[i]) | (ys[:i] < ys[i]))
+    ys, off, best = y[order], (y - x)[order].astype(float), weight[order].astype(float)
+    back = [-1] * len(order)
+    for i in range(1, len(order)):
         # a gap in one coordinate only costs a little: slope-consistent points are preferred
-        gap = np.abs((ys[i] - ys[:i]) - (xs[i] - xs[:i])) * 0.01
-        value = np.where(ok, best[:i] - gap, -1.0)
+        value = best[:i] - np.abs(off[:i] - off[i]) * 0.01
+        value[ys[:i] > ys[i]] = -1.0
         j = int(value.argmax())
         if value[j] > 0:
             best[i] += value[j]
@@ -234,31 +406,26 @@ def _most(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out[at]
 
 
-def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The points of one stretch that hold: the chain, further members of its blocks, inversions."""
-    pdf = pdf.sort_values(["x", "y"], kind="stable").reset_index(drop=True)
-    x, y, of_ar, of_en = (pdf[c].to_numpy() for c in ("x", "y", "of_ar", "of_en"))
+def blocks(x: np.ndarray, y: np.ndarray, shared: np.ndarray, of_ar: np.ndarray, of_en: np.ndarray, ar_bits: list[int], en_bits: list[int]) -> list[int]:
+    """Indices of the points of one stretch, sorted by place, that hold: the chain, further members of its blocks, inversions."""
     fit = np.sqrt(np.maximum(of_ar, 0.05) * np.maximum(of_en, 0.05))
-    weight = fit * np.log1p(pdf.shared.to_numpy())
+    weight = fit * np.log1p(shared)
     # noise: points that are weak in the heavier sentence and beaten clearly in their row and in their column
-    row, col = _most(x, fit), _most(y, fit)
-    alive = (fit >= 0.7 * row) | (fit >= 0.7 * col)
-    idx = np.flatnonzero(alive)
-    kept = idx[chain(x[idx], y[idx], weight[idx])] if len(idx) else idx
+    idx = np.flatnonzero((fit >= 0.7 * _most(x, fit)) | (fit >= 0.7 * _most(y, fit)))
+    kept = idx[chain(x[idx], y[idx], weight[idx])]
     # of several points in one row or column only those that add content stay
-    ar_bits, en_bits = pdf.ar_bits.tolist(), pdf.en_bits.tolist()
     seen_x: dict[int, int] = {}
     seen_y: dict[int, int] = {}
+    xs, ys = x.tolist(), y.tolist()
     taken: list[int] = []
 
     def take(some: np.ndarray, distance: np.ndarray) -> None:
-        for i in some[np.lexsort((distance, -fit[some].round(1)))]:
-            a, e = ar_bits[i], en_bits[i]
-            new_a, new_e = a & ~seen_x.get(x[i], 0), e & ~seen_y.get(y[i], 0)
-            if 2 * new_a.bit_count() >= a.bit_count() and 2 * new_e.bit_count() >= e.bit_count():
-                seen_x[x[i]] = seen_x.get(x[i], 0) | a
-                seen_y[y[i]] = seen_y.get(y[i], 0) | e
-                taken.append(int(i))
+        for i in some[np.lexsort((distance, -fit[some].round(1)))].tolist():
+            a, e, at, to = ar_bits[i], en_bits[i], xs[i], ys[i]
+            had_a, had_e = seen_x.get(at, 0), seen_y.get(to, 0)
+            if 2 * (a & ~had_a).bit_count() >= a.bit_count() and 2 * (e & ~had_e).bit_count() >= e.bit_count():
+                seen_x[at], seen_y[to] = had_a | a, had_e | e
+                taken.append(i)
 
     if len(kept):
         # the line through the chain, smoothed, since single points of it may be repetitions
@@ -272,25 +439,31 @@ def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         take(rest[strong], far[strong])
         near = (far <= 4) & ~strong
         take(rest[near], far[near])
-    return pdf.iloc[sorted(taken)]
+    return sorted(taken)
+
+
+def _hold(key: tuple, found: pa.Table) -> pa.Table:
+    """The points of one stretch that hold, those of its margins seen but left to their own stretch."""
+    x, y = found["x"].to_numpy(), found["y"].to_numpy()
+    order = np.lexsort((y, x))
+    column = lambda c: found[c].to_numpy()[order]
+    bits = lambda c: [int.from_bytes(b, "little") for b in found[c].take(order).to_pylist()]
+    held = np.array(blocks(x[order], y[order], *(column(c) for c in ("shared", "of_ar", "of_en")), bits("ar_bits"), bits("en_bits")), int)
+    held = held[x[order][held] // STRETCH == key[1].as_py()]
+    return found.select(["work", "x", "y", "of_ar", "of_en"]).take(order[held])
 
 
 def align(sentences: DataFrame, dp_links: DataFrame, structural_links: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
     """(arabic_sentence_id, english_sentence_id, of_ar, of_en)."""
     rows = sentences.select("id", "paragraph_id", "work_id", "language", "global_sequence", "text")
-    s = _without_common(cut_lineage(_sentences(rows)))
+    s = cut_lineage(_without_common(_sentences(rows)))
     proposals = cut_lineage(_proposals(dp_links.select("work_id", "arabic_start", "arabic_end", "english_start", "english_end")))
-    cons, whole = concepts(s, lexicon(s, proposals))
+    spoken = concepts(s, lexicon(s, proposals))
     links = None if structural_links is None or paragraphs is None else _starts(structural_links, paragraphs, rows)
-    found = points(cons, whole, offsets(cons, proposals, links))
+    found = points(spoken, offsets(spoken, proposals, links))
     reach = F.array_distinct(F.array(F.floor((F.col("x") - MARGIN) / STRETCH), F.floor(F.col("x") / STRETCH), F.floor((F.col("x") + MARGIN) / STRETCH)))
     spread = found.withColumn("stretch", F.explode(reach))
-
-    def keep(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = blocks(pdf)
-        return out[out.x // STRETCH == key[1]][["work", "x", "y", "of_ar", "of_en"]]
-
-    kept = spread.groupBy("work", "stretch").applyInPandas(keep, "work bigint, x int, y int, of_ar double, of_en double").distinct()
+    kept = spread.groupBy("work", "stretch").applyInArrow(_hold, "work bigint, x int, y int, of_ar double, of_en double")
     named = rows.where("language in ('ar', 'en') and id is not null and text is not null").select(F.xxhash64("work_id").alias("work"), "language", F.col("global_sequence").alias("at"), "id").distinct()
     of = lambda la, at, to: named.where(F.col("language") == la).select("work", F.col("at").alias(at), F.col("id").alias(to))
     out = kept.join(of("ar", "x", "arabic_sentence_id"), ["work", "x"]).join(of("en", "y", "english_sentence_id"), ["work", "y"])
