@@ -44,7 +44,7 @@ WIDE = 4
 LEAST_SHARED, LEAST_INVERTED, FARTHEST = 0.55, 0.6, 40
 #: Words in more sentences than this share of a language carry no content; least support of a translation.
 COMMON, LEAST_SUPPORT, LEAST_GIVEN, LEAST_LIFT = 0.1, 2, 0.3, 4.0
-#: Most tokens whose words a task remembers (it forgets them all beyond), most rows of lexicon or weights that are sent to the executors.
+#: Most tokens whose words a task remembers (it forgets them all beyond), most words whose concepts are sent to the executors.
 REMEMBERED, MOST_SENT = 200_000, 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -117,9 +117,11 @@ def _sentences(sentences: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["work"], batch["language"], batch["at"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], ["work", "language", "at", "t"])
 
     made = cut_lineage(s.mapInArrow(cut, "work bigint, language string, at int, t array<struct<w:bigint,b:bigint>>"))
-    # places with several rows are few: only they are gathered
+    # places with several rows are few: only they are gathered, if there are any
     place = ["work", "language", "at"]
     twice = cut_lineage(made.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if twice.isEmpty():
+        return made
     return made.join(twice, place, "left_anti").unionByName(made.join(twice, place, "left_semi").groupBy(*place).agg(F.min("t").alias("t")))
 
 
@@ -135,143 +137,104 @@ def _proposals(dp_links: DataFrame) -> DataFrame:
     return x.select("work", "x", F.explode(ys).alias("y")).distinct()
 
 
-def _without_common(s: DataFrame) -> DataFrame:
-    """s without words in more than the share COMMON of a language's sentences.
+def vocabulary(s: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """(language, w, b, n): in how many sentences each word is; the number of sentences; the words in more than the share COMMON of a language's.
 
     At most mean words / COMMON words of a language can be that common, so their list is bounded and may go to the driver.
     """
-    sizes = s.groupBy("language").agg(F.count("*").alias("sentences"))
-    counts = s.select("language", F.explode("t.w").alias("w")).groupBy("language", "w").agg(F.count("*").alias("df"))
-    common: dict[str, list[int]] = {"ar": [], "en": []}
-    for la, w in counts.join(sizes, "language").where(F.col("df") > COMMON * F.col("sentences")).select("language", "w").collect():
-        common[la].append(w)
-    keep = lambda la: F.filter("t", lambda x: ~x["w"].isin(common[la])) if common[la] else F.col("t")
-    return s.withColumn("t", F.when(F.col("language") == "ar", keep("ar")).otherwise(keep("en")))
+    counts = cut_lineage(s.select("language", F.explode("t").alias("t")).groupBy("language", "t.w", "t.b").agg(F.count("*").alias("n")))
+    sizes = {r["language"]: r["n"] for r in s.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    least = F.when(F.col("language") == "ar", sizes.get("ar", 0) * COMMON).otherwise(sizes.get("en", 0) * COMMON)
+    return counts, sum(sizes.values()), sorted({r["w"] for r in counts.where(F.col("n") > least).select("w").collect()})
 
 
-def lexicon(s: DataFrame, proposals: DataFrame) -> DataFrame:
+def lexicon(s: DataFrame, proposals: DataFrame, common: list[int]) -> DataFrame:
     """(e, a): the Arabic word that each English word stands for, as hashes."""
     ar = s.where("language = 'ar'").select("work", F.col("at").alias("x"), F.col("t").alias("ta"))
     en = s.where("language = 'en'").select("work", F.col("at").alias("y"), F.col("t").alias("te"))
-    both = cut_lineage(proposals.join(ar, ["work", "x"]).join(en, ["work", "y"]).select("ta", "te"))
-    each = both.select("ta", F.explode("te").alias("e")).where("e.w & 1 = 0").select("e.w", "e.b", F.explode("ta").alias("a")).where("a.w & 1 = 0")
+    both = proposals.join(ar, ["work", "x"]).join(en, ["work", "y"]).select("ta", "te")
+    word = lambda c: (F.col(c).bitwiseAND(F.lit(1)) == 0) & ~F.col(c).isin(common)
+    # a word 0 in every Arabic sentence counts the pairs that each English word is in
+    pair = F.array(F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("b")))
+    each = both.select("ta", F.explode("te").alias("e")).where(word("e.w")).select("e.w", "e.b", F.explode(F.concat("ta", pair)).alias("a")).where(word("a.w"))
     named = ((F.col("a.b") == F.col("b")) & (F.col("b") != 0)).cast("tinyint")
     together = cut_lineage(each.select(F.col("w").alias("e"), F.col("a.w").alias("a"), named.alias("named")).groupBy("e", "a").agg(F.count("*").cast("int").alias("n"), F.max("named").alias("named")))
-    # one row for each word: what it met in all, and how many sentence pairs it is in
-    sums = lambda c: together.groupBy(c).agg(F.sum("n").alias(f"n{c}"))
-    at_e = both.select(F.explode("te.w").alias("e")).where("e & 1 = 0").groupBy("e").agg(F.count("*").alias("ce"))
-    of_e, of_a = cut_lineage(sums("e").join(at_e, "e")), cut_lineage(sums("a"))
-    total = of_a.agg(F.sum("na").alias("all")).first()["all"] or 0
+    met = together.where("a <> 0")
+    of_e = together.groupBy("e").agg(F.sum(F.when(F.col("a") != 0, F.col("n"))).alias("ne"), F.sum(F.when(F.col("a") == 0, F.col("n"))).alias("ce"))
+    total = met.agg(F.sum("n").alias("all")).first()["all"] or 0
     lift = F.col("n") / F.col("ne") / (F.col("na") / F.lit(float(total)))
-    scored = together.where(F.col("n") >= LEAST_SUPPORT).join(of_e, "e").where(F.col("n") / F.col("ce") >= LEAST_GIVEN).join(of_a, "a")
+    scored = met.where(F.col("n") >= LEAST_SUPPORT).join(of_e, "e").where(F.col("n") / F.col("ce") >= LEAST_GIVEN).join(met.groupBy("a").agg(F.sum("n").alias("na")), "a")
     # a word whose consonants are those of its partner is a name, and that outweighs any other partner
     best = scored.withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT).groupBy("e").agg(F.max_by("a", F.struct("named", F.col("n") * F.log("lift"), -F.col("a"))).alias("a"))
     return cut_lineage(best)
 
 
-_COUNTS, _SPOKEN = "c bigint, df bigint, ar boolean, en boolean", "work bigint, language string, at int, whole float, c array<bigint>, bit array<int>, weight array<float>"
+_SPOKEN = "work bigint, language string, at int, whole float, c array<bigint>, bit array<int>, weight array<float>"
 
 
-class _Terms:
-    """The concepts of a batch of sentences, word by word, by a lexicon that is sent to the executors."""
+def terms(words: DataFrame, lex: DataFrame, n: int, common: list[int]) -> DataFrame:
+    """(language, w, c1, w1, m1, c2, w2, m2): the concepts each word of vocabulary() stands for, their weight among n sentences, and whether they occur in both languages.
 
-    def __init__(self, e: np.ndarray, a: np.ndarray) -> None:
-        by = np.argsort(e)
-        self.e, self.a, self.known = e[by], a[by], np.unique(a)
-
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the wanted among sorted keys, and whether they are there."""
-        if not len(keys):
-            return np.zeros(len(wanted), int), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first concept, second concept, whether Arabic, ends of the sentences); 0 is no concept."""
-        lists = batch["t"]
-        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        w, b = (x.to_numpy() for x in lists.flatten().flatten())
-        arabic = np.repeat(batch["language"].to_numpy(zero_copy_only=False) == "ar", np.diff(ends))
-        number = (w & 1) == 1
-        at, there = self.find(self.e, w)
-        to = np.where(there & ~arabic, self.a[at] if len(self.a) else 0, 0)
-        to = np.where(number | arabic & self.find(self.known, w)[1], w, to)
-        name = np.where(number, 0, b)
-        return np.where((to == 0) & ~arabic, name, to), np.where(arabic, name, 0), arabic, ends
+    A word may be met by its translation or, as a name, by its consonants: an Arabic word has both concepts, an
+    English one its translation if the lexicon has it.
+    """
+    to = lex.select(F.lit("en").alias("language"), F.col("e").alias("w"), F.col("a").alias("to")).unionByName(lex.select(F.lit("ar").alias("language"), F.col("a").alias("w"), F.col("a").alias("to")).distinct())
+    number, arabic = F.col("w").bitwiseAND(F.lit(1)) == 1, F.col("language") == "ar"
+    name = F.when(~number & (F.col("b") != 0), F.col("b"))
+    first = F.when(number, F.col("w")).when(F.col("to").isNotNull(), F.col("to")).when(~arabic, name)
+    known = words.where(~F.col("w").isin(common)).join(to, ["language", "w"], "left").select("language", "w", "n", first.alias("c1"), F.when(arabic, name).alias("c2")).where("c1 is not null or c2 is not null")
+    has = lambda la: F.max((F.col("language") == la).cast("int"))
+    df = known.select("language", "n", F.explode(F.array("c1", "c2")).alias("c")).where("c is not null").groupBy("c").agg(F.log(1 + F.lit(n) / F.sum("n")).cast("float").alias("w"), (has("ar") + has("en") > 1).alias("m"))
+    side = lambda k: df.select(F.col("c").alias(f"c{k}"), F.col("w").alias(f"w{k}"), F.col("m").alias(f"m{k}"))
+    return cut_lineage(known.drop("n").join(side(1), "c1", "left").join(side(2), "c2", "left").select("language", "w", "c1", "w1", "m1", "c2", "w2", "m2"))
 
 
-def concepts(s: DataFrame, lex: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """What each sentence speaks of, in terms both languages share: (work, language, at, whole, c, bit, weight).
+def concepts(s: DataFrame, known: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """What each sentence speaks of, in terms() both languages share: (work, language, at, whole, c, bit, weight).
 
-    A word may be met by its translation or, as a name, by its consonants: an Arabic word has both concepts, an
-    English one its translation if the lexicon has it. c lists the concepts that occur in both languages, with bit, the
-    word's place in its sentence, and weight. whole is the sentence's weight, where a word counts once, and half if its
-    concept occurs in one language only. Lexicon and weights of at most so many rows are sent to the executors, where
-    sentences stay as they are; greater ones are joined. Both ways give the same concepts.
+    c lists the concepts that occur in both languages, with bit, the word's place in its sentence, and weight. whole is
+    the sentence's weight, where a word counts once, and half if its concept occurs in one language only. Terms of at
+    most so many words are sent to the executors, where the sentences stay; more are joined. Both give the same.
     """
-    n = s.count()
-    weights = lambda df: cut_lineage(df.groupBy("c").agg(F.sum("df").alias("df"), (F.max("ar") & F.max("en")).alias("met")).select("c", F.log(1 + F.lit(n) / F.col("df")).cast("float").alias("weight"), "met"))
-    if lex.count() > most:
-        both = _joined_terms(s, lex)
-        one = both.select("language", F.explode(F.array("c1", "c2")).alias("c")).where("c is not null")
-        return _joined_concepts(both, weights(one.select("c", F.lit(1).alias("df"), (F.col("language") == "ar").alias("ar"), (F.col("language") == "en").alias("en"))))
-    pairs = lex.toPandas()
-    sent_terms = s.sparkSession.sparkContext.broadcast((pairs["e"].to_numpy(np.int64), pairs["a"].to_numpy(np.int64)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(*sent_terms.value)
-        for batch in batches:
-            c1, c2, arabic, _ = terms.of(batch)
-            c, ar = np.concatenate([c1, c2]), np.concatenate([arabic, arabic])
-            c, at, df = np.unique(c[c != 0], return_inverse=True, return_counts=True) if c.any() else (c[:0], c[:0], c[:0])
-            mine = np.bincount(at, ar[np.concatenate([c1, c2]) != 0], len(c)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(df, pa.int64()), pa.array(mine > 0), pa.array(df > mine)], ["c", "df", "ar", "en"])
-
-    df = weights(s.select("language", "t").mapInArrow(count, _COUNTS))
-    if df.count() > most:
-        return _joined_concepts(_joined_terms(s, lex), df)
-    sent = df.toPandas().sort_values("c")
-    scale = s.sparkSession.sparkContext.broadcast((sent["c"].to_numpy(np.int64), sent["weight"].to_numpy(np.float32), sent["met"].to_numpy(bool)))
+    # no concept is 0 here: a column with nulls would lose digits on its way
+    sent = known.na.fill(0).na.fill(False).limit(most + 1).toPandas()
+    if len(sent) > most:
+        return _joined(s, known)
+    tables = {}
+    for language in ("ar", "en"):
+        of = sent[sent.language == language].sort_values("w")
+        kept = [(of[f"c{k}"].to_numpy(np.int64), of[f"w{k}"].to_numpy(np.float32), of[f"m{k}"].to_numpy(bool)) for k in (1, 2)]
+        own = np.maximum(*(np.where(m, w, w * 0.5) for _, w, m in kept))
+        tables[language] = of["w"].to_numpy(np.int64), own, *kept
+    shared = s.sparkSession.sparkContext.broadcast(tables)
 
     def speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, (keys, weight, met) = _Terms(*sent_terms.value), scale.value
-        for batch in batches:
-            c1, c2, _, ends = terms.of(batch)
-            size = np.diff(ends)
-            bit = np.arange(len(c1)) - np.repeat(ends[:-1], size)
-            own, kept = np.zeros(len(c1)), []
-            for c in (c1, c2):
-                at, there = _Terms.find(keys, c)
-                there &= c != 0
-                w, m = (x[at] if len(x) else np.zeros(len(c), x.dtype) for x in (weight, met))
-                own = np.maximum(own, np.where(there, np.where(m, w, w * 0.5), 0.0))
-                kept.append((there & m, w))
-            whole = np.diff(np.concatenate([[0.0], np.cumsum(own)])[ends])
-            use = np.stack([k for k, _ in kept], 1).ravel()
-            flat = lambda a, b: np.stack([a, b], 1).ravel()[use]  # noqa: B023, E731
-            edges = np.concatenate([[0], np.cumsum(use)])[2 * ends].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(flat(a, b).astype(k))) for a, b, k in ((c1, c2, np.int64), (bit, bit, np.int32), (kept[0][1], kept[1][1], np.float32))]
-            yield pa.RecordBatch.from_arrays([batch["work"], batch["language"], batch["at"], pa.array(whole.astype(np.float32)), *lists], ["work", "language", "at", "whole", "c", "bit", "weight"]).filter(pa.array(np.add.reduceat(np.append((c1 != 0) | (c2 != 0), False), ends[:-1]).astype(bool) & (size > 0)))
+        for whole_batch in batches:
+            languages = whole_batch["language"].to_numpy(zero_copy_only=False)
+            for language, (keys, own, first, second) in shared.value.items():
+                if not len(keys) or not (languages == language).any():
+                    continue
+                batch = whole_batch.filter(pa.array(languages == language))
+                lists = batch["t"]
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                w = lists.flatten().field(0).to_numpy()
+                at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+                there = keys[at] == w
+                bit = np.arange(len(w)) - np.repeat(ends[:-1], np.diff(ends))
+                whole = np.diff(np.concatenate([[0.0], np.cumsum(np.where(there, own[at], 0.0))])[ends])
+                use = np.stack([there & first[2][at], there & second[2][at]], 1).ravel()
+                flat = lambda a, b: np.stack([a, b], 1).ravel()[use]  # noqa: B023, E731
+                edges = pa.array(np.concatenate([[0], np.cumsum(use)])[2 * ends].astype(np.int32))
+                made = [pa.ListArray.from_arrays(edges, pa.array(flat(*x))) for x in ((first[0][at], second[0][at]), (bit.astype(np.int32),) * 2, (first[1][at], second[1][at]))]
+                spoken = np.diff(np.concatenate([[0], np.cumsum(there)])[ends]) > 0
+                yield pa.RecordBatch.from_arrays([batch["work"], batch["language"], batch["at"], pa.array(whole.astype(np.float32)), *made], ["work", "language", "at", "whole", "c", "bit", "weight"]).filter(pa.array(spoken))
 
     return cut_lineage(s.mapInArrow(speak, _SPOKEN))
 
 
-def _joined_terms(s: DataFrame, lex: DataFrame) -> DataFrame:
-    """(work, language, at, bit, c1, c2): the concepts of each word by joins."""
-    word = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w", "x.b")
-    to = lex.select(F.lit("en").alias("language"), F.col("e").alias("w"), F.col("a").alias("to")).unionByName(lex.select(F.lit("ar").alias("language"), F.col("a").alias("w"), F.col("a").alias("to")).distinct())
-    number, arabic = F.col("w").bitwiseAND(F.lit(1)) == 1, F.col("language") == "ar"
-    name = F.when(~number & (F.col("b") != 0), F.col("b"))
-    known = word.join(to, ["language", "w"], "left")
-    both = known.select("work", "language", "at", "bit", F.when(number, F.col("w")).when(F.col("to").isNotNull(), F.col("to")).when(~arabic, name).alias("c1"), F.when(arabic, name).alias("c2"))
-    return cut_lineage(both.where("c1 is not null or c2 is not null"))
-
-
-def _joined_concepts(both: DataFrame, df: DataFrame) -> DataFrame:
-    """concepts() by joins and one row gathered for each sentence."""
-    side = lambda k: df.select(F.col("c").alias(f"c{k}"), F.col("weight").alias(f"w{k}"), F.col("met").alias(f"m{k}"))
-    weighed = both.join(side(1), "c1", "left").join(side(2), "c2", "left")
+def _joined(s: DataFrame, known: DataFrame) -> DataFrame:
+    """concepts() by a join of the words and one row gathered for each sentence."""
+    weighed = s.select("work", "language", "at", F.posexplode("t").alias("bit", "x")).select("work", "language", "at", "bit", "x.w").join(known, ["language", "w"])
     own = lambda k: F.coalesce(F.when(F.col(f"m{k}"), F.col(f"w{k}")).otherwise(F.col(f"w{k}") * 0.5), F.lit(0.0))
     met = F.filter(F.array(*(F.when(F.col(f"m{k}"), F.struct("bit", F.lit(k).alias("k"), F.col(f"c{k}").alias("c"), F.col(f"w{k}").alias("weight"))) for k in (1, 2))), lambda x: x.isNotNull())
     spoken = weighed.groupBy("work", "language", "at").agg(F.sum(F.greatest(own(1), own(2))).cast("float").alias("whole"), F.array_sort(F.flatten(F.collect_list(met))).alias("m"))
@@ -288,7 +251,7 @@ def offsets(spoken: DataFrame, proposals: DataFrame, links: DataFrame | None = N
     around = lambda df: df.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("x") / STRETCH).cast("int") + k for k in (-1, 0, 1)))))
     told = around(given.select("work", "x")).groupBy("work", "stretch").agg(F.count("*").alias("n"))
     thin = stretches.join(told, ["work", "stretch"], "left").where(F.coalesce("n", F.lit(0)) < LEAST_POINTS).select("work").distinct()
-    some = spoken.join(cut_lineage(thin), "work", "left_semi").select("work", "language", "at", F.explode("c").alias("c"))
+    some = spoken.join(thin, "work", "left_semi").select("work", "language", "at", F.explode("c").alias("c"))
     once = some.groupBy("work", "c").agg(F.count_if(F.col("language") == "ar").alias("na"), F.count_if(F.col("language") == "en").alias("ne"), last("ar").alias("x"), last("en").alias("y"))
     points = once.where("na = 1 and ne = 1").select("work", "x", "y").unionByName(given)
     near = around(points.join(sizes, "work").select("work", "x", (F.col("y") - F.col("x") * F.col("slope")).alias("d")))
@@ -369,7 +332,7 @@ def points(spoken: DataFrame, where: DataFrame) -> DataFrame:
     first = F.col("stretch") * STRETCH * F.col("slope") + F.col("shift") - F.col("half")
     final = ((F.col("stretch") + 1) * STRETCH - 1) * F.col("slope") + F.col("shift") + F.col("half")
     spans = where.withColumn("low", F.least(F.greatest(F.floor(first), F.lit(0)), F.col("last_y")).cast("int")).withColumn("high", F.least(F.greatest(F.ceil(final), F.lit(0)), F.col("last_y")).cast("int"))
-    tiles = cut_lineage(spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL).cast("int"), F.floor(F.col("high") / CELL).cast("int")))))
+    tiles = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / CELL).cast("int"), F.floor(F.col("high") / CELL).cast("int"))))
     center = F.col("at") * F.col("slope") + F.col("shift")
     columns = ["work", "stretch", "cell", "at", "whole", "c", "bit", "weight"]
     a = spoken.where("language = 'ar'").withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("int")).withColumn("weight", F.array().cast("array<float>")).join(tiles, ["work", "stretch"]).withColumn("center", center)
@@ -456,9 +419,10 @@ def _hold(key: tuple, found: pa.Table) -> pa.Table:
 def align(sentences: DataFrame, dp_links: DataFrame, structural_links: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
     """(arabic_sentence_id, english_sentence_id, of_ar, of_en)."""
     rows = sentences.select("id", "paragraph_id", "work_id", "language", "global_sequence", "text")
-    s = cut_lineage(_without_common(_sentences(rows)))
+    s = _sentences(rows)
+    words, n, common = vocabulary(s)
     proposals = cut_lineage(_proposals(dp_links.select("work_id", "arabic_start", "arabic_end", "english_start", "english_end")))
-    spoken = concepts(s, lexicon(s, proposals))
+    spoken = concepts(s, terms(words, lexicon(s, proposals, common), n, common))
     links = None if structural_links is None or paragraphs is None else _starts(structural_links, paragraphs, rows)
     found = points(spoken, offsets(spoken, proposals, links))
     reach = F.array_distinct(F.array(F.floor((F.col("x") - MARGIN) / STRETCH), F.floor(F.col("x") / STRETCH), F.floor((F.col("x") + MARGIN) / STRETCH)))
