@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
+from functools import lru_cache
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from twinscript import schemas, sinks
+from twinscript.functions import names, text
 from twinscript.operators import alignment, catalog, documents, factory, harness, sampling, segment, timeline
 from twinscript.streaming import events
 
@@ -69,19 +73,114 @@ def test_glossary_terms_in_words_and_alone(spark):
 
 def test_token_join_equals_brute_force(spark):
     rng = random.Random(1)
-    usual, rarer = "kitab ibn sharh diwan".split(), [f"{a}{b}{c}" for a in "bdf" for b in "aeo" for c in "lmns"]
-    works = [(f"{i:03d}", " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 2)))) for i in range(120)]
-    titles = [(i, " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 2)))) for i in range(80)]
-    index = spark.createDataFrame([(u, w) for u, x in works for w in x.split()], "uri string, token string")
-    hits = spark.createDataFrame([(i, x, None) for i, x in titles], "id int, title string, authors string")
+    usual, rarer = "sharh risala tarikh masail".split(), [f"{a}{b}{c}" for a in "bdf" for b in "aeo" for c in "lmns"]
+    works = [(f"{i:03d}", " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 2)))) for i in range(70)]
+    titles = [(i, " ".join(rng.sample(usual, rng.randint(0, 4)) + rng.sample(rarer, rng.randint(0, 4)))) for i in range(80)]
+    index = spark.createDataFrame([(u, w) for u, x in works for w in set(x.split())], "uri string, token string")
+    hits = spark.createDataFrame([(i, x, None) for i, x in titles] + [(99, None, None)], "id int, title string, authors string")
+    of = {w: [u for u, x in works if w in x.split()] for w in usual + rarer}
     want = {}
     for i, x in titles:
-        score, uri = min((-len(set(x.split()) & set(w.split())), u) for u, w in works)
-        if score <= -2:
-            want[i] = (uri, -score)
+        scores, rare = {}, set()
+        for w in x.split():
+            for u in of[w]:
+                scores[u] = scores.get(u, 0) + 1 / len(of[w])
+                rare |= {u} if len(of[w]) <= 2 else set()
+        best = min(((-round(s, 9), u) for u, s in scores.items()), default=None)
+        if best and best[1] in rare and best[0] <= -0.5:
+            want[i] = (best[1], -best[0])
     joined = catalog.token_join(hits, index)
-    assert {r.id: (r.uri, r.score) for r in joined.collect()} == want
-    assert {r.id for r in catalog.unmatched(hits, joined).collect()} == {i for i, _ in titles} - set(want)
+    assert {r.id: (r.uri, r.score) for r in joined.collect()} == want and 5 < len(want) < 80
+    assert {r.id for r in catalog.unmatched(hits, joined).collect()} == {99, *(i for i, _ in titles)} - set(want)
+
+
+def test_aliases_come_before_tokens(spark):
+    works = spark.createDataFrame([("0300Tabari.Tarikh", "Tabari", "Tarikh"), ("1400Hadith.Nazariya", "Hadith", "Nazariya"), ("0200Salim.Diwan", None, None)], "uri string, author string, title string")
+    hits = spark.createDataFrame([(1, "The Gift of Symbols", "Tabari"), (2, "Nazariya", "Hadith"), (3, "On Salim", None), (4, "Nothing", None)], "id int, title string, authors string")
+    got = {r.id: (r.uri, r.reason) for r in catalog.join_hits(hits, works, [(("gift", "symbols"), "1400Hadith.Nazariya"), (("nothing",), "absent")], "title", "authors").collect()}
+    assert got == {1: ("1400Hadith.Nazariya", "alias"), 3: ("0200Salim.Diwan", "tokens")}
+
+
+def _single(s):
+    return "".join(c for k, c in enumerate(s) if not k or c != s[k - 1])
+
+
+def _score(source, target):
+    """Plain score of two spans of (words, numbers, skeleton, names)."""
+    w, v = sum(x[0] for x in source), sum(x[0] for x in target)
+    if not w or not v:
+        return -alignment.SKIP
+    skeleton = _single("".join(x[2] for x in source))
+    called = [n for x in target for n in x[3]]
+    named = sum(n in skeleton for n in called) / len(called) if called else 0.0
+    mine, theirs = {n for x in source for n in x[1]}, {n for x in target for n in x[1]}
+    length = math.exp(-abs(math.log(v / (1.55 * w))))
+    return 0.2 * named + (0.1 * len(mine & theirs) / len(mine | theirs) if mine and theirs else 0.0) + 0.1 * length + 0.6 * min(1.0, named + length)
+
+
+def _best(source, target):
+    """Score of the best path by trying all."""
+
+    @lru_cache(None)
+    def rest(i, j):
+        if (i, j) == (len(source), len(target)):
+            return 0.0
+        options = [-2.4 + rest(i + 1, j)] if i < len(source) else []
+        options += [-2.4 + rest(i, j + 1)] if j < len(target) else []
+        for a, e in ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1)):
+            if i + a <= len(source) and j + e <= len(target):
+                options.append(_score(source[i : i + a], target[j : j + e]) - 0.05 * (a + e - 2) + rest(i + a, j + e))
+        return max(options)
+
+    return rest(0, 0)
+
+
+def _sides(rng, n):
+    return [(rng.randint(0, 6), rng.sample(["1", "7", "12"], rng.randint(0, 2)), "".join(rng.choice("bdr") for _ in range(rng.randint(0, 5))), rng.choices(["bd", "rb", "db"], k=rng.randint(0, 2))) for _ in range(n)]
+
+
+def _frame(side):
+    skeletons = [_single(x[2]) for x in side]
+    return pd.DataFrame({"words": [x[0] for x in side], "numbers": [x[1] for x in side], "with_h": skeletons, "with_t": skeletons, "names": [x[3] for x in side]})
+
+
+def test_alignment_is_the_best_of_all_paths(monkeypatch):
+    rng = random.Random(2)
+    for cells in (500_000, 10):
+        monkeypatch.setattr(alignment, "MOST_CELLS", cells)
+        for _ in range(40):
+            source, target = _sides(rng, rng.randint(0, 8)), _sides(rng, rng.randint(0, 8))
+            path = alignment.best_path(len(source), len(target), alignment.SpanScores(_frame(source), _frame(target)))
+            assert sum(s for *_, s in path) == pytest.approx(_best(tuple(map(_hashable, source)), tuple(map(_hashable, target))))
+            assert [x for a, b, _, _, _ in path for x in range(a, b)] == list(range(len(source))) and [x for _, _, a, b, _ in path for x in range(a, b)] == list(range(len(target)))
+
+
+def _hashable(x):
+    return x[0], tuple(x[1]), _single(x[2]), tuple(x[3])
+
+
+def test_links_carry_operations_and_flags(spark):
+    s = "unit string, side string, seq int, text string"
+    rows = [("u", "a", 0, "قال سليم بن كريم في عام ١٢"), ("u", "b", 0, "Salim ibn Karim said in the year 12"), ("one", "a", 0, "نص"), ("two", "b", 0, "text"), ("gap", "a", 0, "نص نص نص"), ("gap", "b", 0, None), ("gap", "b", 1, "text text text text text")]
+    got = {(r.unit, r.operation): r for r in alignment.align_groups(spark.createDataFrame(rows, s)).collect()}
+    assert got["u", "1-1"].score == pytest.approx(0.2 + 0.1 + 0.1 * math.exp(-abs(math.log(8 / (1.55 * 7)))) + 0.6) and got["u", "1-1"].flags == []
+    assert (got["one", "1-0"].confidence, got["one", "1-0"].radius, got["one", "1-0"].flags) == (0.15, 3, ["arabic_omission"])
+    assert got["two", "0-1"].flags == ["english_addition"]
+    assert alignment.align_groups(spark.createDataFrame(rows, s).limit(0)).count() == 0
+
+
+def test_names_are_found_by_their_consonants(spark):
+    df = spark.createDataFrame([("Qasim ibn Malik said to AL-jANDAL and the Prophet, then Zayd left", "قال قاسم بن مالك في دومة الجندل"), (None, None), ("no names", "")], "en string, ar string")
+    got = df.select(names.evidence(names.name_skeletons("en"), text.arabic_skeleton("ar", "h"), text.arabic_skeleton("ar", "t")).alias("e"), names.search_blob("ar").alias("blob"), text.arabic_token_skeletons("ar").alias("tokens")).collect()
+    assert (got[0].e.matched, got[0].e.missed) == (["mlk", "jndl"], ["qsm", "zd"]) and got[0].e.score == 0.5 and got[0].e.mass == 7
+    assert got[0].e.first_offset == got[0].blob.index("mlk")
+    assert got[0].blob.split("|")[0].replace("h", "t") == got[0].blob.split("|")[1].replace("h", "t") and got[0].tokens[1] == "ksm"
+    assert got[2].e.score == 0 and got[2].e.first_offset == -1
+
+
+def test_block_ids_stay_apart_beyond_four_digits(spark):
+    got = spark.range(9999, 10002).select(text.block_id(F.lit("a"), F.col("id")).alias("b")).collect()
+    assert [r.b for r in got] == ["a#b9999", "a#b10000", "a#b10001"]
 
 
 def test_large_units_are_aligned_whole(spark, tmp_path):
@@ -99,14 +198,13 @@ def test_large_units_are_aligned_whole(spark, tmp_path):
     assert [x for a, b, _, _ in links for x in range(a, b)] == list(range(n)) and [x for _, _, a, b in links for x in range(a, b)] == list(range(m))
 
 
-def test_divided_tables_give_the_same_path(monkeypatch):
+def test_divided_tables_give_the_same_shares(monkeypatch):
     rng = random.Random(2)
-    texts = lambda: [" ".join(rng.choice(["a", "b", "12", "7"]) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 14))]
-    pairs = [(texts(), texts()) for _ in range(30)]
     sizes = [([rng.randint(0, 90) for _ in range(5)], [rng.randint(0, 50) for _ in range(rng.randint(5, 20))]) for _ in range(30)]
-    whole = [alignment.align_units(a, b) for a, b in pairs], [alignment.length_partition(u, f) for u, f in sizes]
+    whole = [alignment.length_partition(u, f) for u, f in sizes]
     monkeypatch.setattr(alignment, "MOST_CELLS", 10)
-    assert whole == ([alignment.align_units(a, b) for a, b in pairs], [alignment.length_partition(u, f) for u, f in sizes])
+    assert whole == [alignment.length_partition(u, f) for u, f in sizes]
+    assert alignment.length_partition([5.0, 1.0, 9.0], [5.0, 9.0], 0, 2) == [(0, 1), (1, 1), (1, 2)]
 
 
 def test_closed_schemas(spark):

@@ -78,7 +78,9 @@ def hash_order(seed: int | str, *parts: Column | str) -> Column:
 def block_id(item: Column | str, index: Column | str) -> Column:
     """item#bNNNN; an id that holds the separator is refused."""
     bad = F.raise_error(F.concat(F.lit("id holds the block separator: "), _c(item)))
-    return F.when(_c(item).contains(BLOCK_SEPARATOR), bad).otherwise(F.concat(_c(item), F.lit(BLOCK_SEPARATOR), F.lpad(_c(index).cast("string"), 4, "0")))
+    digits = _c(index).cast("string")
+    padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+    return F.when(_c(item).contains(BLOCK_SEPARATOR), bad).otherwise(F.concat(_c(item), F.lit(BLOCK_SEPARATOR), padded))
 
 
 def block_parent(c: Column | str) -> Column:
@@ -126,17 +128,28 @@ def latin_skeleton(c: Column | str) -> Column:
 
 # Arabic letters and their consonants in Latin; weak letters and marks have none.
 SKELETON = {
-    "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d",
-    "ط": "t", "ظ": "z", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h",
+    "ب": "b", "پ": "b", "ت": "t", "ث": "th", "ج": "j", "چ": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "ژ": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d",
+    "ط": "t", "ظ": "z", "غ": "gh", "ف": "f", "ق": "k", "ك": "k", "گ": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h",
 }
+VOWEL_MARKS = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
+_SINGLE = {k: v for k, v in SKELETON.items() if len(v) == 1}
 
 
 def arabic_skeleton(c: Column | str, ta_marbuta: str = "h") -> Column:
-    """Consonants of Arabic words in Latin letters, spaces kept."""
-    out = F.regexp_replace(F.regexp_replace(_c(c), "[ً-ٰٟـ]", ""), "ة", ta_marbuta)
+    """Consonants of Arabic text in Latin letters, words run together, doubles once."""
+    bare = F.regexp_replace(_c(c), VOWEL_MARKS, "")
+    # everything but the letters of the table goes first, so one translation does the single ones
+    known = F.regexp_replace(bare, "[^ة" + "".join(SKELETON) + "]", "")
+    out = F.translate(known, "ة" + "".join(_SINGLE), ta_marbuta + "".join(_SINGLE.values()))
     for letter, latin in SKELETON.items():
-        out = F.replace(out, F.lit(letter), F.lit(latin))
-    return F.regexp_replace(F.regexp_replace(F.lower(out), "[^a-z ]", ""), r"(.)\1+", "$1")
+        if len(latin) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(latin))
+    return F.regexp_replace(out, r"(.)\1+", "$1")
+
+
+def arabic_token_skeletons(c: Column | str) -> Column:
+    """The skeleton of each Arabic word."""
+    return F.transform(F.regexp_extract_all(F.regexp_replace(_c(c), VOWEL_MARKS, ""), F.lit(r"([\x{0600}-\x{06FF}]+)"), 1), lambda w: arabic_skeleton(w))
 
 
 @F.pandas_udf(T.StringType())
@@ -149,14 +162,39 @@ def bare(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+def _accented() -> tuple[str, str]:
+    """Latin letters with marks and their base letters, by Unicode decomposition."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(a, b) for a, b in pairs if a != b and len(b) == 1 and b.isascii() and b.isalpha()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+ACCENTED, BASE = _accented()
+# Words that tell no title or name from another.
+STOP_TOKENS = ("ibn", "bin", "bint", "abu", "abi", "the", "and", "book", "history", "volume", "vol", "part", "anonymous", "author", "translated", "translation", "trans", "diwan", "kitab", "sir", "selected")
+
+
+def plain_latin(c: Column | str) -> Column:
+    """Lower case ASCII letters and digits, marks and half rings off, anything else one space."""
+    bare = F.lower(F.regexp_replace(F.translate(_c(c), ACCENTED, BASE), r"[\p{M}ʿʾ]", ""))
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
 def title_tokens(c: Column | str) -> Column:
-    """Distinct folded tokens of three letters or more, common words off."""
-    stop = F.array(*map(F.lit, ("the", "and", "for", "from", "with", "book", "vol", "volume", "translated", "into", "english", "arabic")))
-    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) >= 3)), stop)
+    """Distinct plain tokens of three letters or more, common words off; empty for null."""
+    words = F.array_distinct(F.filter(F.split(plain_latin(F.coalesce(_c(c), F.lit(""))), " "), lambda x: F.length(x) >= 3))
+    return F.array_except(words, F.array(*map(F.lit, STOP_TOKENS)))
 
 
 def camel_tokens(c: Column | str) -> Column:
-    return F.transform(F.regexp_extract_all(_c(c), F.lit("([A-Z][a-z]+)"), 1), lambda x: F.lower(x))
+    """Parts of a name in camel case: a capital and its small letters, small letters, or capitals."""
+    return F.transform(F.regexp_extract_all(_c(c), F.lit("([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"), 1), lambda x: F.lower(x))
+
+
+def uri_tokens(c: Column | str) -> Column:
+    """Title tokens of the author and work parts of a uri, whose leading year doesn't count."""
+    tail = F.regexp_replace(F.regexp_extract(_c(c), "([^/]*)$", 1), "^[0-9]+", "")
+    return title_tokens(F.array_join(camel_tokens(tail), " "))
 
 
 def unwrapped(c: Column | str) -> Column:

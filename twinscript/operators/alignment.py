@@ -2,99 +2,126 @@
 
 from __future__ import annotations
 
-import math
-import re
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cost of skipping a sentence, words of the target for each of the source, most cells of a table kept at once.
-SKIP, RATIO, MOST_CELLS = 0.6, 1.55, 2_000_000
-MOVES = tuple((a, e) for a in range(1, 4) for e in range(1, 4) if a == 1 or e == 1 or a == e == 2)
-_NUMBER = re.compile(r"\d+")
-
-
-def pair_score(source: str, target: str) -> float:
-    """Length agreement and shared numbers of two spans; names are left to a scorer given from outside."""
-    a, b = source.split(), target.split()
-    if not a or not b:
-        return -SKIP
-    length = math.exp(-abs(math.log(max(1, len(b)) / max(1.0, RATIO * len(a)))))
-    na, nb = {str(int(x)) for x in _NUMBER.findall(source)}, {str(int(x)) for x in _NUMBER.findall(target)}
-    shared = len(na & nb) / len(na | nb) if na and nb else 0.0
-    return 0.1 * shared + 0.1 * length + 0.6 * min(1.0, length)
-
-
-def _span_scores(source: list[str], target: list[str], scorer):
-    """(i, a, e) -> scores of source[i : i + a] with each target[j : j + e]; the same numbers as the scorer's, which for pair_score is called on few pairs only."""
-    joined = lambda texts, i, k: " ".join(texts[i : i + k])
-    if scorer is not pair_score:
-        return lambda i, a, e: np.array([scorer(joined(source, i, a), joined(target, j, e)) for j in range(len(target) - e + 1)])
-    counts = [np.concatenate([[0], np.cumsum([len(x.split()) for x in texts])]) for texts in (source, target)]
-    numbers = [[{str(int(y)) for y in _NUMBER.findall(x)} for x in texts] for texts in (source, target)]
-    where: dict[str, list[int]] = {}
-    for j, found in enumerate(numbers[1]):
-        for number in found:
-            where.setdefault(number, []).append(j)
-    spans: dict[int, tuple[np.ndarray, list[int]]] = {}
-    by_length: dict[tuple[int, int], np.ndarray] = {}
-
-    def scores(i: int, a: int, e: int) -> np.ndarray:
-        if e not in spans:
-            sizes, at = np.unique(counts[1][e:] - counts[1][:-e], return_inverse=True)
-            spans[e] = at, sizes.tolist()
-        at, sizes = spans[e]
-        words = int(counts[0][i + a] - counts[0][i])
-        if (words, e) not in by_length:
-            by_length[words, e] = np.array([pair_score("x " * words, "x " * size) for size in sizes])
-        out = by_length[words, e][at]
-        for j in {k for x in numbers[0][i : i + a] for number in x for at in where.get(number, ()) for k in range(max(0, at - e + 1), min(at, len(target) - e) + 1)}:
-            out[j] = pair_score(joined(source, i, a), joined(target, j, e))
+from twinscript.functions import names
+from twinscript.functions import text as t
+
+# Sentences of both sides that one link may join; what skipping one costs; words of the target for each of the source.
+MOVES = ((1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (1, 0), (0, 1))
+SKIP, RATIO = 2.4, 1.55
+# Weights of names, numbers, length, and of names and length together (at most one), and what each further sentence costs.
+WEIGHTS, FATTER = (0.2, 0.1, 0.1, 0.6), 0.05
+# Bounds of the confidence, and those from which a link is within no or one place of the truth.
+CONFIDENCE, CLOSE = (0.12, 0.97), (0.9, 0.75)
+#: Most cells of a table that are kept at once.
+MOST_CELLS = 500_000
+
+#: gains(first, last, a, e): an array with a row for each source place of first to last - 1 and the score of its span of a with every span of e.
+Gains = Callable[[int, int, int, int], np.ndarray]
+
+
+class SpanScores:
+    """Scores of spans of two lists of sentences by what is measured of each: words, numbers, and names against skeletons."""
+
+    def __init__(self, source: pd.DataFrame, target: pd.DataFrame) -> None:
+        self.n, self.m = len(source), len(target)
+        self.words = [np.concatenate([[0], np.cumsum(side.words.to_numpy(np.int64))]) for side in (source, target)]
+        self.numbers = [[frozenset(x) for x in side.numbers] for side in (source, target)]
+        self.skeletons = [source.with_h.tolist(), source.with_t.tolist()]
+        self.names = [list(x) for x in target.names]
+        self.in_target: dict[str, dict[int, int]] = {}
+        for j, some in enumerate(self.names):
+            for name in some:
+                self.in_target.setdefault(name, {}).setdefault(j, 0)
+                self.in_target[name][j] += 1
+        self.with_number = [j for j, x in enumerate(self.numbers[1]) if x]
+
+    def _named(self, first: int, last: int, a: int, e: int) -> np.ndarray:
+        """Share of each target span's names that each source span holds."""
+        columns = self.m - e + 1
+        found, every = np.zeros((last - first, columns)), np.zeros(columns)
+        blobs = [["".join(c for k, c in enumerate(x) if k == 0 or c != x[k - 1]) if a > 1 else x for x in ("".join(side[i : i + a]) for i in range(first, last))] for side in self.skeletons]
+        for name, places in self.in_target.items():
+            here = np.zeros(self.m + 1)
+            here[list(places)] = list(places.values())
+            sums = np.concatenate([[0.0], np.cumsum(here)])
+            count = sums[e : e + columns] - sums[:columns]
+            every += count
+            rows = [i for i, (h, w) in enumerate(zip(*blobs, strict=True)) if name in h or name in w]
+            if rows:
+                at = np.flatnonzero(count)
+                found[np.ix_(rows, at)] += count[at]
+        return np.divide(found, every, out=np.zeros_like(found), where=every > 0)
+
+    def _numbered(self, first: int, last: int, a: int, e: int) -> np.ndarray:
+        """Numbers in common of all numbers, for spans that have some."""
+        out = np.zeros((last - first, self.m - e + 1))
+        columns = sorted({k for j in self.with_number for k in range(max(0, j - e + 1), min(j, self.m - e) + 1)})
+        theirs = [frozenset().union(*self.numbers[1][j : j + e]) for j in columns]
+        for i in range(first, last):
+            mine = frozenset().union(*self.numbers[0][i : i + a])
+            if mine:
+                out[i - first, columns] = [len(mine & x) / len(mine | x) for x in theirs]
         return out
 
-    return scores
+    def __call__(self, first: int, last: int, a: int, e: int) -> np.ndarray:
+        w, v = self.words[0][first + a : last + a] - self.words[0][first:last], self.words[1][e:] - self.words[1][: self.m + 1 - e]
+        length = np.exp(-np.abs(np.log(np.maximum(1, v)[None, :] / np.maximum(1.0, RATIO * np.maximum(1, w))[:, None])))
+        named = self._named(first, last, a, e)
+        by_name, by_number, by_length, by_both = WEIGHTS
+        score = by_name * named + by_number * self._numbered(first, last, a, e) + by_length * length + by_both * np.minimum(1.0, named + length)
+        return np.where((w == 0)[:, None] | (v == 0)[None, :], -SKIP, score)
 
 
-def align_units(source: list[str], target: list[str], scorer=pair_score, skip: float = SKIP, moves=MOVES) -> list[tuple[int, int, int, int, float]]:
-    """Best monotone path of spans (source start, end, target start, end, score); ends exclusive, the first of equal paths.
+def best_path(n: int, m: int, gains: Gains, skip: float = SKIP, moves=MOVES) -> list[tuple[int, int, int, int, float]]:
+    """Best monotone path of spans (source start, end, target start, end, score); ends exclusive, of equal paths the first.
 
-    Rows are filled one after the other; of a table beyond MOST_CELLS, only every so many rows are kept, and the rows
-    between two of them are filled again on the way back. The path is that of the whole table.
+    A row of the table is filled at once: its links from the rows before, its skips by a running maximum. Of a table
+    beyond MOST_CELLS only some rows are kept, and the rows between two of them are filled again on the way back, so
+    the path is that of the whole table in bounded memory.
     """
-    n, m = len(source), len(target)
-    steps = sorted({*((a, e) for a, e in moves), (1, 0), (0, 1)}, reverse=True)
-    deep = max(a for a, _ in steps)
-    spans = _span_scores(source, target, scorer)
-
-    def gain(i: int, a: int, e: int) -> np.ndarray | float:
-        return -skip if (a, e) in ((1, 0), (0, 1)) else spans(i, a, e) - 0.05 * (a + e - 2)
+    pairs = sorted(((a, e) for a, e in moves if a and e), reverse=True)
+    steps = [*pairs, (1, 0), (0, 1)]
+    deep = max((a for a, _ in pairs), default=1)
+    slope = skip * np.arange(m + 1)
 
-    def fill(before: list[np.ndarray], first: int, last: int, keep: bool) -> tuple[list[np.ndarray], np.ndarray | None]:
+    def fill(before: list[np.ndarray], first: int, last: int, keep: bool) -> tuple[list[np.ndarray], np.ndarray]:
         """The last rows before last, and the step into each cell of rows first to last - 1."""
-        back = np.full((last - first, m + 1), -1, np.int8) if keep else None
+        came = np.zeros((last - first if keep else 0, m + 1), np.int8)
+        made = {}
+        for a, e in pairs:
+            low, high = max(first - a, 0), last - a
+            if high > low and e <= m:
+                made[a, e] = low, gains(low, high, a, e) - FATTER * (a + e - 2)
         for i in range(first, last):
-            row, into = np.full(m + 1, -np.inf), np.full(m + 1, -1, np.int8)
+            row, step = np.full(m + 1, -np.inf), np.zeros(m + 1, np.int8)
             if i == 0:
                 row[0] = 0.0
-            for k, (a, e) in enumerate(steps):
-                if a == 0 or a > i or e > m:
-                    continue
-                c = before[-a][: m + 1 - e] + gain(i - a, a, e)
-                better = c > row[e:]
-                row[e:][better], into[e:][better] = c[better], k
-            inside = [(k, e, np.broadcast_to(gain(i, 0, e), m + 1 - e).tolist()) for k, (a, e) in enumerate(steps) if a == 0 and e <= m]
-            cells, came = row.tolist(), into.tolist()
-            for j in range(1, m + 1):
-                for k, e, s in inside:
-                    if j >= e and cells[j - e] + s[j - e] > cells[j]:
-                        cells[j], came[j] = cells[j - e] + s[j - e], k
-            before = [*before, np.array(cells)][-deep:]
+            for k, (a, e) in enumerate(pairs):
+                if a <= i and e <= m:
+                    low, table = made[a, e]
+                    value = before[-a][: m + 1 - e] + table[i - a - low]
+                    better = value > row[e:]
+                    row[e:][better], step[e:][better] = value[better], k
+            if i:
+                value = before[-1] - skip
+                better = value > row
+                row[better], step[better] = value[better], len(pairs)
+            best = np.maximum.accumulate(row + slope)
+            skipped = best > row + slope
+            row = np.where(skipped, best - slope, row)
+            step[skipped] = len(pairs) + 1
+            before = [*before, row][-deep:]
             if keep:
-                back[i - first] = came
-        return before, back
+                came[i - first] = step
+        return before, came
 
     size = max(deep, MOST_CELLS // (m + 1))
     starts, kept, before = range(0, n + 1, size), [], []
@@ -104,28 +131,49 @@ def align_units(source: list[str], target: list[str], scorer=pair_score, skip: f
             before, _ = fill(before, first, first + size, False)
     out, i, j = [], n, m
     for first in reversed(starts):
-        back = fill(kept.pop(), first, min(first + size, n + 1), True)[1]
+        came = fill(kept.pop(), first, min(first + size, n + 1), True)[1]
         while i >= first and (i, j) != (0, 0):
-            a, e = steps[back[i - first, j]]
-            s = -skip if (a, e) in ((1, 0), (0, 1)) else scorer(" ".join(source[i - a : i]), " ".join(target[j - e : j])) - 0.05 * (a + e - 2)
-            out.append((i - a, i, j - e, j, s))
+            a, e = steps[came[i - first, j]]
+            score = float(gains(i - a, i - a + 1, a, e)[0, j - e]) - FATTER * (a + e - 2) if a and e else -skip
+            out.append((i - a, i, j - e, j, score))
             i, j = i - a, j - e
     return out[::-1]
 
 
+def _linked(unit: str, n: int, m: int, path: list[tuple[int, int, int, int, float]]) -> Iterator[tuple]:
+    """A row for each link; of a unit with one side only, each sentence is an addition or an omission."""
+    for i, k, j, x, score in path:
+        skips = k == i or x == j
+        if not n or not m:
+            yield unit, i, k, j, x, f"{k - i}-{x - j}", score, 0.15, 3, ["arabic_omission" if n else "english_addition"]
+            continue
+        confidence = min(CONFIDENCE[1], max(CONFIDENCE[0], 0.5 + score / 4))
+        radius = sum(confidence < c for c in CLOSE)
+        yield unit, i, k, j, x, f"{k - i}-{x - j}", round(score, 6), round(confidence, 6), 2 if skips else radius, ["skip"] if skips else []
+
+
+LINKS = "unit string, a_start int, a_end int, b_start int, b_end int, operation string, score double, confidence double, radius int, flags array<string>"
+
+
 def align_groups(units: DataFrame) -> DataFrame:
-    """units(unit, side 'a' or 'b', seq, text) as links (unit, a_start, a_end, b_start, b_end, score, confidence, radius)."""
+    """units(unit, side 'a' or 'b', seq, text) as links (unit, a_start, a_end, b_start, b_end, operation, score, confidence, radius, flags).
+
+    What scores need of a text is measured before the shuffle, which then carries skeletons instead of texts.
+    """
+    source = F.col("side") == "a"
+    text = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<string>")
+    measured = units.select(
+        "unit", "side", "seq", t.word_count("text").alias("words"), F.array_distinct(F.regexp_extract_all(t.western_digits(text), F.lit("([0-9]+)"), 1)).alias("numbers"),
+        F.when(source, t.arabic_skeleton(text, "h")).otherwise("").alias("with_h"), F.when(source, t.arabic_skeleton(text, "t")).otherwise("").alias("with_t"), F.when(source, none).otherwise(names.name_skeletons(text)).alias("names"),
+    )
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        a, b = (pdf.text[pdf.side == s].fillna("").tolist() for s in "ab")
-        rows = []
-        for i, k, j, n, s in align_units(a, b):
-            conf = min(0.97, max(0.12, 0.5 + s / 4))
-            rows.append((key[0], i, k, j, n, round(s, 6), round(conf, 3), 0 if conf >= 0.9 else 1 if conf >= 0.6 else 2))
-        return pd.DataFrame(rows, columns=["unit", "a_start", "a_end", "b_start", "b_end", "score", "confidence", "radius"])
+        pdf = pdf.sort_values("seq", kind="stable")
+        a, b = (pdf[pdf.side == s] for s in "ab")
+        return pd.DataFrame(_linked(key[0], len(a), len(b), best_path(len(a), len(b), SpanScores(a, b))), columns=[c.split()[0] for c in LINKS.split(", ")])
 
-    return units.select("unit", "side", "seq", "text").groupBy("unit").applyInPandas(work, "unit string, a_start int, a_end int, b_start int, b_end int, score double, confidence double, radius int")
+    return measured.groupBy("unit").applyInPandas(work, LINKS)
 
 
 def length_partition(units: list[float], fragments: list[float], least: int = 1, most: int | None = None) -> list[tuple[int, int]]:
@@ -214,8 +262,12 @@ def proportional(n: int, m: int) -> list[tuple[int, int]]:
 
 
 def gold_metrics(links: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row: gold pairs(work_id, x, y) that links(work_id, x_start, x_end, y_start, y_end) hit exactly, within one and two, or not at all."""
-    j = gold.join(links, (gold.work_id == links.work_id) & (gold.x >= links.x_start) & (gold.x < links.x_end), "left").select(gold.work_id, gold.x, gold.y, "y_start", "y_end")
+    """One row: gold pairs(work_id, x, y) that links(work_id, x_start, x_end, y_start, y_end) hit exactly, within one and two, or not at all.
+
+    Links are spread over the places they cover, so places meet by equality however many links a work has.
+    """
+    covered = links.where("x_end > x_start").select("work_id", F.explode(F.sequence("x_start", F.col("x_end") - 1)).alias("x"), "y_start", "y_end").distinct()
+    j = gold.join(covered, ["work_id", "x"], "left")
     away = F.when(F.col("y_start").isNull(), None).when(F.col("y") < F.col("y_start"), F.col("y_start") - F.col("y")).when(F.col("y") >= F.col("y_end"), F.col("y") - F.col("y_end") + 1).otherwise(0)
     per = j.withColumn("away", away).groupBy("work_id", "x", "y").agg(F.min("away").alias("away"))
     share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6)
@@ -228,6 +280,13 @@ def coverage(ids: DataFrame, covered: DataFrame, key: str, *by: str) -> DataFram
     return ids.join(c, key, "left").groupBy(*by).agg(F.count("*").alias("n"), F.count("_c").alias("covered"), F.round(F.count("_c") / F.count("*"), 6).alias("coverage"))
 
 
+def buffer_hits(links: DataFrame, gold: DataFrame, window: int) -> DataFrame:
+    """gold(work_id, x, y) with hit: y lies in the target span, widened by the window, of a link that covers x."""
+    covered = links.where("x_end > x_start").select("work_id", F.explode(F.sequence("x_start", F.col("x_end") - 1)).alias("x"), "y_start", "y_end")
+    inside = (F.col("y") >= F.col("y_start") - window) & (F.col("y") < F.col("y_end") + window)
+    return gold.join(covered, ["work_id", "x"], "left").groupBy("work_id", "x", "y").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("hit"))
+
+
 def range_overlaps(links: DataFrame) -> DataFrame:
     """Pairs of links of one work whose source ranges overlap, by a window over starts instead of a pairwise join."""
     w = Window.partitionBy("work_id").orderBy("arabic_start", "arabic_end").rowsBetween(Window.unboundedPreceding, -1)

@@ -25,34 +25,44 @@ def year(c: Column | str) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def joinable_works(works: DataFrame, modern: int = 1350) -> DataFrame:
+    """Works but those whose author died in or after that year (hijri); a uri without a year stays."""
+    year = death_from_uri(F.regexp_extract("uri", "([^/]*)$", 1))
+    return works.where(F.col("uri").isNotNull() & (year.isNull() | (year < modern)))
+
+
 def token_index(works: DataFrame) -> DataFrame:
     """(uri, token): distinct tokens of uri, author and title."""
-    tokens = F.array_distinct(F.concat(F.filter(t.camel_tokens("uri"), lambda x: F.length(x) >= 3), t.title_tokens(F.coalesce("author", F.lit(""))), t.title_tokens(F.coalesce("title", F.lit("")))))
+    tokens = F.array_distinct(F.concat(t.uri_tokens("uri"), t.title_tokens("author"), t.title_tokens("title")))
     return works.where("uri is not null").select("uri", F.explode(tokens).alias("token")).distinct()
 
 
-def token_join(hits: DataFrame, index: DataFrame, least: int = 2) -> DataFrame:
-    """(id, uri, score): the work that shares most tokens with hits(id, title, authors); ties to the first uri.
+def token_join(hits: DataFrame, index: DataFrame, least: float = 0.5, rare: int = 2) -> DataFrame:
+    """(id, uri, score): the work whose tokens weigh most among those of hits(id, title, authors), if it is near enough; ties to the first uri.
 
-    Tokens in a great share of all works would pair everything with everything, so works are scored one by one only
-    where a rarer token is shared. Works that share nothing but common tokens are scored by their sets of them: each
-    distinct set stands for its first uri, and each distinct set of the hits meets it once. The result is that of
-    comparing every hit with every work.
+    A token weighs one part of the works it occurs in. The best work must share a token of at most so many works and
+    reach the least score. Only a hit with such a rare token can be joined, and only a work that weighs more than the
+    rare one's least weight can outbid it: of a hit's tokens, from the commonest on, those that together weigh no more
+    can't seed such a work by themselves. So works are looked up by the other tokens only, each of which is in few
+    works, and the result is that of comparing every hit with every work.
     """
-    df = index.groupBy("token").agg(F.count("*").alias("_df"))
-    works = index.select("uri").distinct().count()
-    common = F.col("_df") > max(works * 0.05, 20)
-    rare, common = df.where(~common).select("token"), df.where(common).select("token")
-    tokens = hits.select("id", F.explode(F.array_union(t.title_tokens(F.coalesce("title", F.lit(""))), t.title_tokens(F.coalesce("authors", F.lit(""))))).alias("token"))
-    seeds = tokens.join(index.join(rare, "token", "left_semi"), "token").select("id", "uri").distinct()
-    scored = seeds.join(tokens, "id").join(index, ["uri", "token"]).groupBy("id", "uri").agg(F.count("*").alias("score"))
-    sets = lambda rows, key: rows.join(common, "token", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias(f"{key}_set")).where(F.size(f"{key}_set") >= least)
-    mine, theirs = sets(tokens, "id"), sets(index, "uri").groupBy("uri_set").agg(F.min("uri").alias("uri"))
-    met = mine.select("id_set").distinct().select("id_set", F.explode("id_set").alias("token")).join(theirs.select("uri", F.explode("uri_set").alias("token")), "token").groupBy("id_set", "uri").agg(F.count("*").alias("score"))
-    best = met.groupBy("id_set").agg(F.min(F.struct((-F.col("score")).alias("less"), "uri")).alias("b")).select("id_set", F.col("b.uri").alias("uri"), (-F.col("b.less")).alias("score"))
-    scored = scored.unionByName(mine.join(best, "id_set").select("id", "uri", "score"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "uri")
-    return scored.where(F.col("score") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    weights = index.groupBy("token").agg(F.count("*").alias("df")).withColumn("weight", 1 / F.col("df"))
+    tokens = hits.select("id", F.explode(F.array_union(t.title_tokens("title"), t.title_tokens("authors"))).alias("token")).distinct().join(weights, "token")
+    each = Window.partitionBy("id")
+    below = F.sum("weight").over(each.orderBy("weight", "token"))
+    sure = tokens.withColumn("rarest", F.min("df").over(each)).where(F.col("rarest") <= rare).withColumn("below", below)
+    seeds = sure.where((F.col("below") > F.least(F.lit(least), F.lit(1 / rare)) - 1e-9) | (F.col("df") <= rare)).join(index, "token").select("id", "uri").distinct()
+    scored = seeds.join(sure.select("id", "token", "weight", "df"), "id").join(index, ["uri", "token"]).groupBy("id", "uri").agg(F.round(F.sum("weight"), 9).alias("score"), F.count_if(F.col("df") <= rare).alias("rare"))
+    best = scored.groupBy("id").agg(F.min_by(F.struct("uri", "score", "rare"), F.struct(-F.col("score"), "uri")).alias("b")).select("id", "b.*")
+    return best.where((F.col("rare") >= 1) & (F.col("score") >= least)).select("id", "uri", "score")
+
+
+def join_hits(hits: DataFrame, works: DataFrame, rules: list[tuple[tuple[str, ...], str]], *columns: str) -> DataFrame:
+    """(id, uri, reason): the work of the first alias rule that a hit's columns meet and the works hold, else that of its tokens; hits without either are left out."""
+    named = alias_join(hits, rules, F.concat_ws(" ", *columns)).where("alias_uri is not null").select("id", F.col("alias_uri").alias("uri"))
+    by_alias = named.join(works.select("uri").distinct(), "uri", "left_semi").select("id", "uri", F.lit("alias").alias("reason"))
+    rest = hits.join(by_alias, "id", "left_anti")
+    return by_alias.unionByName(token_join(rest, token_index(joinable_works(works))).select("id", "uri", F.lit("tokens").alias("reason")))
 
 
 def alias_join(hits: DataFrame, rules: list[tuple[tuple[str, ...], str]], blob: Column) -> DataFrame:
@@ -96,8 +106,9 @@ def review_queue(rows: DataFrame, where: Column) -> DataFrame:
     return rows.where(where).groupBy("openiti_uri").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def title_page_ok(text: Column, needles: list[str], reject: list[str]) -> Column:
-    head = t.fold(F.substring(text, 1, 80_000))
+def title_page_ok(text: Column, needles: list[str], reject: list[str], window: int = 80_000) -> Column:
+    """Whether the first characters, a window as wide as a title page may take, hold all needles and nothing to reject."""
+    head = t.fold(F.substring(text, 1, window))
     ok = F.lit(True)
     for n in needles:
         ok = ok & F.contains(head, F.lit(n.lower()))

@@ -59,6 +59,14 @@ def gold_metrics(spark: SparkSession, d: str) -> DataFrame:
     return alignment.gold_metrics(links, gold)
 
 
+@register("buffer_hits", "select g.work_id, g.x, g.y, coalesce(bool_or(g.y >= l.english_start - 1 and g.y < l.english_end + 1), false) as hit from (select distinct work_id, arabic_start as x, english_start as y from dp_links where confidence >= 0.5) g left join dp_links l on g.work_id = l.work_id and g.x >= l.arabic_start and g.x < l.arabic_end and l.confidence < 0.9 group by 1, 2, 3")
+def buffer_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "dp_links", "work_id", "arabic_start", "arabic_end", "english_start", "english_end", "confidence")
+    gold = rows.where("confidence >= 0.5").select("work_id", F.col("arabic_start").alias("x"), F.col("english_start").alias("y")).distinct()
+    links = rows.where("confidence < 0.9").select("work_id", F.col("arabic_start").alias("x_start"), F.col("arabic_end").alias("x_end"), F.col("english_start").alias("y_start"), F.col("english_end").alias("y_end"))
+    return alignment.buffer_hits(links, gold, 1)
+
+
 @register("display_modes", "select case when coalesce(list_has_any(flags, ['unanchored', 'review_required']), false) or confidence is null or confidence < 0.4 then 3 when operation = '1:1' and confidence >= 0.7 then 1 else 2 end as mode, count(*) as n from dp_links group by 1")
 def display_modes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "dp_links", "confidence", "flags", "operation")
@@ -88,15 +96,16 @@ def dp_align_units(spark: SparkSession, d: str) -> DataFrame:
 
 @register("length_partition")
 def length_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Target paragraphs of each linked unit shared out among the source's by length, where there are enough."""
+    """Target sentences of each linked unit shared out among the source's by length; where there are fewer of them some of the source get none (null)."""
     sized = _units(spark, d).groupBy("unit", "side", "seq").agg(F.sum(F.length("text")).alias("n"))
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.side == s].sort_values("seq") for s in "ab")
-        if not len(a) or len(b) < len(a):
-            return pd.DataFrame(columns=["unit", "seq", "first", "last"])
-        shared = alignment.length_partition(a.n.tolist(), b.n.tolist(), 1, max(1, -(-len(b) // len(a)) + 3))
-        return pd.DataFrame([(key[0], s, int(b.seq.iloc[i]), int(b.seq.iloc[k - 1])) for s, (i, k) in zip(a.seq, shared, strict=True)], columns=["unit", "seq", "first", "last"])
+        rows = []
+        if len(a):
+            shared = alignment.length_partition(a.n.tolist(), b.n.tolist(), int(len(b) >= len(a)), max(1, -(-len(b) // len(a)) + 3))
+            rows = [(key[0], s, int(b.seq.iloc[i]) if k > i else None, int(b.seq.iloc[k - 1]) if k > i else None) for s, (i, k) in zip(a.seq, shared, strict=True)]
+        return pd.DataFrame(rows, columns=["unit", "seq", "first", "last"]).astype({"first": "Int32", "last": "Int32"})
 
     return sized.groupBy("unit").applyInPandas(work, "unit string, seq int, first int, last int")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinscript.functions import text
 from twinscript.operators import catalog
 from twinscript.queries import register
 from twinscript.sources.tables import table
@@ -31,11 +32,18 @@ def uri_death_years(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "works", "uri").distinct().select("uri", catalog.death_from_uri("uri").alias("death"))
 
 
-@register("uri_tokens", "select uri, lower(unnest(regexp_extract_all(uri, '([A-Z][a-z]+)'))) as token from (select distinct uri from works)")
-def uri_tokens(spark: SparkSession, d: str) -> DataFrame:
-    from twinscript.functions.text import camel_tokens
+_CAMEL = "array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_extract({}, '([^/]*)$', 1), '^[0-9]+', ''), '[A-Z]?[a-z]+|[A-Z]+'), lambda x: lower(x)), ' ')"
+_STOPS = ", ".join(f"'{w}'" for w in text.STOP_TOKENS)
+
+
+def _tokens(c: str) -> str:
+    plain = f"trim(regexp_replace(lower(regexp_replace(translate(coalesce({c}, ''), '{text.ACCENTED}', '{text.BASE}'), '[\\p{{M}}ʿʾ]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    return f"list_distinct(list_filter(string_split({plain}, ' '), lambda x: length(x) >= 3 and x not in ({_STOPS})))"
 
-    return table(spark, d, "works", "uri").distinct().select("uri", F.explode(camel_tokens("uri")).alias("token"))
+
+@register("uri_tokens", f"select uri, unnest({_tokens(_CAMEL.format('uri'))}) as token from (select distinct uri from works)")
+def uri_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "works", "uri").distinct().select("uri", F.explode(text.uri_tokens("uri")).alias("token"))
 
 
 @register("publication_years", "select id, cast(nullif(regexp_extract(publication_year, '(1[789][0-9]{2}|20[0-9]{2})', 1), '') as integer) as year from translations")
@@ -79,17 +87,24 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "translations", "id", "work_english_title", "author").select("id", F.col("work_english_title").alias("title"), F.col("author").alias("authors"))
 
 
-@register("token_index")
+_INDEX = f"(select distinct uri, unnest(list_concat({_tokens(_CAMEL.format('uri'))}, {_tokens('author')}, {_tokens('title')})) as token from {_WORKS})"
+_JOINABLE = f"(select * from {_INDEX} where coalesce(try_cast(regexp_extract(uri, '^([0-9]{{1,4}})', 1) as int), 0) < 1350)"
+_SCORED = f"""with ix as (select * from {_INDEX}), df as (select token, count(*) as df from ix group by 1), tk as (select distinct id, unnest(list_concat({_tokens('work_english_title')}, {_tokens('author')})) as token from translations),
+sc as (select id, uri, round(sum(1.0::double / df), 9) as score, count(*) filter (df <= 2) as rare from tk join ix using (token) join df using (token) group by 1, 2),
+b as (select *, row_number() over (partition by id order by score desc, uri) as r from sc) select id, uri, score from b where r = 1 and rare >= 1 and score >= 0.5"""
+
+
+@register("token_index", f"select uri, token from {_INDEX}")
 def token_index(spark: SparkSession, d: str) -> DataFrame:
     return catalog.token_index(_works(spark, d))
 
 
-@register("token_join")
+@register("token_join", _SCORED)
 def token_join(spark: SparkSession, d: str) -> DataFrame:
     return catalog.token_join(_hits(spark, d), catalog.token_index(_works(spark, d)))
 
 
-@register("unmatched_hits")
+@register("unmatched_hits", f"select id from translations where id not in (select id from ({_SCORED}))")
 def unmatched_hits(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d)
     return catalog.unmatched(hits, catalog.token_join(hits, catalog.token_index(_works(spark, d)))).select("id")
@@ -105,6 +120,17 @@ def alias_join(spark: SparkSession, d: str) -> DataFrame:
     return catalog.alias_join(rows, rules, F.concat_ws(" ", "work_english_title", "author")).select("id", "alias_uri")
 
 
+_CASCADE = _SCORED.replace(_INDEX, _JOINABLE)
+
+
+@register("join_reasons", f"with a as (select t.id, w.uri from (select id, case when contains(b, ' gift ') and contains(b, ' symbols ') then (select min(uri) from works) end as uri from (select id, {_BLOB} as b from translations)) t join (select distinct uri from works) w using (uri)), k as ({_CASCADE}) select id, uri, 'alias' as reason from a union all select id, uri, 'tokens' from k where id not in (select id from a)")
+def join_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases first, tokens for the rest; the alias here stands for the first uri of the catalogue."""
+    works = _works(spark, d)
+    rules = [(("gift", "symbols"), works.agg(F.min("uri")).first()[0])]
+    return catalog.join_hits(_hits(spark, d), works, rules, "title", "authors")
+
+
 @register("keyword_hits", "select id from translations where contains(lower(concat_ws(' ', work_english_title, notes)), 'poems') or contains(lower(concat_ws(' ', work_english_title, notes)), 'history')")
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     return catalog.keyword_hits(table(spark, d, "translations", "id", "work_english_title", "notes"), ["poems", "history"], "work_english_title", "notes").select("id")
