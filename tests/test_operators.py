@@ -94,6 +94,26 @@ def test_token_join_equals_brute_force(spark):
     assert {r.id for r in catalog.unmatched(hits, joined).collect()} == {99, *(i for i, _ in titles)} - set(want)
 
 
+def test_terms_are_found_alike_by_automaton_and_by_heads(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ابتد") for _ in range(n))
+    g = spark.createDataFrame([(f"{i}", word(rng.randint(1, 5)), rng.choice([None, "ok", "rejected"]), rng.choice([None, "x", "y"])) for i in range(60)] + [("n", None, None, None)], "entry_id string, arabic string, status string, book string")
+    p = spark.createDataFrame([(i, " ".join(word(rng.randint(1, 6)) for _ in range(8)), rng.choice([None, "x"])) for i in range(30)] + [(90, None, None), (91, "", None)], "id int, text string, book string")
+    got = [sorted((r.id, r.entry_id) for r in factory.retrieve(p, g, most).collect()) for most in (1000, 0)]
+    entries, rows = [r for r in g.collect() if r.arabic and r.status != "rejected"], [r for r in p.collect() if r.text]
+    alone = lambda term, text: any(text[k : k + len(term)] == term and not (text[k - 1 : k].strip() if k else "") and not text[k + len(term) : k + len(term) + 1].strip() for k in range(len(text)))
+    want = sorted((r.id, e.entry_id) for r in rows for e in entries if (not e.book or not r.book or e.book == r.book) and (e.arabic in r.text if len(e.arabic) > 2 else alone(e.arabic, r.text)))
+    assert got[0] == want and got[1] == want
+
+
+def test_policies_of_known_pairs(spark):
+    s = "row_id string, item_id string, system_id string, hint string, ok boolean, fails array<string>"
+    rows = [("1", "clean", "lite", None, True, []), ("2", "clean", "strong", None, False, ["X"]), ("3", "mended", "lite", None, False, ["X"]), ("4", "mended", "strong", None, True, []), ("5", "human", "lite", None, False, ["X"]), ("6", "verse", "strong", "Verse", True, []), ("7", "other", "tuned", None, True, [])]
+    made = factory.simulate(factory.paired(spark.createDataFrame(rows, s), "lite", "strong"))
+    assert {r.item_id: (r.system, r.queue, r.chosen) for r in made.collect()} == {"clean": ("lite", "auto", "lite"), "mended": ("strong", "auto", "strong"), "human": ("lite", "human", "lite"), "verse": ("strong", "auto", "strong")}
+    assert {r.policy: (r.publishable, r.escaped_rate) for r in factory.policy_rates(made).collect()} == {"all_strong": (2, 0.5), "all_lite": (1, 0.75), "known_lite_else_strong": (3, 0.25), "source_gate_only": (2, 0.5), "checks_keep_both": (4, 0.0), "checks_overwrite": (3, 0.25)}
+
+
 def test_aliases_come_before_tokens(spark):
     works = spark.createDataFrame([("0300Tabari.Tarikh", "Tabari", "Tarikh"), ("1400Hadith.Nazariya", "Hadith", "Nazariya"), ("0200Salim.Diwan", None, None)], "uri string, author string, title string")
     hits = spark.createDataFrame([(1, "The Gift of Symbols", "Tabari"), (2, "Nazariya", "Hadith"), (3, "On Salim", None), (4, "Nothing", None)], "id int, title string, authors string")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinscript.functions import text as t
 
 
-def batches(items: DataFrame, size: int, *order: str) -> DataFrame:
-    """items with batch, a running number of groups of so many rows, per partition of a hash so that no global sort is needed."""
-    parts = F.pmod(F.xxhash64(*order), F.lit(64))
+def batches(items: DataFrame, size: int, *order: str, parts: int = 64) -> DataFrame:
+    """items with batch, the name of a group of at most so many rows; rows are numbered in so many parts of a hash, so no global sort is needed (one part numbers all in order)."""
+    parts = F.pmod(F.xxhash64(*order), F.lit(parts))
     w = Window.partitionBy("_part").orderBy(*order)
     return items.withColumn("_part", parts).withColumn("batch", F.concat_ws("-", F.col("_part").cast("string"), F.floor((F.row_number().over(w) - 1) / size).cast("string"))).drop("_part")
 
@@ -51,27 +55,37 @@ def run_scores(rows: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("error_rate", F.col("errors") / F.col("total")).withColumn("latency_p95", F.when(F.size("_lat") > 0, F.element_at("_lat", at.cast("int")))).drop("_lat")
 
 
-def ngrams(rows: DataFrame, side: str, order: int) -> DataFrame:
-    """rows with n and g, one row for each character n-gram of a side without white space.
+def ngram_counts(hyp: Column | str, ref: Column | str, order: int) -> Column:
+    """Array of matches, n-grams of the output and n-grams of the reference for each order, of texts without white space.
 
-    The places are exploded first, so that the bare text is made once for each row; n-grams go on as hashes.
+    Both texts are on one row, so they are counted in an Arrow batch and only sums go on.
     """
-    at = rows.withColumn("_t", F.regexp_replace(side, t.SPACE + "+", "")).where("_t <> ''").withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_t"))))
-    at = at.withColumn("_w", F.substring(F.col("_t"), F.col("_i"), F.lit(order))).drop("_t", "_i")
-    grams = F.array(*(F.when(F.length("_w") >= n, F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring("_w", 1, n)).alias("g"))) for n in range(1, order + 1)))
-    return at.withColumn("_g", F.explode(grams)).where("_g is not null").withColumn("n", F.col("_g.n")).withColumn("g", F.col("_g.g")).drop("_w", "_g")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        def one(h: str, r: str) -> list[int]:
+            out = []
+            for n in range(1, order + 1):
+                a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (h, r))
+                out += [sum(min(k, b[g]) for g, k in a.items() if g in b), a.total(), b.total()]
+            return out
+
+        return pd.Series([one(h, r) for h, r in zip(hyps, refs, strict=True)])
+
+    bare = lambda c: F.regexp_replace(c, t.SPACE + "+", "")
+    return count(bare(hyp), bare(ref))
 
 
 def chrf(pairs: DataFrame, *by: str, order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Corpus chrF of pairs(id, hyp, ref) per group: counts are summed over the corpus, then precision and recall averaged over orders."""
-    kept = pairs.where("trim(hyp) <> '' and trim(ref) <> ''").select("id", *by, "hyp", "ref")
-    sides = [ngrams(kept.select("id", *by, side), side, order).select("id", *by, "n", "g", F.lit(int(side == "hyp")).alias("h"), F.lit(int(side == "ref")).alias("r")) for side in ("hyp", "ref")]
-    counted = sides[0].unionByName(sides[1]).groupBy("id", *by, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    per = counted.groupBy(*by, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 and r > 0")
-    mean = per.groupBy(*by).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("rec"))
+    """Corpus chrF of pairs(id, hyp, ref) per group: counts are summed over the corpus, then precision and recall averaged over orders; null where no pair has two texts."""
+    counted = pairs.where("trim(hyp) <> '' and trim(ref) <> ''").select(*by, ngram_counts("hyp", "ref", order).alias("_k"))
+    sums = counted.groupBy(*by).agg(*(F.sum(F.get("_k", F.lit(k))).alias(f"_{k}") for k in range(3 * order)))
+    orders = F.filter(F.array(*(F.struct(*(F.col(f"_{3 * n + k}").alias(c) for k, c in enumerate("mhr"))) for n in range(order))), lambda x: (x["h"] > 0) & (x["r"] > 0))
+    mean = lambda c: F.aggregate("_o", F.lit(0.0), lambda s, x: s + x["m"] / x[c]) / F.size("_o")
+    means = sums.select(*by, orders.alias("_o")).where("size(_o) > 0").select(*by, mean("h").alias("p"), mean("r").alias("rec"))
     b = beta * beta
     score = F.when(b * F.col("p") + F.col("rec") > 0, (1 + b) * F.col("p") * F.col("rec") / (b * F.col("p") + F.col("rec")) * 100).otherwise(0.0)
-    return mean.select(*by, score.alias("chrf"))
+    return means.select(*by, score.alias("chrf"))
 
 
 def overlap(rows: DataFrame, system: str, item: str) -> DataFrame:

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from twinscript.functions import text as t
 
 
-def first_by_hash(rows: DataFrame, content: str, *order: str) -> DataFrame:
-    """One row for each distinct content: the first in the given order. Aggregates by the content's hash, not by the text."""
-    keep = [c for c in rows.columns if c != content]
-    return rows.groupBy(t.sha(content).alias("sha")).agg(F.min_by(F.struct(content, *keep), F.struct(*order)).alias("r")).select("sha", "r.*")
+def first_by_hash(rows: DataFrame, content: str, key: str, *order: str) -> DataFrame:
+    """(sha, key) of the row of each distinct content that is first in the given order.
+
+    Only hashes, keys and what they are ordered by are shuffled; semi_first gives the whole rows.
+    """
+    return rows.select(t.sha(content).alias("sha"), key, F.struct(*order).alias("_o")).groupBy("sha").agg(F.min_by(key, "_o").alias(key))
+
+
+def semi_first(rows: DataFrame, content: str, key: str, *order: str) -> DataFrame:
+    """The rows, all columns, that first_by_hash chooses; key must identify a row."""
+    return rows.join(first_by_hash(rows, content, key, *order).select(key), key, "left_semi")
 
 
 def per_stratum(rows: DataFrame, strata: list[str], n: int | Column, seed: int, key: str) -> DataFrame:

@@ -109,18 +109,21 @@ def overlap_items(spark: SparkSession, d: str) -> DataFrame:
     return good.groupBy("item_id").agg(F.countDistinct("model").alias("systems")).where("systems > 1")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "consensus_rows", "row_id", "system_id", "arabic", "translation")
+@register("system_overlap", "with g as (select distinct system_id, item_id from consensus_rows where trim(translation, ' ') <> '' and system_id in ('lite', 'strong')) select system_id, item_id, count(*) over (partition by item_id) as systems from g qualify systems = (select count(distinct system_id) from g)")
+def system_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Items that both systems answered."""
+    rows = table(spark, d, "consensus_rows", "system_id", "item_id", "translation").where("system_id in ('lite', 'strong')").withColumn("error", F.lit(None).cast("string"))
+    return harness.overlap(rows, "system_id", "item_id").select("system_id", "item_id").distinct().withColumn("systems", F.lit(2).cast("bigint"))
 
 
-@register("checks_long")
-def checks_long(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("row_id", "system_id", F.explode(checks.findings("arabic", "translation")).alias("f")).select("row_id", "system_id", "f.*")
+@register("item_batches", "select ceil(count(*) / 16.0)::bigint as batches, least(16, count(*)) as fullest, count(*) as items from eval_items")
+def item_batches(spark: SparkSession, d: str) -> DataFrame:
+    made = harness.batches(table(spark, d, "eval_items", "id"), 16, "id", parts=1).groupBy("batch").agg(F.count("*").alias("n"))
+    return made.agg(F.count("*").alias("batches"), F.max("n").alias("fullest"), F.sum("n").alias("items"))
 
 
-@register("checks_summary")
-def checks_summary(spark: SparkSession, d: str) -> DataFrame:
-    return checks_long(spark, d).groupBy("check", "system_id").agg(F.count("*").alias("n"), F.count_if("applicable").alias("applicable"), F.count_if(F.col("applicable") & ~F.col("passed")).alias("failed"))
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "consensus_rows", "row_id", "system_id", "arabic", "translation")
 
 
 def _one(spark: SparkSession, d: str, check: str) -> DataFrame:
@@ -170,12 +173,64 @@ def chk_repetition(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d, "repetition")
 
 
-@register("chk_negation")
+_WORDS = r"len(list_filter(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}''’-]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]')))"
+_AR_NEG = r"len(list_filter(string_split_regex(a, '[^\p{L}\p{M}\p{N}_]+'), lambda w: w in ('لا', 'ما', 'لم', 'لن', 'غير', 'بلا', 'دون') or starts_with(w, 'ليس')))"
+_EN_NEG = r"len(regexp_extract_all(e, '(?i)\b(?:not|no|never|neither|nor|none|cannot|without|nothing|nobody|nowhere)\b|n[''’]t\b'))"
+_MEASURED = f"""(select row_id, item_id, system_id, second_publishable, a, e, {_AR_NEG} as na, {_EN_NEG} as ne, {_N.format('a')} as xa, {_N.format('e')} as xe, {_WORDS.format('a')} as wa, {_WORDS.format('e')} as we,
+len(regexp_extract_all(e, '{t.ARABIC}')) as u, len(regexp_extract_all(a, '{_Q}')) as qa, len(regexp_extract_all(e, '{_Q}')) as qe, list_filter(list_transform({_sentences('e')}, lambda x: lower(trim(x, ' '))), lambda x: length(x) >= 25) as units,
+len({_sentences("translate(a, '؟۔', '?.')")}) as sa, len({_sentences('e')}) as se from (select *, coalesce(arabic, '') as a, coalesce(translation, '') as e from consensus_rows))"""
+
+
+def _finding(check: str, applicable: str, passed: str, severity: str, value: str) -> str:
+    return f"{{'check': '{check}', 'applicable': {applicable}, 'passed': case when {applicable} then coalesce({passed}, false) end, 'severity': {severity}, 'value': case when {applicable} then ({value})::double end}}"
+
+
+_FINDINGS = ", ".join((
+    _finding("negation_parity", "true", "na = 0 or ne::double / na between 0.5 and 2.5", "'critical'", "case when na > 0 then ne::double / na end"),
+    _finding("number_coverage", "len(xa) > 0", "len(list_filter(xa, lambda x: not list_contains(xe, x))) = 0", "'major'", "1 - len(list_filter(xa, lambda x: not list_contains(xe, x)))::double / len(xa)"),
+    _finding("length_ratio", "wa > 0", "we::double / wa between 0.5 and 3.0", "case when wa > 0 and we::double / wa > 3.0 then 'moderate' else 'major' end", "we::double / wa"),
+    _finding("untranslated_arabic", "true", "u = 0", "'major'", "u"),
+    _finding("repetition", "len(units) >= 2", "len(units) = len(list_distinct(units))", "'major'", "len(units) - len(list_distinct(units))"),
+    _finding("quotation_coverage", "qa > 0", "qe > 0", "'critical'", "qe"),
+    _finding("sentence_ratio", "sa >= 2", "se::double / sa >= 0.5", "'major'", "se::double / sa"),
+))
+_LONG = f"(select row_id, system_id, unnest([{_FINDINGS}], recursive := true) from {_MEASURED})"
+_FAILED = f"(select distinct row_id from {_LONG} where applicable and not passed union select row_id from consensus_rows where trim(lower(coalesce(translation, '')), ' ') in ('', 'nan', 'none', 'null', 'n/a'))"
+_JUDGED = f"(select row_id, item_id, system_id, coalesce(upper(trim(second_publishable, ' ')) = 'Y', false) as ok, row_id in (select row_id from {_FAILED}) as bad from consensus_rows)"
+_SIMULATED = f"""with j as (select * from {_JUDGED}), s as (select distinct item_id from j where system_id in ('lite', 'strong')),
+l as (select item_id, max_by(ok, row_id) as ok, max_by(bad, row_id) as bad from j where system_id = 'lite' group by 1), g as (select item_id, max_by(ok, row_id) as ok, max_by(bad, row_id) as bad from j where system_id = 'strong' group by 1),
+p as (select s.item_id, coalesce(l.ok, false) as lite_ok, coalesce(l.bad, true) as lite_bad, coalesce(g.ok, false) as strong_ok, coalesce(g.bad, true) as strong_bad, lower(trim(coalesce(e.genre, ''), ' ')) as hint from s left join l using (item_id) left join g using (item_id) left join eval_items e on e.id = s.item_id),
+q as (select *, hint in ('verse', 'poetry', 'saj', 'rhymed_prose', 'metalinguistic') or contains(hint, 'verse') or contains(hint, 'maqama') as gate from p), r as (select *, not gate and lite_bad as escalate from q),
+m as (select *, case when gate then 'strong' when not escalate then 'lite' when not strong_bad then 'strong' else 'lite' end as sys, case when escalate and strong_bad then 'human' else 'auto' end as queue from r)"""
+_UNPIVOTED = " union all ".join(
+    f"select '{policy}' as policy, {ok} as ok from m"
+    for policy, ok in (
+        ("all_strong", "strong_ok"), ("all_lite", "lite_ok"), ("known_lite_else_strong", "lite_ok or strong_ok"), ("source_gate_only", "case when gate then strong_ok else lite_ok end"),
+        ("checks_keep_both", "queue = 'human' or case when sys = 'strong' then strong_ok else lite_ok end"), ("checks_overwrite", "case when gate or escalate then strong_ok else lite_ok end"),
+    )
+)
+
+
+@register("checks_long", f"select * from {_LONG}")
+def checks_long(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("row_id", "system_id", F.explode(checks.findings("arabic", "translation")).alias("f")).select("row_id", "system_id", "f.*")
+
+
+@register("checks_summary", f"select \"check\", system_id, count(*) as n, count(*) filter (applicable) as applicable, count(*) filter (applicable and not passed) as failed from {_LONG} group by 1, 2")
+def checks_summary(spark: SparkSession, d: str) -> DataFrame:
+    return checks_long(spark, d).groupBy("check", "system_id").agg(F.count("*").alias("n"), F.count_if("applicable").alias("applicable"), F.count_if(F.col("applicable") & ~F.col("passed")).alias("failed"))
+
+
+def _verdict(check: str) -> str:
+    return f"select row_id, case when not applicable then 'n/a' when passed then 'pass' else 'fail' end as verdict from {_LONG} where \"check\" = '{check}'"
+
+
+@register("chk_negation", _verdict("negation_parity"))
 def chk_negation(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d, "negation_parity")
 
 
-@register("chk_length")
+@register("chk_length", _verdict("length_ratio"))
 def chk_length(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d, "length_ratio")
 
@@ -204,7 +259,7 @@ def verify_graded(spark: SparkSession, d: str) -> DataFrame:
     return factory.graded_errors(rows, rows.select("row_id", F.col("first_publishable").alias("publishable"), F.col("first_blocking_flags").alias("blocking_flags")))
 
 
-@register("checker_prf")
+@register("checker_prf", f"with c as (select c.system_id, count(*) filter (bad and not ok) as tp, count(*) filter (bad and ok) as fp, count(*) filter (not bad and not ok) as fn, count(*) filter (not bad and ok) as tn from {_JUDGED} c group by 1) select *, case when tp + fp > 0 then round(tp / (tp + fp), 3) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 3) else 0 end as recall, case when 2 * tp + fp + fn > 0 then round(2 * tp / (2 * tp + fp + fn), 3) else 0 end as f1 from c")
 def checker_prf(spark: SparkSession, d: str) -> DataFrame:
     """The checks as a predictor of the second sitting's verdict, per system."""
     rows = table(spark, d, "consensus_rows", "system_id", "arabic", "translation", "second_publishable")
@@ -212,14 +267,47 @@ def checker_prf(spark: SparkSession, d: str) -> DataFrame:
     return factory.prf(rows, failed, F.coalesce(F.upper(F.trim("second_publishable")) != "Y", F.lit(True)), "system_id")
 
 
-@register("policy_simulation")
-def policy_simulation(spark: SparkSession, d: str) -> DataFrame:
-    """Where each row would go: route by genre, escalation by the checks, queue, against the second sitting's verdict."""
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two systems with what the checks say of them and the second sitting's verdict."""
     genre = table(spark, d, "eval_items", "id", "genre").withColumnRenamed("id", "item_id")
-    rows = table(spark, d, "consensus_rows", "item_id", "arabic", "translation", "second_publishable").join(genre, "item_id", "left")
-    fails = checks.failed_flags("arabic", "translation")
-    decided = rows.select(factory.cascade(F.col("genre"), fails).alias("c"), (F.upper(F.trim("second_publishable")) == "Y").alias("ok"))
-    return decided.select("c.primary", "c.escalate", factory.pick(F.col("c"), F.array().cast("array<string>")).alias("p"), "ok").groupBy("primary", "escalate", "p.system", "p.queue").agg(F.count("*").alias("n"), F.count_if("ok").alias("publishable"))
+    rows = table(spark, d, "consensus_rows", "row_id", "item_id", "system_id", "arabic", "translation", "second_publishable").join(genre, "item_id", "left")
+    return rows.select("row_id", "item_id", "system_id", F.col("genre").alias("hint"), F.coalesce(F.upper(F.trim("second_publishable")) == "Y", F.lit(False)).alias("ok"), checks.failed_flags("arabic", "translation").alias("fails"))
+
+
+def _simulated(spark: SparkSession, d: str) -> DataFrame:
+    return factory.simulate(factory.paired(_graded(spark, d), "lite", "strong"))
+
+
+@register("policy_simulation", f"{_SIMULATED} select policy, count(*) as passages, count(*) filter (ok) as publishable, count(*) filter (not ok) as escaped, round(count(*) filter (not ok)::double / count(*), 3) as escaped_rate from ({_UNPIVOTED}) group by 1")
+def policy_simulation(spark: SparkSession, d: str) -> DataFrame:
+    """What each of six policies would ship of the items that either system translated."""
+    return factory.policy_rates(_simulated(spark, d))
+
+
+@register("routing_counts", f"{_SIMULATED} select count(*) as passages, count(*) filter (escalate) as escalated, count(*) filter (gate) as gated, count(*) filter (queue = 'human') as human, count(*) filter (sys = 'strong' and escalate) as strong_after_check from m")
+def routing_counts(spark: SparkSession, d: str) -> DataFrame:
+    escalate = F.col("decision.escalate")
+    return _simulated(spark, d).agg(F.count("*").alias("passages"), F.count_if(escalate).alias("escalated"), F.count_if(F.col("decision.primary") == "strong").alias("gated"), F.count_if(F.col("queue") == "human").alias("human"), F.count_if((F.col("system") == "strong") & escalate).alias("strong_after_check"))
+
+
+@register("accepted_picks", f"{_SIMULATED} select item_id, case when gate then 'strong' when not escalate then 'lite' when not lite_ok and strong_ok then 'strong' else 'lite' end as chosen from m")
+def accepted_picks(spark: SparkSession, d: str) -> DataFrame:
+    return _simulated(spark, d).select("item_id", "chosen")
+
+
+@register("merged_rounds", "with e as (select row_id, 1 as round from consensus_rows union all select row_id, 2 from annotations) select round, count(*) as n, count(*) filter (row_id in (select row_id from e group by 1 having count(*) > 1)) as repeated from e group by 1")
+def merged_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of labels put together; keys that come more than once are counted, not refused."""
+    every = factory.merge_rounds([table(spark, d, "consensus_rows", "row_id"), table(spark, d, "annotations", "row_id")])
+    return every.groupBy("round").agg(F.count("*").alias("n"), F.count_if("repeated").alias("repeated"))
+
+
+@register("term_candidates", "select arabic, en_should, book, arg_min(en_wrong, row_id) as en_wrong from (select row_id, trim(coalesce(arabic_error_span, ''), ' ') as arabic, trim(coalesce(english_error_span, ''), ' ') as en_should, trim(coalesce(source, ''), ' ') as book, '' as en_wrong from consensus_rows where list_contains(list_transform(string_split_regex(coalesce(second_blocking_flags, ''), '[|;,]'), lambda x: upper(trim(x, ' '))), 'TERM')) where length(arabic) >= 2 and en_should <> '' group by 1, 2, 3")
+def term_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of rows that the second sitting flagged for a term."""
+    rows = table(spark, d, "consensus_rows", "row_id", "item_id", "source", "second_blocking_flags", "arabic_error_span", "english_error_span")
+    graded = rows.select("row_id", "item_id", "source", F.col("second_blocking_flags").alias("blocking_flags"), F.col("arabic_error_span").alias("term_ar"), F.col("english_error_span").alias("term_en_should"), F.lit(None).cast("string").alias("term_en_wrong"))
+    return factory.term_candidates(graded, "second sitting").select("arabic", "en_should", "book", "en_wrong")
 
 
 @register("source_routes", "select case when lower(trim(coalesce(genre, ''), ' ')) in ('verse', 'poetry', 'saj', 'rhymed_prose', 'metalinguistic') or contains(lower(coalesce(genre, '')), 'verse') or contains(lower(coalesce(genre, '')), 'maqama') then 'strong' else 'lite' end as route, count(*) as n from documents group by 1")
@@ -228,7 +316,7 @@ def source_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TERM = "coalesce(g.status, '') <> 'rejected' and trim(g.arabic, ' ') <> ''"
-_HIT = f"(select distinct p.id, g.entry_id from consensus_p p join glossary g on {_TERM} and case when length(g.arabic) <= 2 then list_contains(string_split_regex(p.text, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), g.arabic) else contains(p.text, g.arabic) end)"
+_HIT = f"(select distinct p.id, g.entry_id from consensus_p p join glossary g on {_TERM} and case when length(g.arabic) <= 2 then regexp_matches(p.text, '(^|[^\\x{{0600}}-\\x{{06FF}}])' || g.arabic || '($|[^\\x{{0600}}-\\x{{06FF}}])') else contains(p.text, g.arabic) end)"
 _PASSAGES = "with consensus_p as (select row_id as id, arabic as text, translation as english from consensus_rows)"
 
 
@@ -242,7 +330,12 @@ def glossary_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d)
 
 
-@register("glossary_contradictions", f"{_PASSAGES} select h.id, h.entry_id from {_HIT} h join glossary g using (entry_id) join consensus_p p on p.id = h.id where len(list_filter(list_transform(string_split_regex(lower(g.en_wrong), '[|;,/]'), lambda x: trim(x, ' ')), lambda x: length(x) >= 4 and contains(lower(p.english), x))) > 0 and not contains(lower(p.english), substring(lower(g.en_should), 1, 8))")
+_PART = "list_transform(string_split(lower(coalesce(g.en_wrong, '')), '|'), lambda x: trim(regexp_replace(trim(x, ' '), '^\\([^)]*\\)\\s*', ''), ' '))"
+_KEYS = f"list_filter(flatten(list_transform({_PART}, lambda x: [trim(regexp_replace(x, '(?s)\\s*[(,;].*$', ''), ' '), trim(x, '() ')])), lambda x: length(x) >= 4)"
+_RIGHT = "substring(trim(regexp_replace(lower(coalesce(g.en_should, '')), '(?s)\\(.*$', ''), ' '), 1, 8)"
+
+
+@register("glossary_contradictions", f"{_PASSAGES} select h.id, h.entry_id from {_HIT} h join glossary g using (entry_id) join consensus_p p on p.id = h.id where len(list_filter({_KEYS}, lambda x: contains(lower(coalesce(p.english, '')), x))) > 0 and ({_RIGHT} = '' or not contains(lower(coalesce(p.english, '')), {_RIGHT}))")
 def glossary_contradictions(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "consensus_rows", "row_id", "translation").select(F.col("row_id").alias("id"), F.col("translation").alias("english"))
     return factory.contradictions(_hits(spark, d), out, table(spark, d, "glossary", "entry_id", "en_wrong", "en_should"))

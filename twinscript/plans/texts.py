@@ -45,14 +45,16 @@ def band_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("band_by_source", f"select source, band, count(*) as n_docs from (select source, {BAND} as band from {COUNTED}) group by grouping sets ((source, band), (source), ())")
 def band_by_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).select("source", t.length_band(t.word_count("text")).alias("band"))
-    return rows.groupingSets([["source", "band"], ["source"], []], "source", "band").agg(F.count("*").alias("n_docs"))
+    # counted in a step of its own: bands would count the words once for each bound
+    counted = _documents(spark, d).select("source", t.word_count("text").alias("n")).groupBy("source", "n").agg(F.count("*").alias("k"))
+    rows = counted.select("source", t.length_band("n").alias("band"), "k")
+    return rows.groupingSets([["source", "band"], ["source"], []], "source", "band").agg(F.sum("k").alias("n_docs"))
 
 
 @register("dedupe_first", "select sha256(text) as sha, arg_min(doc_id, (source, doc_id)) as doc_id from documents where text is not null group by 1")
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents", "doc_id", "source", "text").where("text is not null")
-    return sampling.first_by_hash(rows.select(F.col("text"), "doc_id", "source"), "text", "source", "doc_id").select("sha", "doc_id")
+    return sampling.first_by_hash(rows, "text", "doc_id", "source", "doc_id")
 
 
 @register("duplicate_groups", "select sha256(text) as sha, count(*) as n_docs, count(distinct source) as n_sources from documents where text is not null group by 1 having count(*) > 1")
