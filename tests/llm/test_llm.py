@@ -264,6 +264,26 @@ def test_leaks_however_typed(spark):
     assert rows(p09_leaks.leaks(df.unionByName(df), items).select("doc_id", "item_id")) == [(1, "q0"), (2, "q0"), (7, "q1"), (7, "q2")]
     assert {r.doc_id for r in p09_leaks.without_leaks(df, items).collect()} == {3, 4, 5, 6}
     assert p09_leaks.leaks(df, items.limit(0)).count() == 0
+    for chars in (10**6, 400):
+        left = {r.doc_id: (r.text, r.cut) for r in p09_leaks.without_spans(df, items, chars).collect()}
+        assert left[1] == (noise + "  !", len(item[0])) or left[1][0].strip() == noise
+        assert left[3] == (docs[2][1], 0) and left[4] == (docs[3][1], 0) and left[5] == (None, 0)
+        assert left[2][0].startswith(noise) and left[2][1] > 60 and left[7][1] >= len(docs[6][1]) - 1
+
+
+def test_leaks_are_the_same_in_any_number_of_slices(spark):
+    rng = random.Random(9)
+    formula = " ".join(f"formula{k}" for k in range(12))
+    items = spark.createDataFrame([(f"q{i}", f"{formula} " + " ".join(f"w{rng.randint(0, 400)}" for _ in range(25)), None) for i in range(8)], "id string, arabic string, reference_english string")
+    texts = [r.arabic for r in items.collect()]
+    df = spark.createDataFrame([(1, "x " * 9 + formula), (2, texts[3]), (3, f"{formula} {texts[5][-90:]} y")], "doc_id bigint, text string")
+    got = [rows(p09_leaks.leaks(df, items, n)) for n in (10**6, 700, 150)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {2, 3}
+
+
+def test_invisible_letters_of_every_plane_are_seen_through():
+    assert p09_leaks.words_of("hel\U000e0061lo w\U000e0100ord") == ["hello", "word"] == p03_alignment.words("hel\U000e0061lo w\U000e0100ord", False)
+    assert fold("w\U000e0100ord") == "word"
 
 
 def test_a_quarter_of_a_short_item_leaks(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 # Look-alike letters and digits of other scripts, each with the letter it looks like.
 LOOKALIKES = {
@@ -35,21 +36,33 @@ def ignorable(char: str) -> bool:
     return unicodedata.category(char) == "Cf" or char in INVISIBLE or "︀" <= char <= "️" or "\U000e0100" <= char <= "\U000e01ef"
 
 
-def character_class(*categories: str, also: str = "") -> str:
-    """The characters of the categories beyond ASCII in all planes that hold any, as the inside of a class."""
-    codes = [*range(0x80, 0x20000), *range(0xE0000, 0xE0201)]
-    inside = [c for c, kind in zip(codes, map(unicodedata.category, map(chr, codes)), strict=True) if kind in categories]
-    spans: list[list[int]] = []
-    for c in sorted({*inside, *map(ord, also)}):
-        if spans and c == spans[-1][1] + 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in spans)
+def remover(*categories: str, also: str = "") -> Callable[[str], str]:
+    """A function that takes the characters of the categories beyond ASCII out of a text, in all planes that hold any.
 
+    Characters beyond the first plane are looked for only in texts that have some, since one class for all is slow.
+    """
+    planes = []
+    for codes in (range(0x80, 0x10000), [*range(0x10000, 0x20000), *range(0xE0000, 0xE0201)]):
+        inside = {c for c, kind in zip(codes, map(unicodedata.category, map(chr, codes)), strict=True) if kind in categories} | {ord(c) for c in also if ord(c) in codes}
+        spans: list[list[int]] = []
+        for c in sorted(inside):
+            if spans and c == spans[-1][1] + 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        planes.append(re.compile("[" + "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in spans) + "]+"))
+    first, rest = planes
 
-# Combining marks and format characters.
-MARKS = re.compile(f"[{character_class('Mn', 'Cf')}]+")
+    def remove(text: str) -> str:
+        text = first.sub("", text)
+        return rest.sub("", text) if _BEYOND.search(text) else text
+
+    return remove
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+#: Takes combining marks and format characters out of a text.
+without_marks = remover("Mn", "Cf")
 
 
 def visible(text: str) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinscript.llm._chars import LOOKALIKES, MARKS
+from twinscript.llm._chars import LOOKALIKES, without_marks
 from twinscript.llm._names import bones, roman
 from twinscript.llm._registry import query
 from twinscript.session import cut_lineage
@@ -53,7 +53,7 @@ _LOOK = str.maketrans(LOOKALIKES | {chr(0x660 + k): str(k) for k in range(10)} |
 
 def words(text: str, arabic: bool) -> list[str]:
     """Normalised words: articles and joined prepositions off in Arabic, plural endings in English."""
-    t = text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_LOOK)
+    t = text if text.isascii() else without_marks(unicodedata.normalize("NFKD", text)).translate(_LOOK)
     t = t.lower().replace("لـ", " ").replace("ـ", "")
     out = []
     for w in _WORD.findall(t):

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinscript.llm._chars import remover
 from twinscript.llm._registry import query
 from twinscript.sources.tables import table
 
@@ -57,7 +58,7 @@ _WORD = re.compile(r"[^\W_]+")
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 _DOTTED = re.compile(r"\.[a-z]{3}")
 _ARABIC = re.compile("[\u0620-\u064a\u066e-\u06d3]+")
-_MARKS = re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Cf") or c == 0x640) + "]+")
+_bare = remover("Mn", "Cf", also="ـ")
 
 
 def page(text: str) -> tuple[str, list[str], int, int]:
@@ -72,7 +73,7 @@ def page(text: str) -> tuple[str, list[str], int, int]:
         text = _JOINED.sub(" ", text)
     if text.isascii():
         return "latin", list(filter(str.isalpha, text.translate(_ASCII).split())), links, tags
-    folded = _MARKS.sub("", unicodedata.normalize("NFC", text)).lower()
+    folded = _bare(unicodedata.normalize("NFC", text)).lower()
     words = list(filter(str.isalpha, _WORD.findall(folded)))
     arabic = len(_ARABIC.findall(folded))
     script = "arabic" if arabic > 0.75 * len(words) else "latin" if arabic < 0.25 * len(words) else "mixed"
