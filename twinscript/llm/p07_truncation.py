@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscript.llm._registry import query
+from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
 #: Fewest values at a candidate limit, least ratio of observed to expected ones, and the odds' bound.
@@ -29,10 +30,13 @@ LEAST_AT_LIMIT, LEAST_RATIO, MOST_ODDS = 4, 4.0, 1000.0
 BASE_ODDS, NO_MARK, MARK, OPEN_QUOTE = 0.02, 16.0, 0.02, 12.0
 #: A text that was cut by bytes lacks up to three of them.
 BYTE_SLACK = 3
-CLOSING = r"[.!?؟۔。！？][\"”’»)\]*_]*\s*([;—–-]+|\(\s*(p\.\s*)?\d+\s*\))?\s*$"
+# Ends of texts are matched at the beginning of the reversed text, so that no pattern is tried at every place.
+CLOSING = r"^\s*([;—–-]+|\)\s*\d+(\s*\.p)?\s*\()?\s*[\"”’»)\]*_]*[.!?؟۔。！？]"
 # How a stored response in the structured format begins and ends.
-WRAPPED, CLOSED = r"^\s*(```|\[\s*\{|\{\s*\")", r"(\]|\}|```)\s*$"
-CUT_SIGN = r"(�|\s*(\.\.\.|…))+\s*$"
+WRAPPED, CLOSED = r"^\s*(```|\[\s*\{|\{\s*\")", r"^\s*(\]|\}|```)"
+CUT_SIGN = r"^\s*((\.\.\.|…)\s*|�)+"
+#: Beginnings of words are met by their first so many letters: each next length adds about half.
+LADDER = (1, 2, 3)
 
 
 def limits_of(lengths: np.ndarray, counts: np.ndarray, slack: int = 0) -> list[tuple[int, float, float, float]]:
@@ -43,8 +47,12 @@ def limits_of(lengths: np.ndarray, counts: np.ndarray, slack: int = 0) -> list[t
         return []
     total = n.sum()
     logs = np.log(v)
-    mass = np.array([n[(v >= x - slack) & (v <= x)].sum() for x in v])
-    around = np.array([n[(np.abs(v - x) <= max(8, 0.15 * x)) & ((v < x - slack) | (v > x))].sum() / (2 * max(8, 0.15 * x)) for x in v])
+    sums = np.concatenate([[0.0], np.cumsum(n)])
+    until = lambda x: sums[np.searchsorted(v, x, "right")]
+    below = lambda x: sums[np.searchsorted(v, x, "left")]
+    mass = until(v) - below(v - slack)
+    reach = np.maximum(8, 0.15 * v)
+    around = (until(v + reach) - below(v - reach) - mass) / (2 * reach)
     expected = np.maximum(around, 0.25) * (slack + 1)
     candidate = (n >= LEAST_AT_LIMIT) & (mass / expected >= LEAST_RATIO) & (mass - expected > 3 * np.sqrt(expected))
     if not candidate.any():
@@ -101,14 +109,23 @@ def _measured(runs: DataFrame) -> DataFrame:
     rows = runs.select("run_id", "item_id", F.coalesce("model", F.lit("")).alias("model"), F.coalesce("adapter", F.lit("")).alias("adapter"), F.col("translation").alias("text"), F.col("output_tokens").alias("tokens"), "ingested_at")
     newest = F.max_by(F.struct("model", "adapter", "text", "tokens"), F.struct(F.coalesce("ingested_at", F.timestamp_seconds(F.lit(0))), F.coalesce("text", F.lit(""))))
     kept = rows.groupBy("run_id", "item_id").agg(newest.alias("r")).select("run_id", "item_id", "r.*")
-    body = F.regexp_replace("text", CUT_SIGN, "")
-    return (
-        kept.withColumn("body", body)
-        .withColumn("chars", F.length("body"))
-        .withColumn("bytes", F.octet_length("body"))
-        .withColumn("wrapped", F.coalesce(F.col("text").rlike(WRAPPED), F.lit(False)))
-        .withColumn("signed", F.coalesce(F.col("text").rlike(CUT_SIGN), F.lit(False)))
-    )
+    back = kept.withColumn("back", F.reverse("text")).withColumn("kept_back", F.regexp_replace("back", CUT_SIGN, ""))
+    body, wrapped = F.reverse("kept_back"), F.coalesce(F.col("text").rlike(WRAPPED), F.lit(False))
+    quotes = F.length("body") - F.length(F.replace("body", F.lit('"')))
+    marks = lambda chars: F.length("body") - F.length(F.translate("body", chars, ""))
+    return cut_lineage(
+        back.withColumn("body", body)
+        .withColumn("tokens_of", F.filter(F.split(F.trim("body"), r"\s+"), lambda x: x != ""))
+        .select(
+            "run_id", "item_id", "model", "adapter", "tokens", F.length("body").alias("chars"), F.octet_length("body").alias("bytes"), wrapped.alias("wrapped"),
+            F.coalesce(F.length("back") != F.length("kept_back"), F.lit(False)).alias("signed"), F.col("kept_back").rlike(CLOSING).alias("closes"), F.col("back").rlike(CLOSED).alias("closed"),
+            F.col("back").rlike(r"^\s*�").alias("half"), (F.col("text").isNull() | (F.trim("text") == "")).alias("blank"), ((quotes % 2 == 1) | (marks("“«") != marks("”»"))).alias("open_quote"), "tokens_of",
+        )
+    )
+
+
+def _closing(word: Column) -> Column:
+    return F.reverse(word).rlike(CLOSING)
 
 
 def _bare(c: Column) -> Column:
@@ -117,26 +134,41 @@ def _bare(c: Column) -> Column:
 
 def word_evidence(measured: DataFrame) -> DataFrame:
     """(word, ending): log-likelihood ratio that a text whose last word this is was cut rather than complete."""
-    plain = measured.where("not wrapped and body <> ''")
-    tokens = F.filter(F.split(F.trim("body"), r"\s+"), lambda x: x != "")
-    # cut once for each text, not once for each word
-    whole = plain.select(tokens.alias("tokens")).withColumn("size", F.size("tokens")).withColumn("after_mark", F.get("tokens", F.col("size") - 2).rlike(CLOSING))
+    plain = measured.where("not wrapped and size(tokens_of) > 0")
+    whole = plain.select(F.col("tokens_of").alias("tokens")).withColumn("size", F.size("tokens")).withColumn("after_mark", _closing(F.get("tokens", F.col("size") - 2)))
     words = whole.select("size", "after_mark", F.posexplode("tokens").alias("at", "w"))
-    marked = F.col("w").rlike(CLOSING)
     last = F.col("at") == F.col("size") - 1
-    counted = words.select(_bare(F.col("w")).alias("word"), (marked | (last & F.coalesce("after_mark", F.lit(False)))).cast("long").alias("final")).groupBy("word").agg(F.count("*").alias("n"), F.sum("final").alias("final"))
-    starts = counted.where("length(word) > 1").select(F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"), "word", "n").groupBy(F.expr("substring(word, 1, k)").alias("word")).agg(F.sum("n").alias("longer"))
+    final = _closing(F.col("w")) | (last & F.coalesce("after_mark", F.lit(False)))
+    counted = cut_lineage(words.select(_bare(F.col("w")).alias("word"), final.cast("long").alias("final"), last.cast("long").alias("last")).groupBy("word").agg(F.count("*").alias("n"), F.sum("final").alias("final"), F.sum("last").alias("last")))
     totals = counted.agg(F.sum("n").alias("all"), F.sum("final").alias("finals")).withColumn("one", F.lit(1))
-    both = counted.join(starts, "word", "full").na.fill(0).withColumn("one", F.lit(1)).join(totals, "one")
+    ends = counted.where("last > 0")
+    both = ends.join(_longer(ends.select("word"), counted.select("word", "n")), "word", "left").na.fill(0).withColumn("one", F.lit(1)).join(totals, "one")
     complete = F.col("final") / F.greatest("finals", F.lit(1)) + 2e-5
     cut = (F.col("n") / F.col("all")) / 6 + (F.col("longer") / F.col("all")) / 6 + 4e-6
     return both.select("word", F.log(cut / complete).alias("ending"))
 
 
+def _longer(beginnings: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, longer): how often words occur that begin with a word of beginnings(word) and are longer; words(word, n).
+
+    Both sides meet by their first letters, as many of a ladder of lengths as the beginning has, so a word offers a few
+    beginnings of itself instead of all.
+    """
+    most = beginnings.agg(F.max(F.length("word"))).first()[0] or 0
+    ladder = list(LADDER)
+    while ladder[-1] < most:
+        ladder.append(ladder[-1] + ladder[-1] // 2)
+    rungs = F.array(*map(F.lit, ladder))
+    short = beginnings.where("length(word) > 0").withColumn("k", F.array_max(F.filter(rungs, lambda k: k <= F.length("word")))).select(F.col("word").alias("begin"), "k", F.expr("substring(word, 1, k)").alias("head"))
+    offered = words.select("word", "n", F.explode(F.filter(rungs, lambda k: k < F.length("word"))).alias("k")).withColumn("head", F.expr("substring(word, 1, k)"))
+    met = offered.join(short, ["k", "head"]).where((F.length("word") > F.length("begin")) & F.startswith("word", "begin"))
+    return met.groupBy(F.col("begin").alias("word")).agg(F.sum("n").alias("longer"))
+
+
 def truncated(runs: DataFrame) -> DataFrame:
     """(run_id, item_id, model, adapter, cut, odds, limit) for every key of runs."""
     m = _measured(runs)
-    limits = censoring_limits(m.where("text is not null and text <> ''"))
+    limits = censoring_limits(m.where("not blank"))
     at = m
     odds = []
     for unit in ("chars", "bytes", "tokens"):
@@ -144,16 +176,13 @@ def truncated(runs: DataFrame) -> DataFrame:
         at = at.join(some.withColumn(unit, F.col(unit).cast("int")), ["model", "adapter", unit], "left")
         odds.append(F.coalesce(f"odds_{unit}", F.lit(0.0)))
     prior = F.log(F.greatest(*odds, F.lit(BASE_ODDS)))
-    tokens = F.filter(F.split(F.trim("body"), r"\s+"), lambda x: x != "")
-    at = at.withColumn("word", _bare(F.element_at(tokens, F.when(F.size(tokens) > 0, -1)))).join(word_evidence(m), "word", "left")
-    marked = F.col("body").rlike(CLOSING) & ~F.col("signed")
-    quotes = F.length("body") - F.length(F.regexp_replace("body", '"', ""))
-    open_quote = (quotes % 2 == 1) | (F.length(F.regexp_replace("body", "[^“«]", "")) != F.length(F.regexp_replace("body", "[^”»]", "")))
-    plain = prior + F.when(marked, F.log(F.lit(MARK))).otherwise(F.log(F.lit(NO_MARK)) + F.coalesce("ending", F.lit(0.0))) + F.when(open_quote & ~marked, F.log(F.lit(OPEN_QUOTE))).otherwise(0.0)
+    at = at.withColumn("word", _bare(F.get("tokens_of", F.size("tokens_of") - 1))).drop("tokens_of").join(word_evidence(m), "word", "left")
+    marked = F.col("closes") & ~F.col("signed")
+    plain = prior + F.when(marked, F.log(F.lit(MARK))).otherwise(F.log(F.lit(NO_MARK)) + F.coalesce("ending", F.lit(0.0))) + F.when(F.col("open_quote") & ~marked, F.log(F.lit(OPEN_QUOTE))).otherwise(0.0)
     logit = (
-        F.when(F.col("text").isNull() | (F.trim("text") == ""), F.lit(-50.0))
-        .when(F.col("text").rlike("�\\s*$"), F.lit(50.0))
-        .when(F.col("wrapped"), F.when(F.col("text").rlike(CLOSED), F.lit(-50.0)).otherwise(F.lit(50.0)))
+        F.when(F.col("blank"), F.lit(-50.0))
+        .when(F.col("half"), F.lit(50.0))
+        .when(F.col("wrapped"), F.when(F.col("closed"), F.lit(-50.0)).otherwise(F.lit(50.0)))
         .otherwise(plain)
     )
     limit = F.coalesce(*(f"limit_{u}" for u in ("chars", "bytes", "tokens")))
