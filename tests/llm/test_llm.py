@@ -145,12 +145,15 @@ def test_chain_is_monotone_and_heaviest():
 # --- 4, 6 --------------------------------------------------------------------------------------------------------------
 
 
-def test_names_in_their_parts():
+def test_names_in_their_parts(spark):
     for n in ("Schafidsch Ibn Saqisch AlYitwili", "YITWILI (SHAFIDJ B. SAKISH)", "al Yitweelee, Shafij ibn Saqish", "Shāfij bin Saqīsh, called al-Yitwīlī (d. 106 AH)"):
         p = names.parse_author(n)
         assert (p["family"], p["given"], p["father"]) == ("yitwili", "shafij", "sakish"), n
     for n in (None, "", "n.a.", "Anonymous", "[unknown]", "Various hands"):
         assert names.parse_author(n)["family"] is None and names.parse_translator(n)["family"] is None
+    some = ["abcd", "abdc", "abc", "abcde", "bacd", "axcd", "abcc", "", "dcba", "abdce"]
+    pairs = spark.createDataFrame([(x, y) for x in some for y in some], "a string, b string")
+    assert {(r.a, r.b) for r in pairs.where(names.one_edit("a", "b")).collect()} == {(x, y) for x in some for y in some if names.edits(x, y) == 1}
     assert names.edits("abcd", "abdc") == 1 and names.edits("abc", "abd") == 1 and names.edits("a", "abcd") == 3
 
 
@@ -203,7 +206,7 @@ def test_long_chains_of_misspellings_reach_their_end(spark):
         given.append(given[-1][:k] + "z" + given[-1][k + 1 :])
     schema = "role string, name string, n bigint, family string, given string, father string, kunya string, death int, bones string, given_bones string, father_bones string"
     df = spark.createDataFrame([("translator", f"{g} x", 2**k, "familyname", g, None, None, None, "b", "g", None) for k, g in enumerate(given)], schema)
-    assert {r.person for r in p06_variants.persons(df).collect()} == {f"familyname|{given[-1]}"}
+    assert {r.person for r in p06_variants.persons(df)[0].collect()} == {f"familyname|{given[-1]}"}
 
 
 # --- 7 -----------------------------------------------------------------------------------------------------------------
@@ -224,6 +227,15 @@ def test_limits_and_endings(spark):
     assert p07_truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_beginnings_of_longer_words_are_counted_as_by_brute_force(spark):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))): rng.randint(1, 5) for _ in range(120)} | {"a" * 3000: 2}
+    ends = [w for w in words if rng.random() < 0.5]
+    got = {r.word: r.longer for r in p07_truncation._longer(spark.createDataFrame([(w,) for w in ends], "word string"), spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    want = {e: sum(n for w, n in words.items() if w.startswith(e) and w != e) for e in ends}
+    assert got == {e: n for e, n in want.items() if n}
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 

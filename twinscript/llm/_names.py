@@ -192,6 +192,16 @@ def deletions(c: Column | str) -> Column:
     return F.when(word.isNull() | (F.length(word) == 0), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(word), cut)))
 
 
+def one_edit(a: Column | str, b: Column | str) -> Column:
+    """Whether two words differ by one insertion, deletion, substitution or swap of neighbours."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    part = lambda c, start, n: F.substring(c, start, n)
+    swapped = lambda i: F.concat(part(x, F.lit(1), i - 1), part(x, i + 1, F.lit(1)), part(x, i, F.lit(1)), part(x, i + 2, F.length(x))) == y
+    near = F.levenshtein(x, y, 2)
+    swap = (near == 2) & (F.length(x) == F.length(y)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), swapped)
+    return (near == 1) | swap
+
+
 def edits(a: str, b: str, most: int = 2) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; more than most counts as most + 1."""
     if abs(len(a) - len(b)) > most:
@@ -206,8 +216,3 @@ def edits(a: str, b: str, most: int = 2) -> int:
             row.append(d)
         before, last = last, row
     return min(last[-1], most + 1)
-
-
-@F.pandas_udf(T.IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y) if isinstance(x, str) and isinstance(y, str) else 9 for x, y in zip(a, b, strict=True)], dtype="int32")

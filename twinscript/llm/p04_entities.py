@@ -3,10 +3,13 @@
 Titles come in transliteration, in English and in Arabic script. A lexicon learnt from rows that hold two of them
 (aligned word by word, or phrase by phrase where lengths differ) takes every title to the words of the catalogue's
 own transliteration; misspelt words go to the known word at one edit. Then a cascade of exact joins on weaker and
-weaker attribute combinations: the first rule whose combination points to a single work resolves a row and later
-rules don't see it. All passes run as one join on keys that carry their rule's number, and a row keeps its first
-unambiguous rule, which is what a join for each rule with anti-joins in between leaves, at one shuffle for all. A rule's confidence is its precision among its matches that carry an openiti_uri, with
-LABELS added as prior counts; rules below LEAST_CONFIDENCE give no matches.
+weaker attribute combinations, one pass for each rule: the rows and works that have the rule's attributes are joined
+on them, a row whose combination points to a single work is resolved, and an anti-join takes it out of the passes that
+follow, so that the weaker rules see few rows. A rule's confidence is its precision among its matches that carry an
+openiti_uri, with LABELS added as prior counts. Rules on the stated uri can't be labelled by that uri: their precision
+is how often a stated uri is right, against how often a wrong one agrees in the rule's other attributes by chance,
+both counted on the rows that rules without the uri have resolved. A title alone is labelled by the authors of the rows
+it meets. Rules below LEAST_CONFIDENCE give no matches.
 
 Defined results: rows without any usable title and without an agreeing openiti_uri don't match; repeated rows of
 works count once; a translation matches one work at most; ties can't occur, an ambiguous combination matches
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinscript.llm._names import author_parts, bones, deletions, edit_distance, roman
+from twinscript.llm._names import author_parts, bones, deletions, one_edit, roman
 from twinscript.llm._registry import query
 from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
@@ -115,7 +118,9 @@ def lexicon(works: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def _titles(translations: DataFrame) -> DataFrame:
-    t = translations.select("id", "openiti_uri", "work_arabic_title", "work_english_title", "author").where("id is not null").dropDuplicates(["id"])
+    columns = ["openiti_uri", "work_arabic_title", "work_english_title", "author"]
+    # of different rows of one id the least counts
+    t = translations.where("id is not null").groupBy("id").agg(F.min(F.struct(*columns)).alias("r")).select("id", "r.*")
     t = t.withColumn("e", _title("work_english_title")).withColumn("ar", _title("work_arabic_title")).withColumn("p", author_parts("author"))
     return t.select("id", "openiti_uri", F.col("e.main").alias("main"), F.col("e.inner").alias("inner"), F.col("ar.main").alias("arabic"), "p.family", "p.given", "p.father", "p.father_bones", "p.bones", "p.given_bones", "p.kunya", F.col("p.death").alias("death"))
 
@@ -128,7 +133,7 @@ def title_keys(titles: DataFrame, words: DataFrame) -> DataFrame:
     hit = wanted.join(words, "word").select("word", "known")
     lost = wanted.join(words, "word", "left_anti").where(F.length("word") >= 4)
     near = lost.withColumn("cut", F.explode(deletions("word"))).join(words.where(F.length("word") >= 4).select(F.col("word").alias("right"), "known", "n", F.explode(deletions("word")).alias("cut")), "cut")
-    near = near.where(edit_distance(F.col("word"), F.col("right")) == 1).groupBy("word").agg(F.max_by("known", F.struct("n", "known")).alias("known"))
+    near = near.where(one_edit("word", "right")).groupBy("word").agg(F.max_by("known", F.struct("n", "known")).alias("known"))
     mapped = cut_lineage(hit.unionByName(near))
     whole = parts.join(mapped, "word").groupBy("id", "form", "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "known"))), lambda x: x["known"]), " ").alias("title"), F.count("*").alias("found")).where("found = size")
     phrases = forms.select("id", _key(F.col("ws")).alias("word")).join(words, "word").select("id", F.col("known").alias("title"))
@@ -155,22 +160,84 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 
 
-def _keys(number: int, fields: tuple[str, ...], missing: tuple[str, ...]) -> Column:
-    """Array of (rule, key): the row's values of a rule's attributes; empty if one is missing or one is there that mustn't be."""
-    options: list[Column] = []
-    for f in fields:
-        c = F.col(f)
-        options.append(F.filter(c, lambda x: x != "") if f.endswith("_cut") else F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.array(c.cast("string"))).otherwise(F.array().cast("array<string>")))
-    plain = [o for f, o in zip(fields, options, strict=True) if not f.endswith("_cut")]
-    cut = next((o for f, o in zip(fields, options, strict=True) if f.endswith("_cut")), F.array(F.lit("")))
+def _keys(fields: tuple[str, ...], missing: tuple[str, ...]) -> Column:
+    """Keys of a row by a rule's attributes; none if one is missing or one is there that mustn't be."""
+    text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit(""))
+    plain = [f for f in fields if not f.endswith("_cut")]
+    cut = next((F.filter(F.col(f), lambda x: x != "") for f in fields if f.endswith("_cut")), F.array(F.lit("")))
     whole = F.lit(True)
-    for o in plain:
-        whole &= F.size(o) > 0
+    for f in plain:
+        whole &= text(f) != ""
     for m in missing:
         whole &= F.col(m).isNull()
-    head = F.concat_ws("|", *(F.get(o, F.lit(0)) for o in plain))
-    keyed = F.transform(cut, lambda x: F.struct(F.lit(number).alias("rule"), F.concat_ws("|", head, x).alias("key")))
-    return F.when(whole, keyed).otherwise(F.array().cast("array<struct<rule:int,key:string>>"))
+    head = F.concat_ws("|", *map(text, plain))
+    return F.when(whole, F.transform(cut, lambda x: F.concat_ws("|", head, x))).otherwise(F.array().cast("array<string>"))
+
+
+def _agree(name: str, fields: tuple[str, ...]) -> Column:
+    """What besides the key must not contradict a match of rows a_ and works b_."""
+    both = lambda c, near: F.col(f"a_{c}_bones" if c == "given" else "a_bones").isNull() | (F.col(f"a_{c}_bones" if c == "given" else "a_bones") == F.col(f"b_{c}_bones" if c == "given" else "b_bones")) | near
+    agree = F.col("a_death").isNull() | F.col("b_death").isNull() | (F.col("a_death") == F.col("b_death"))
+    if not {"given", "given_cut", "given_bones"} & set(fields):
+        agree &= F.col("b_given_bones").isNull() | both("given", F.levenshtein("a_given", "b_given") <= 2)
+    if name == "title and stated uri":
+        agree &= both("family", F.levenshtein("a_family", "b_family") <= 2)
+    if "bones" in fields:
+        agree &= F.col("a_family").startswith("؟") | (F.levenshtein("a_family", "b_family") <= 3)
+    return F.coalesce(agree, F.lit(False))
+
+
+ATTRIBUTES = ("given", "death", "family", "given_bones", "bones")
+
+
+def cascade(rows: DataFrame, works: DataFrame) -> DataFrame:
+    """(id, rule, uri, openiti_uri): each row with its first rule that points to one work, by a join and an anti-join for each rule."""
+    resolved: DataFrame | None = None
+    rest = rows
+    for number, (name, fields, missing) in enumerate(RULES):
+        a = rest.select("id", "openiti_uri", *(F.col(c).alias(f"a_{c}") for c in ATTRIBUTES), F.explode(_keys(fields, missing)).alias("key"))
+        b = works.select("uri", *(F.col(c).alias(f"b_{c}") for c in ATTRIBUTES), F.explode(_keys(fields, ())).alias("key")).distinct()
+        if fields == ("title",):
+            # a title without an author only counts where it is one work's, so that no common title is ever paired with all its works
+            b = b.join(b.groupBy("key").agg(F.min("uri").alias("low"), F.max("uri").alias("high")).where("low = high").select("key"), "key", "left_semi")
+        pairs = a.join(b, "key").where(_agree(name, fields))
+        one = pairs.groupBy("id").agg(F.first("openiti_uri", ignorenulls=True).alias("openiti_uri"), F.min("uri").alias("low"), F.max("uri").alias("uri")).where("low = uri")
+        found = cut_lineage(one.select("id", F.lit(number).alias("rule"), "uri", "openiti_uri"))
+        resolved = found if resolved is None else resolved.unionByName(found)
+        rest = rest.join(found.select("id"), "id", "left_anti")
+        if number % 4 == 3:
+            rest = cut_lineage(rest)
+    return resolved
+
+
+def confidences(found: DataFrame, rows: DataFrame, works: DataFrame) -> DataFrame:
+    """(rule, confidence) of the cascade's matches."""
+    yes, no = LABELS
+    smoothed = lambda right, wrong: (F.coalesce(right, F.lit(0)) + yes) / (F.coalesce(right, F.lit(0)) + F.coalesce(wrong, F.lit(0)) + yes + no)
+    by_uri = {n: tuple(f for f in fields if f != "uri") for n, (_, fields, _) in enumerate(RULES) if "uri" in fields}
+    alone = next(n for n, (_, fields, _) in enumerate(RULES) if fields == ("title",))
+    labelled = found.where("trim(openiti_uri) <> ''").withColumn("stated", F.trim("openiti_uri"))
+    plain = labelled.where(~F.col("rule").isin(*by_uri, alone)).withColumn("right", F.col("stated") == F.col("uri"))
+    trust = found.select("rule").distinct().join(plain.groupBy("rule").agg(F.count_if("right").alias("ok"), F.count_if(~F.col("right")).alias("bad")), "rule", "left").withColumn("confidence", smoothed(F.col("ok"), F.col("bad")))
+    # wrong uris whose work agrees with the row all the same, attribute by attribute
+    own = rows.groupBy("id").agg(F.collect_set("title").alias("titles"), *(F.max(c).alias(c) for c in ("family", "given")))
+    theirs = works.select(F.col("uri").alias("stated"), *(F.col(c).alias(f"their_{c}") for c in ("title", "family", "given"))).dropDuplicates(["stated"])
+    wrong = plain.join(own, "id").join(theirs, "stated", "left")
+    same = {"title": F.array_contains("titles", F.col("their_title")), "family": F.col("family") == F.col("their_family"), "given": F.col("given") == F.col("their_given")}
+
+    def chance(fields: tuple[str, ...]) -> Column:
+        both = ~F.col("right")
+        for f in fields:
+            both &= F.coalesce(same[f], F.lit(False))
+        return F.count_if(both)
+
+    measured = wrong.agg(F.count_if("right").alias("ok"), *(chance(fields).alias(f"bad_{n}") for n, fields in by_uri.items()))
+    stated = measured.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), smoothed(F.col("ok"), F.col(f"bad_{n}")).alias("by_chance")) for n in by_uri))).alias("x")).select("x.*")
+    # a title alone carries no label; its precision is that of its match among the rows that do name an author
+    single = works.groupBy("title").agg(F.min("uri").alias("low"), F.max("uri").alias("high"), F.max("bones").alias("right_bones")).where("low = high")
+    named = rows.where("family is not null and title is not null").join(single, "title").agg(F.count_if(F.col("bones") == F.col("right_bones")).alias("ok"), F.count("*").alias("n"))
+    by_author = named.select(F.lit(alone).alias("rule"), smoothed(F.col("ok"), F.col("n") - F.col("ok")).alias("by_chance"))
+    return trust.join(stated.unionByName(by_author), "rule", "left").select("rule", F.coalesce("by_chance", "confidence").alias("confidence"))
 
 
 def editions(translations: DataFrame, works: DataFrame) -> DataFrame:
@@ -185,40 +252,13 @@ def editions(translations: DataFrame, works: DataFrame) -> DataFrame:
     rows = titles.drop("main", "inner", "arabic").join(keys, "id", "left").withColumn("uri", F.when(F.trim("openiti_uri") != "", F.trim("openiti_uri")))
     # a surname alone written in Arabic script has no comparable letters
     rows = rows.withColumn("family_cut", deletions(F.coalesce("family", F.lit("")))).withColumn("given_cut", deletions(F.coalesce("given", F.lit(""))))
-    right = w.withColumn("title", _key(F.col("words"))).withColumn("topics", _key(F.slice("words", 2, 10))).withColumn("family_cut", deletions("family")).withColumn("given_cut", deletions(F.coalesce("given", F.lit("")))).drop("words", "title_words")
+    right = w.withColumn("title", _key(F.col("words"))).withColumn("topics", _key(F.expr("slice(words, 2, greatest(size(words), 1))"))).withColumn("family_cut", deletions("family")).withColumn("given_cut", deletions(F.coalesce("given", F.lit("")))).drop("words", "title_words")
     rows = cut_lineage(rows.withColumn("topics", F.when(F.contains("title", F.lit(" ")), F.regexp_replace("title", "^[^ ]+ ", ""))))
     right = cut_lineage(right.withColumn("topics", F.when(F.col("topics") != "", F.col("topics"))))
-    attributes = ["given", "death", "family", "given_bones", "bones"]
-    ruled = lambda df: F.explode(F.flatten(F.array(*(_keys(n, fields, missing if df is rows else ()) for n, (_, fields, missing) in enumerate(RULES)))))
-    a = rows.select("id", "openiti_uri", *(F.col(c).alias(f"a_{c}") for c in attributes), ruled(rows).alias("k")).select("*", "k.rule", "k.key").drop("k")
-    b = right.select("uri", *(F.col(c).alias(f"b_{c}") for c in attributes), ruled(right).alias("k")).select("*", "k.rule", "k.key").drop("k").distinct()
-    # a title without an author only counts where it is one work's, so that no common title is ever paired with all its works
-    by_title = len(RULES) - 1
-    lone = b.where(F.col("rule") == by_title).groupBy("key").agg(F.min("uri").alias("low"), F.max("uri").alias("high")).where("low = high").select(F.lit(by_title).alias("rule"), "key")
-    b = b.where(F.col("rule") < by_title).unionByName(b.where(F.col("rule") == by_title).join(lone, ["rule", "key"], "left_semi"))
-    agree = F.col("a_death").isNull() | F.col("b_death").isNull() | (F.col("a_death") == F.col("b_death"))
-    number = {name: n for n, (name, _, _) in enumerate(RULES)}
-    having = lambda *f: F.col("rule").isin([n for n, (_, fields, _) in enumerate(RULES) if set(f) <= set(fields)])
-    same_given = F.col("a_given_bones").isNull() | F.col("b_given_bones").isNull() | (F.col("a_given_bones") == F.col("b_given_bones")) | (F.levenshtein("a_given", "b_given") <= 2)
-    same_family = F.col("a_bones").isNull() | (F.col("a_bones") == F.col("b_bones")) | (F.levenshtein("a_family", "b_family") <= 2)
-    agree &= having("given") | having("given_cut") | having("given_bones") | same_given
-    agree &= ~(F.col("rule") == number["title and stated uri"]) | same_family
-    agree &= ~having("bones") | F.col("a_family").startswith("؟") | (F.levenshtein("a_family", "b_family") <= 3)
-    pairs = a.join(b, ["rule", "key"]).where(F.coalesce(agree, F.lit(False)))
-    matched = pairs.groupBy("id", "rule").agg(F.first("openiti_uri", ignorenulls=True).alias("openiti_uri"), F.min("uri").alias("low"), F.max("uri").alias("uri")).where("low = uri")
-    # the first rule that points to one work resolves a row: what joins with anti-joins in between would leave
-    first = matched.groupBy("id").agg(F.min_by(F.struct("rule", "uri", "openiti_uri"), "rule").alias("m")).select("id", "m.*")
+    found = cascade(rows, right)
     names = F.create_map(*(x for n, (name, _, _) in enumerate(RULES) for x in (F.lit(n), F.lit(name))))
-    found = cut_lineage(first.withColumn("rule", names[F.col("rule")]))
-    labelled = F.col("openiti_uri").isNotNull() & (F.trim("openiti_uri") != "")
-    yes, no = LABELS
-    trust = found.groupBy("rule").agg(((F.sum((labelled & (F.trim("openiti_uri") == F.col("uri"))).cast("int")) + yes) / (F.sum(labelled.cast("int")) + yes + no)).alias("confidence"), F.count("*").alias("matches"))
-    # a title alone carries no label; its precision is that of its match among the rows that do name an author
-    single = right.groupBy("title").agg(F.min("uri").alias("low"), F.max("uri").alias("high"), F.max("bones").alias("right_bones")).where("low = high")
-    named = rows.where("family is not null and title is not null").join(single, "title").agg(F.sum((F.col("bones") == F.col("right_bones")).cast("int")).alias("ok"), F.count("*").alias("n"))
-    alone = named.select(F.lit("title alone").alias("rule"), ((F.coalesce("ok", F.lit(0)) + yes) / (F.col("n") + yes + no)).alias("by_author"))
-    trust = trust.join(alone, "rule", "left").withColumn("confidence", F.coalesce("by_author", "confidence"))
-    return found.join(trust, "rule").where(F.col("confidence") >= LEAST_CONFIDENCE).select(F.col("id").alias("translation_id"), "uri", "rule", "confidence")
+    trusted = found.join(confidences(found, rows, right), "rule").where(F.col("confidence") >= LEAST_CONFIDENCE)
+    return trusted.select(F.col("id").alias("translation_id"), "uri", names[F.col("rule")].alias("rule"), "confidence")
 
 
 def _run(spark: SparkSession, d: str) -> DataFrame:
