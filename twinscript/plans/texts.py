@@ -193,8 +193,3 @@ def detection_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("x.injector", delta).groupBy("injector").agg(
         F.count("*").alias("n"), F.round(F.avg("delta"), 5).alias("mean_delta"), F.round(F.percentile("delta", 0.5), 5).alias("median_delta"), F.round(F.avg((F.col("delta") > 0.02).cast("double")), 4).alias("detection_rate")
     )
-
-
-@register("skeletons", None)
-def skeletons(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "glossary", "entry_id", "arabic", "en_should").select("entry_id", t.arabic_skeleton("arabic").alias("arabic"), t.latin_skeleton("en_should").alias("english"))
