@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscript.operators import timeline
 from twinscript.queries import register
+from twinscript.session import shared_folder
 from twinscript.sources.tables import table
 from twinscript.streaming import events as ev
 
@@ -115,8 +115,7 @@ def session_counts(spark: SparkSession, d: str) -> DataFrame:
 @register("stream_by_type", "select event_type, count(distinct event_id) as n from events group by 1")
 def stream_by_type(spark: SparkSession, d: str) -> DataFrame:
     """The table read as a stream, without repeats, written batch by batch through the resumable sink, then counted."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = f"{named or tempfile.mkdtemp(prefix='twinscript-stream-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(d, pathGlobFilter="events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     ev.run_once(ev.distinct_events(stream, "event_id", late="3650 days"), f"{base}/checkpoint", ev.partition_writer(f"{base}/out"))
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))

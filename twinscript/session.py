@@ -25,37 +25,48 @@ def session(cores: int | str = "*", app: str = "twinscript", **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session on this machine alone may do without, and gets a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir isn't set: tables between steps need a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="twinscript-tables-"))
+    return _own[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a table written to the folder named in spark.checkpoint.dir and read again; any executor may be lost after that.
+    """df as a table written to the shared folder and read again; any executor may be lost after that.
 
-    A written table is columnar and compressed, unlike a checkpoint. Only where the setting is missing (tests) a
-    temporary folder is used. The tables of this process are removed when it ends.
+    A written table is columnar and compressed, unlike a checkpoint. The tables of this process are removed when it
+    ends, or by drop_tables() once the results that need them have been used.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _temporary()
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[str] = []
-_own: list[str] = []
+def drop_tables(spark: SparkSession) -> int:
+    """Removes the tables that cut_lineage wrote so far; results that were made from them can't be computed again. Returns their number."""
+    n = len(_written)
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
 
 
-def _temporary() -> str:
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="twinscript-tables-"))
-    return _own[0]
+_written: list[str] = []
+_own: list[str] = []
 
 
 @atexit.register
 def _remove() -> None:
-    spark = SparkSession.getActiveSession()
     try:
-        for path in _written:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        drop_tables(SparkSession.getActiveSession())
     except Exception:  # the session may be gone; the folder's owner cleans up then
         pass
     for path in _own:
