@@ -15,7 +15,7 @@ without any mark is one unit; an unclosed quotation is read as text.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +35,10 @@ FULL_STOPS = ".…"
 WIDE = "。！？｡"
 OPENERS = {"«": "»", "“": "”", "「": "」", "『": "』", "‘": "’"}
 CLOSERS = "\"”»’)]）】」』"
+STRAIGHT = "\"＂"
+_QUOTE = re.compile("[" + re.escape(STRAIGHT + "".join(OPENERS) + "".join(OPENERS.values())) + "]")
+#: Letters of a word that are looked at before a mark: no abbreviation is longer, and scripts without spaces have no short words.
+LONGEST_WORD = 64
 #: Least log-likelihood ratio of a collocation, a sentence starter and an opening phrase (public values of the method).
 COLLOCATION, STARTER, OPENING, ABBREVIATION = 7.88, 30.0, 15.0, 0.3
 #: Least share of an opening phrase among the words and word pairs of unmarked texts.
@@ -49,28 +53,23 @@ _INVISIBLE = "­؜​‌‍‎‏⁠﻿"
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
-    """(start, end) of outermost quotations, marks included; unclosed ones are left out."""
+    """(start, end) of outermost quotations, marks included; unclosed ones are left out. One pass over the marks."""
+    marks = [(m.start(), m.group()) for m in _QUOTE.finditer(text)]
+    close: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {}
+    straight = [i for i, c in marks if c in STRAIGHT]
+    close.update(zip(straight, straight[1:], strict=False))
+    for i, c in marks:
+        if c in OPENERS:
+            stacks.setdefault(OPENERS[c], []).append(i)
+        elif stacks.get(c):
+            close[stacks[c].pop()] = i
     spans: list[tuple[int, int]] = []
-    at = 0
-    while at < len(text):
-        c = text[at]
-        if c in "\"＂":
-            close = next((j for j in range(at + 1, len(text)) if text[j] in "\"＂"), -1)
-        elif c in OPENERS and not (c == "‘" and at and text[at - 1].isalnum()):
-            depth, close = 0, -1
-            for j in range(at, len(text)):
-                depth += (text[j] == c) - (text[j] == OPENERS[c])
-                if not depth:
-                    close = j
-                    break
-        else:
-            at += 1
-            continue
-        if close < 0:
-            at += 1
-            continue
-        spans.append((at, close + 1))
-        at = close + 1
+    end = 0
+    for i, c in marks:
+        if i >= end and i in close and not (c == "‘" and i and text[i - 1].isalnum()):
+            end = close[i] + 1
+            spans.append((i, end))
     return spans
 
 
@@ -114,35 +113,60 @@ def places(text: str) -> tuple[list[tuple[int, str, str, str, str, int, bool]],
     out: list[tuple[int, str, str, str, str, int, bool]] = []
     marked, last_mark, i, n = False, 0, 0, len(text)
     last = len(text.rstrip())
+    word_at = [m.start() for m in _WORD.finditer(text)]
+    newline_at = [m.start() for m in re.finditer("\n", text)]
+
+    def after(j: int, chars: str = "") -> int:
+        """The first place from j on that isn't white space or one of the characters."""
+        while j < n and (text[j].isspace() or text[j] in chars):
+            j += 1
+        return j
+
+    def before(j: int, chars: str = "", low: int = 0) -> int:
+        """The end of what stands before j without white space or such characters at its end."""
+        while j > low and (text[j - 1].isspace() or text[j - 1] in chars):
+            j -= 1
+        return j
+
+    def words_in(low: int, high: int) -> int:
+        """Words between two places."""
+        return bisect_left(word_at, high) - bisect_right(word_at, low) + (low < high and not text[low].isspace()) if low < high else 0
+
+    def breaks(low: int, high: int) -> bool:
+        """Whether there is a line break between two places."""
+        k = bisect_left(newline_at, low)
+        return k < len(newline_at) and newline_at[k] < high
+
     opened_unit = 0  # end of the last sure boundary
     while i < n:
         c = text[i]
         span = span_of(i)
         if span and span[1] < n + 1 and i == span[0]:
             # a whole quotation; it may end the unit if a mark stands before its closing
-            inner = text[span[0] + 1 : span[1] - 1].rstrip(_INVISIBLE + " ")
+            inner = before(span[1] - 1, _INVISIBLE, span[0] + 1)
             end = span[1]
             while end < n and text[end] in CLOSERS:
                 end += 1
-            head = text[: span[0]].rstrip(_INVISIBLE + " \n\t  ")
-            introduced = bool(head) and head[-1] not in TERMINALS + CLOSERS and "\n" not in text[len(head) : span[0]]
-            ends = bool(inner) and inner[-1] in TERMINALS
-            follows = text[end:]
-            rest = follows.lstrip()
-            gap = follows[: len(follows) - len(rest)]
-            kind = _kind(rest.lstrip(_INVISIBLE)[:1])
-            if rest and "\n" in gap and not ends:
+            head = before(span[0], _INVISIBLE)
+            introduced = head > 0 and text[head - 1] not in TERMINALS + CLOSERS and not breaks(head, span[0])
+            ends = inner > span[0] + 1 and text[inner - 1] in TERMINALS
+            rest = after(end)
+            seen = rest
+            while seen < n and text[seen] in _INVISIBLE:
+                seen += 1
+            kind = _kind(text[seen : seen + 1])
+            if rest < n and breaks(end, rest) and not ends:
                 out.append((end, "line", "", "", "none", 0, True))
-            elif rest and ends and rest[0] not in TERMINALS + ",،؛;:" and kind != "lower" and (introduced or kind in ("upper", "digit", "quote")):
+            elif rest < n and ends and text[rest] not in TERMINALS + ",،؛;:" and kind != "lower" and (introduced or kind in ("upper", "digit", "quote")):
                 out.append((end, "sure", "", "", kind, 0, False))
                 opened_unit = last_mark = end
             i = end
             continue
         if c not in TERMINALS:
             if c == "\n":
-                head = text[opened_unit:i].rstrip()
-                if head and text[i:].strip():
-                    out.append((len(text[:i].rstrip()), "line", "", "", "none", 0, True))
+                head = before(i, low=opened_unit)
+                if head > opened_unit and i < last:
+                    out.append((head, "line", "", "", "none", 0, True))
             i += 1
             continue
         j = i
@@ -152,33 +176,33 @@ def places(text: str) -> tuple[list[tuple[int, str, str, str, str, int, bool]],
         while end < n and text[end] in CLOSERS and not (text[end] == '"' and span_of(end) and span_of(end)[0] == end):
             end += 1
         run = text[i:j]
-        gap = text[end:]
-        rest = gap.lstrip()
-        space = gap[: len(gap) - len(rest)]
-        next_raw = rest.lstrip(_INVISIBLE)
-        kind = _kind(next_raw[:1])
-        k = i
-        while k > 0 and not text[k - 1].isspace():
-            k -= 1
-        word = "" if i and text[i - 1] in CLOSERS else _clean(text[k:i]).lstrip("\"“«‘([（")
-        line_end = "\n" in space
+        rest = after(end)
+        seen = rest
+        while seen < n and text[seen] in _INVISIBLE:
+            seen += 1
+        kind = _kind(text[seen : seen + 1])
+        w = bisect_left(word_at, i) - 1
+        k = word_at[w] if w >= 0 and i and not text[i - 1].isspace() else i
+        word = "" if i and text[i - 1] in CLOSERS else _clean(text[max(k, i - LONGEST_WORD) : i]).lstrip("\"“«‘([（")
+        line_end = breaks(end, rest)
         i = max(end, i + 1)
-        if not rest:
+        if rest >= n:
             marked = True
             continue
         dot = run == "." and c == "."
         if dot:
             digits = word.isdigit()
-            if not space and (kind in ("digit", "lower", "mark") or (kind in ("upper", "other") and not _glued(word, next_raw))):
+            if rest == end and (kind in ("digit", "lower", "mark") or (kind in ("upper", "other") and not _glued(word, text[seen : seen + 2]))):
                 continue  # decimals, inner periods, commas after an abbreviation
-            if digits and not text[opened_unit:k].strip(_INVISIBLE + " \n\t"):
+            head = before(k)
+            if digits and before(k, _INVISIBLE, opened_unit) <= opened_unit:
                 continue  # a list number opens its sentence
-            if digits and (not text[:k].strip() or text[:k].rstrip()[-1] in TERMINALS + CLOSERS or "\n" in text[len(text[:k].rstrip()) : k]):
+            if digits and (not head or text[head - 1] in TERMINALS + CLOSERS or breaks(head, k)):
                 continue
-            if kind == "mark" and next_raw[:1] in ",;:،؛)":
+            if kind == "mark" and text[seen : seen + 1] in ",;:،؛)":
                 continue
-            words = len(text[max(opened_unit, last_mark) : k].split()) + 1
-            following = _WORD.match(next_raw)
+            words = words_in(max(opened_unit, last_mark), k) + 1
+            following = _WORD.match(text, seen, seen + LONGEST_WORD)
             out.append((end, "dot", word.lower(), _clean(following.group(0)).strip("\"“«().,;:!?؟").lower() if following else "", kind, words, line_end))
             marked = True
             last_mark = end if len(word.replace(".", "")) > 2 else last_mark
@@ -191,14 +215,14 @@ def places(text: str) -> tuple[list[tuple[int, str, str, str, str, int, bool]],
                 out.append((end, "sure", "", "", kind, 0, line_end))
             else:
                 continue
-        elif kind == "lower" or (next_raw[:1] and next_raw[:1] in ",;،؛"):
+        elif kind == "lower" or (seen < n and text[seen] in ",;،؛"):
             continue
         else:
-            following = _WORD.match(next_raw)
+            following = _WORD.match(text, seen, seen + LONGEST_WORD)
             out.append((end, "sure", word.lower(), following.group(0).strip("\"“«().,;:!?؟").lower() if following else "", kind, 0, line_end))
         opened_unit = last_mark = end
     if last:
-        out.append((last, "final", _clean(text[:last].split()[-1]).rstrip(CLOSERS).lower() if text.strip() else "", "", "none", 0, True))
+        out.append((last, "final", _clean(text[max(word_at[-1], last - LONGEST_WORD) : last]).rstrip(CLOSERS).lower(), "", "none", 0, True))
     return out, marked
 
 
@@ -291,7 +315,7 @@ def abbreviations(words: DataFrame, scanned: DataFrame) -> DataFrame:
     letters = F.length(F.regexp_replace("word", r"[.]", ""))
     inner = F.length("word") - letters
     score = 2 * (other - null) * F.exp(-letters.cast("double")) * (inner + 1) * F.exp(-(F.col("rest") / k))
-    found = c.where(score >= ABBREVIATION).where(letters <= 5)
+    found = c.where(score >= ABBREVIATION)
     ends = scanned.where("place.kind in ('dot', 'final')").select("language", F.regexp_replace("place.word", r"\.$", "").alias("word"), (F.col("place.kind") == "final").cast("long").alias("final"))
     closing = ends.groupBy("language", "word").agg(F.avg("final").alias("final_rate"), F.sum("final").alias("finals"))
     return found.select("language", "word").join(closing, ["language", "word"], "left").select("language", "word", F.coalesce((F.col("final_rate") > 0.01) & (F.col("finals") > 0), F.lit(False)).alias("can_end"))
@@ -341,8 +365,11 @@ def sentence_units(paragraphs: DataFrame, learn_from: DataFrame | None = None, w
 
     within says that learn_from holds the paragraphs too, so that each text is scanned once.
     """
-    rows = paragraphs.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''").dropDuplicates(["id"])
-    base = rows if learn_from is None else learn_from.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''").dropDuplicates(["id"])
+    rows = paragraphs.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''")
+    # of different texts of one id the least counts
+    once = lambda df: df.groupBy("id").agg(F.min(F.struct("language", "text")).alias("r")).select("id", "r.*")
+    rows = once(rows)
+    base = rows if learn_from is None else once(learn_from.select("id", F.coalesce("language", F.lit("und")).alias("language"), "text").where("id is not null and trim(text) <> ''"))
     scan_of = lambda df: df.withColumn("scan", _scan("text")).select("id", "language", "text", "scan.marked", "scan.places")
     learnt = cut_lineage(scan_of(base))
     seen = learnt.select("language", F.explode("places").alias("place"))
