@@ -4,7 +4,9 @@ Model: a label is truthful with the labeller's competence, else drawn from the l
 expectation-maximisation estimates both and the posterior of each item's verdict. The labels stay partitioned by
 item through all iterations (window sums, no shuffle of the labels for the E-step); each iteration shuffles one
 partial sum per labeller and partition, and the parameters, one row per labeller and label, go to a checkpoint,
-never to the driver.
+never to the driver. Rounds end when no competence moves by more than CONVERGED. The prior is the mean posterior of
+the items, so an item of many labels weighs no more than another. Agreement is the share of agreeing pairs of an
+item's labels, and its excess over what the labellers' own rates of yes would give by chance.
 
 A labeller's latest usable label of an item counts; a label of no known spelling isn't usable. The two sittings of
 consensus_rows are two labellers. Defined results: an item without any usable label gets the verdict of the prior
@@ -21,8 +23,8 @@ from twinscript.llm._registry import query
 from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
 
-#: Rounds of expectation-maximisation, and the Dirichlet and beta counts that smooth its parameters.
-ROUNDS, GUESS_COUNT, COMPETENCE_COUNTS = 15, 0.5, (2.0, 1.0)
+#: Most rounds of expectation-maximisation, change of a competence that ends them, and the Dirichlet and beta counts that smooth its parameters.
+ROUNDS, CONVERGED, GUESS_COUNT, COMPETENCE_COUNTS = 30, 0.01, 0.5, (2.0, 1.0)
 #: Spellings of the two labels, after trimming and lower-casing.
 YES, NO = ("y", "yes", "true", "1"), ("n", "no", "false", "0")
 
@@ -50,8 +52,8 @@ def latest_labels(rows: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def fit(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Posteriors (item, p, n, agreement) and labellers (labeller, n, competence, guess_yes) of labels(item, labeller, label)."""
-    held = labels.select("item", "labeller", (F.col("label") == "Y").alias("yes")).repartition("item").persist()
     by_item = Window.partitionBy("item")
+    held = labels.select("item", "labeller", (F.col("label") == "Y").alias("yes")).repartition("item").withColumn("labels", F.count("*").over(by_item)).persist()
     first = F.avg(F.col("yes").cast("double")).over(by_item)
     params: DataFrame | None = None
     scored = held.withColumn("p", F.least(F.greatest(first, F.lit(0.05)), F.lit(0.95)))
@@ -63,19 +65,31 @@ def fit(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
         agrees = F.when(F.col("yes"), F.col("p")).otherwise(1 - F.col("p"))
         drawn = F.when(F.col("yes"), guess).otherwise(1 - guess)
         truthful = agrees * competence / (competence + (1 - competence) * drawn)
-        sums = scored.select("labeller", "yes", truthful.alias("t"), "p").groupBy("labeller").agg(
-            F.count("*").alias("n"), F.sum("t").alias("t"), F.sum(F.when(F.col("yes"), 1 - F.col("t")).otherwise(0.0)).alias("g_yes"), F.sum(1 - F.col("t")).alias("g"), F.avg("p").alias("mean_p")
-        )
+        # each item's posterior is shared out among its labels, so that it counts once
+        sums = scored.select("labeller", "yes", truthful.alias("t"), (F.col("p") / F.col("labels")).alias("part"), (1 / F.col("labels")).alias("whole")).groupBy("labeller").agg(
+            F.count("*").alias("n"), F.sum("t").alias("t"), F.sum(F.when(F.col("yes"), 1 - F.col("t")).otherwise(0.0)).alias("g_yes"), F.sum(1 - F.col("t")).alias("g"), F.sum("part").alias("part"), F.sum("whole").alias("whole"),
+            F.avg(F.col("yes").cast("double")).alias("rate"),
+        )
         a, b = COMPETENCE_COUNTS
-        params = cut_lineage(sums.select(
-            "labeller", "n", ((F.col("t") + a - 1 + 0.5) / (F.col("n") + a + b - 2 + 1)).alias("competence"),
+        every = Window.partitionBy()
+        last, params = params, cut_lineage(sums.select(
+            "labeller", "n", "rate", ((F.col("t") + a - 1 + 0.5) / (F.col("n") + a + b - 2 + 1)).alias("competence"),
             ((F.col("g_yes") + GUESS_COUNT) / (F.col("g") + 2 * GUESS_COUNT)).alias("guess"),
-            (F.sum(F.col("mean_p") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())).alias("prior"),
+            (F.sum("part").over(every) / F.sum("whole").over(every)).alias("prior"),
         ))
+        if last is not None and params.join(last.select("labeller", F.col("competence").alias("before")), "labeller").where(F.abs(F.col("competence") - F.col("before")) > CONVERGED).isEmpty():
+            break
     final = _posterior(held, params)
-    items = final.groupBy("item").agg(F.max("p").alias("p"), F.count("*").alias("n"), F.avg(F.col("yes").cast("double")).alias("share"))
-    agreement = F.when(F.col("n") > 1, F.greatest("share", 1 - F.col("share")))
-    return items.select("item", "p", "n", agreement.alias("agreement")), params.select("labeller", "n", "competence", F.col("guess").alias("guess_yes"), "prior")
+    yes, rate = F.col("yes").cast("double"), F.col("rate")
+    items = final.groupBy("item").agg(F.max("p").alias("p"), F.count("*").alias("n"), F.sum(yes).alias("k"), F.sum(rate).alias("r"), F.sum(rate * rate).alias("rr"))
+    n, k, r = F.col("n"), F.col("k"), F.col("r")
+    pairs = n * (n - 1)
+    agreement = F.when(n > 1, (k * (k - 1) + (n - k) * (n - k - 1)) / pairs)
+    # pairs of different labellers that both say yes, or both no, if each says it at its own rate
+    both, neither = r * r - F.col("rr"), (n - r) * (n - r) - (n - 2 * r + F.col("rr"))
+    chance = F.when(n > 1, (both + neither) / pairs)
+    items = items.select("item", "p", "n", agreement.alias("agreement"), F.when(chance < 1, (agreement - chance) / (1 - chance)).alias("beyond_chance"))
+    return items, params.select("labeller", "n", "competence", F.col("guess").alias("guess_yes"), "prior")
 
 
 def _posterior(held: DataFrame, params: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def consensus(rows: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataF
     prior = labellers.agg(F.coalesce(F.max("prior"), F.lit(0.5)).alias("prior")).withColumn("one", F.lit(1))
     every = rows.where("row_id is not null").select(F.col("row_id").alias("item")).distinct().join(items, "item", "left").withColumn("one", F.lit(1)).join(prior, "one")
     verdict = F.when(F.coalesce("p", "prior") >= 0.5, "Y").otherwise("N")
-    out = every.select(F.col("item").alias("row_id"), verdict.alias("publishable"), F.coalesce("p", "prior").alias("probability"), F.coalesce("n", F.lit(0)).alias("labels"), "agreement")
+    out = every.select(F.col("item").alias("row_id"), verdict.alias("publishable"), F.coalesce("p", "prior").alias("probability"), F.coalesce("n", F.lit(0)).alias("labels"), "agreement", "beyond_chance")
     return out, labellers.drop("prior")
 
 
