@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import timeit
 
 import numpy as np
 import pytest
@@ -80,6 +81,21 @@ def test_chinese_units():
     assert cut(text, ends) == ["水手说：“诗人卖了3.5斤石榴。”", "“诗人买了书！”商人喊道。", "学生来了。"]
 
 
+def test_quotations_nest_and_may_stay_open():
+    assert p02_sentences.quoted('a "b" «c «d» e» “f') == [(2, 5), (6, 15)]
+    assert p02_sentences.quoted("«« a » b") == [(1, 6)] and p02_sentences.quoted("x‘y’ ‘z’") == [(5, 8)]
+    assert p02_sentences.quoted('"') == [] and p02_sentences.quoted("") == []
+
+
+@pytest.mark.parametrize("unit", ["He said: «so. ", "水手卖了石榴", "a. b. 3.5 \n", '"Who?" asked he. ', "word \u200b "])
+def test_places_take_linear_time(unit):
+    def seconds(n):
+        text = unit * n
+        return min(timeit.repeat(lambda: p02_sentences.places(text), number=1, repeat=3))
+
+    assert seconds(8000) < 3 * seconds(4000) + 0.05
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -196,6 +212,12 @@ def test_consensus_finds_truth_and_spammers(spark):
     got = {r.row_id: r.publishable for r in items.collect()}
     assert set(got) == {*truth, "empty"}
     assert sum((got[r] == "Y") == v for r, v in truth.items()) >= 185
+    parts = {r.row_id: (r.labels, r.agreement) for r in items.collect()}
+    for r in truth:
+        said = {w: x[2].strip().upper()[:1] for x in labels if (w := x[1]) and x[0] == r}
+        yes = sum(v == "Y" for v in said.values())
+        assert parts[r] == (4, pytest.approx((yes * (yes - 1) + (4 - yes) * (3 - yes)) / 12))
+    assert parts["empty"] == (0, None)
     skill = {r.labeller: r.competence for r in people.collect()}
     assert skill["spam"] < 0.2 < 0.5 < skill["fair"] < skill["good2"]
 
@@ -254,6 +276,22 @@ def test_packing_is_whole_and_tight(spark):
     assert p08_packing.pack(df.limit(0), capacity=100).count() == 0
 
 
+def test_windows_keep_to_the_mix_over_partitions(spark):
+    rng = random.Random(6)
+    # sources come in long runs of ids, the hash spreads them; one source holds half of all
+    sizes = [(i, "a" if i < 3000 else "b" if i < 4800 else "c", rng.randint(1, 60)) for i in range(6000)]
+    df = spark.createDataFrame(sizes, "id bigint, source string, tokens bigint")
+    packed = p08_packing.pack(df, capacity=100, window=16, containers=200).persist()
+    report = {r.source: r for r in p08_packing.mix_report(packed, 16).collect()}
+    assert set(report) == {"a", "b", "c"} and sum(r.share for r in report.values()) == pytest.approx(1)
+    assert all(r.deviation < 0.03 and r.worst < 0.1 for r in report.values()), report
+    # a target beyond the supply holds while every source lasts
+    skewed = p08_packing.pack(df.where("source <> 'c'"), capacity=100, window=16, containers=10000, proportions={"a": 0.5, "b": 0.5}).toPandas()
+    skewed["window"] = skewed.container.str.split("-").str[1].astype(int) // 16
+    share = skewed[skewed.source == "b"].groupby("window").tokens.sum() / skewed.groupby("window").tokens.sum()
+    assert (share.iloc[:30] - 0.5).abs().mean() < 0.05 and skewed.tokens.sum() == sum(n for _, s, n in sizes if s != "c")
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "s", "hello world"), (2, "s", ""), (3, None, None)], "id bigint, source string, text string")
     assert rows(p08_packing.token_counts(df).select("id", "tokens")) == [(1, 2), (2, 0), (3, 0)]
