@@ -42,6 +42,8 @@ def test_trie_prefers_cheap_then_frequent():
         trie.add(w, n)
     assert [m[2] for m in trie.matches("علی")] == ["على", "علي"]
     assert {m[2]: m[0] for m in trie.matches("علي", 1)} == {"علي": 0, "على": 1, "علم": 1}
+    assert [m[:3] for m in trie.matches("ع\u200dل\u200cم")] == [(0, -9, "علم")]
+    assert {m[2]: m[0] for m in trie.matches("ع\u200dلم", 1)} == {"علم": 0, "علي": 1, "على": 1}
     assert fold("Сat") == "Cat" and is_plain("Cat") and not is_plain("Сat")
 
 

@@ -65,6 +65,11 @@ _BEYOND = re.compile("[\U00010000-\U0010ffff]")
 without_marks = remover("Mn", "Cf")
 
 
+def compatible(text: str) -> str:
+    """Compatibility form, ignorable characters kept, runs of white space as one space."""
+    return _RUN.sub(" ", unicodedata.normalize("NFKC", text)).strip(" ")
+
+
 def visible(text: str) -> str:
     """Compatibility form without invisible characters, runs of white space as one space."""
     kept = "".join(c for c in text if not ignorable(c))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinscript.llm._chars import AMBIGUOUS, LOOKALIKES, PLAIN_CLASS, SPACE_CLASS, fold, is_plain, route, visible
+from twinscript.llm._chars import AMBIGUOUS, LOOKALIKES, PLAIN_CLASS, SPACE_CLASS, compatible, fold, ignorable, is_plain, route
 from twinscript.llm._registry import query
 from twinscript.session import cut_lineage
 from twinscript.sources.tables import table
@@ -39,7 +39,8 @@ class Trie:
 
     def matches(self, text: str, budget: int = 0) -> list[tuple[int, int, str]]:
         """(cost, -count, spelling) of every spelling within the budget."""
-        units = [(c, *AMBIGUOUS.get(c, (LOOKALIKES.get(c, c),))) for c in visible(text)]
+        # an ignorable character may be passed over at no cost, a look-alike may be read as what it looks like
+        units = [("",) if ignorable(c) else (c, *AMBIGUOUS.get(c, (LOOKALIKES.get(c, c),))) for c in compatible(text)]
         states = {(0, ""): (0, self.root)}  # position in the text and path in the trie -> cost and node
         found: list[tuple[int, int, str]] = []
         frontier = [(0, "", 0, self.root)]
@@ -48,7 +49,7 @@ class Trie:
             if at == len(units) and "" in node:
                 found.append((cost, -node[""], path))
             options = units[at] if at < len(units) else ()
-            steps = [(at + 1, path + o, cost, node[o]) for o in dict.fromkeys(options) if o in node]
+            steps = [(at + 1, path + o, cost, node[o] if o else node) for o in dict.fromkeys(options) if not o or o in node]
             if cost < budget:
                 steps += [(at, path + c, cost + 1, child) for c, child in node.items() if c]
                 if at < len(units):
