@@ -19,10 +19,11 @@ def stale_hashes(spark: SparkSession, d: str) -> DataFrame:
     return violations(rows, ["id"], {"hash": F.col("source_hash") == t.sha("text")}).where("rule = 'hash'").select(F.col("key").alias("id"))
 
 
-@register("sequence_gaps", "select id from (select id, sequence, lag(sequence) over (partition by paragraph_id order by sequence) as p from sentences) where coalesce(sequence - p - 1, sequence) <> 0")
+@register("sequence_gaps", "with w as (select distinct id, block_id, word_sequence from ledger_words where text <> '') select id from (select id, word_sequence, lag(word_sequence) over (partition by block_id order by word_sequence) as p from w) where coalesce(word_sequence - p - 1, word_sequence) <> 0")
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sentences", "id", "paragraph_id", "sequence")
-    return violations(rows, ["id"], {}, (["paragraph_id"], "sequence")).where("rule <> 'key is repeated'").select(F.col("key").alias("id"))
+    """Words before which a block lacks some, empty ones being left out."""
+    rows = table(spark, d, "ledger_words", "id", "block_id", "word_sequence", "text").where("text <> ''").drop("text").distinct()
+    return violations(rows, ["id"], {}, (["block_id"], "word_sequence")).where("rule <> 'key is repeated'").select(F.col("key").alias("id"))
 
 
 @register("work_sizes", "select work_id, language, count(*) as sentences, count(distinct paragraph_id) as paragraphs, cast(max(global_sequence) as integer) as last from sentences group by 1, 2")
@@ -73,11 +74,31 @@ def display_modes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(timeline.display_mode(F.col("confidence"), F.col("flags"), F.col("operation") == "1:1").alias("mode")).agg(F.count("*").alias("n"))
 
 
-@register("dangling_links", "select distinct work_id, structural_link_index from structural_links, unnest(list_concat(arabic_structure_ids, english_structure_ids)) as u(s) where s not in (select structure_id from paragraphs where structure_id is not null)")
+@register("dangling_links", "select distinct work_id, structural_link_index from structural_links, unnest(list_concat(arabic_structure_ids, english_structure_ids)) as u(s) where s not in (select structure_id from paragraphs where structure_id is not null and sequence >= 2)")
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links to a structure that isn't there or has fewer than three paragraphs."""
     links = table(spark, d, "structural_links", "work_id", "structural_link_index", "arabic_structure_ids", "english_structure_ids")
     ids = links.select("work_id", "structural_link_index", F.explode(F.concat("arabic_structure_ids", "english_structure_ids")).alias("structure_id"))
-    return ids.join(table(spark, d, "paragraphs", "structure_id").distinct(), "structure_id", "left_anti").select("work_id", "structural_link_index").distinct()
+    known = table(spark, d, "paragraphs", "structure_id", "sequence").where("sequence >= 2").select("structure_id").distinct()
+    return ids.join(known, "structure_id", "left_anti").select("work_id", "structural_link_index").distinct()
+
+
+@register("link_contract", "select case when a = 0 or e = 0 then 'one side only' when foreign_ > 0 then 'another work' when a = 1 and e = 1 then 'one to one' else 'several' end as kind, count(*) as n from (select len(coalesce(arabic_structure_ids, [])) as a, len(coalesce(english_structure_ids, [])) as e, len(list_filter(list_concat(arabic_structure_ids, english_structure_ids), lambda s: not starts_with(s, work_id || ':'))) as foreign_ from structural_links) group by 1")
+def link_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Structural links by what they name: structures of one side only, of another work, one of each side, or several."""
+    links = table(spark, d, "structural_links", "work_id", "structural_link_index", "arabic_structure_ids", "english_structure_ids")
+    a, e = (F.coalesce(c, F.array().cast("array<string>")) for c in ("arabic_structure_ids", "english_structure_ids"))
+    foreign = F.exists(F.concat(a, e), lambda s: ~F.startswith(s, F.concat("work_id", F.lit(":"))))
+    kind = F.when((F.size(a) == 0) | (F.size(e) == 0), "one side only").when(foreign, "another work").when((F.size(a) == 1) & (F.size(e) == 1), "one to one").otherwise("several")
+    return links.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@register("overlapping_proposals", "select ranges, count(*) as places from (select work_id, x, count(distinct (english_start, english_end)) as ranges from dp_links, unnest(generate_series(arabic_start, arabic_end - 1)) as u(x) where arabic_end > arabic_start group by 1, 2) group by 1")
+def overlapping_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """How many different English ranges proposals link an Arabic place to."""
+    links = table(spark, d, "dp_links", "work_id", "arabic_start", "arabic_end", "english_start", "english_end").where("arabic_end > arabic_start")
+    places = links.select("work_id", F.explode(F.sequence("arabic_start", F.col("arabic_end") - 1)).alias("x"), F.struct("english_start", "english_end").alias("to"))
+    return places.groupBy("work_id", "x").agg(F.count_distinct("to").alias("ranges")).groupBy("ranges").agg(F.count("*").alias("places"))
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:

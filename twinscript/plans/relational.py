@@ -47,9 +47,11 @@ def order_frames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").select("o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last_three"), F.lag("o_orderkey").over(w).alias("before"))
 
 
-@register("idle_customers", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@register("idle_customers", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def idle_customers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer", "c_custkey").join(table(spark, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = table(spark, d, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer", "c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @register("shared_nations", "select c_nationkey as k from customer intersect select s_nationkey from supplier")
@@ -57,9 +59,11 @@ def shared_nations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer", "c_nationkey").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier", "s_nationkey").select(F.col("s_nationkey").alias("k")))
 
 
-@register("unsold_parts", "select p_partkey as k from part except select l_partkey from lineitem")
+@register("unsold_parts", "select p_partkey as k from part except select l_partkey from lineitem where l_quantity >= 40")
 def unsold_parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, d, "lineitem", "l_partkey").select(F.col("l_partkey").alias("k")).distinct())
+    """Parts that were never sold in bulk."""
+    bulk = table(spark, d, "lineitem", "l_partkey", "l_quantity").where("l_quantity >= 40").select(F.col("l_partkey").alias("k")).distinct()
+    return table(spark, d, "part", "p_partkey").select(F.col("p_partkey").alias("k")).exceptAll(bulk)
 
 
 @register("order_pivot", "select o_orderpriority, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'P') as p from orders group by 1")
@@ -119,3 +123,48 @@ def stream_by_type(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(d, pathGlobFilter="events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     ev.run_once(ev.distinct_events(stream, "event_id", late="3650 days"), f"{base}/checkpoint", ev.partition_writer(f"{base}/out"))
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("late_events", "select time_bucket(interval 1 hour, ts) as start, count(*) as n from events where event_id % 7 <> 0 group by 1")
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events counted by hour as a stream in two arrivals; a seventh of them comes with the second, long after the watermark has passed, and is dropped."""
+    base = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events", "event_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = rows.agg(F.max("ts")).first()[0]
+    # the first arrival ends with an event far ahead, which moves the watermark beyond all others
+    ahead = spark.createDataFrame([(-1, last)], "event_id bigint, ts timestamp").withColumn("ts", F.expr("ts + interval 30 days"))
+    arrivals = [rows.where("event_id % 7 <> 0").unionByName(ahead), rows.where("event_id % 7 = 0"), ahead.withColumn("ts", F.expr("ts + interval 30 days"))]
+    out = f"{base}/out"
+    for k, arrival in enumerate(arrivals):
+        arrival.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(arrival.schema).parquet(f"{base}/in")
+        counted = ev.tumbling(stream.withColumn("value", F.lit(0.0)), "1 hour", late="1 day").select("start", "n")
+        counted.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, n bigint").parquet(out).where(F.col("start") <= F.lit(last))
+
+
+@register("polled_orders", "select o_orderstatus, count(*) as n, count(distinct o_custkey) as customers from orders group by 1")
+def polled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A folder polled three times while files arrive: each poll takes what is new, and what it wrote before stays as it is."""
+    base = f"{shared_folder(spark)}/polled-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    for k in range(3):
+        rows.where(F.pmod("o_orderkey", F.lit(3)) == k).write.mode("append").parquet(f"{base}/in")
+        ev.run_once(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/checkpoint", ev.partition_writer(f"{base}/out"))
+    return spark.read.parquet(f"{base}/out").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+@register("approximate_users", "select event_type, true as near from events group by 1")
+def approximate_users(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users by event type from mergeable sketches of each hour, against the exact count: within a tenth."""
+    e = table(spark, d, "events", "event_type", "ts", "user_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.hll_sketch_agg("user_id").alias("s"))
+    merged = hourly.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("about"))
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return merged.join(exact, "event_type").select("event_type", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("near"))
+
+
+@register("running_totals", "select event_id, round(sum(value) over (partition by user_id order by ts, event_id), 4) as total from events")
+def running_totals(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))

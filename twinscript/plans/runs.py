@@ -103,12 +103,6 @@ def chrf_by_system(spark: SparkSession, d: str) -> DataFrame:
 _GOOD = f"(select distinct model, item_id from {LATEST} where error is null and trim(translation, ' ') <> '')"
 
 
-@register("overlap_items", f"select item_id, count(*) as systems from {_GOOD} group by 1 having count(*) > 1")
-def overlap_items(spark: SparkSession, d: str) -> DataFrame:
-    good = _runs(spark, d).where("error is null and trim(translation) <> ''")
-    return good.groupBy("item_id").agg(F.countDistinct("model").alias("systems")).where("systems > 1")
-
-
 @register("system_overlap", "with g as (select distinct system_id, item_id from consensus_rows where trim(translation, ' ') <> '' and system_id in ('lite', 'strong')) select system_id, item_id, count(*) over (partition by item_id) as systems from g qualify systems = (select count(distinct system_id) from g)")
 def system_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Items that both systems answered."""

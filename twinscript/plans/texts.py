@@ -66,10 +66,12 @@ def sql_fold(c: str) -> str:
     return sql_squeeze(f"lower({c})")
 
 
-@register("contamination_exact", f"select doc_id as id, e.id as item_id from documents d join (select id, arabic as x from eval_items union all select id, reference_english from eval_items) e on {sql_fold('d.text')} = {sql_fold('e.x')}")
+@register("contamination_exact", f"select d.doc_id as id, e.doc_id as item_id from documents d join documents e on {sql_fold('d.text')} = {sql_fold('e.text')} where d.source <> 'hadithbase' and e.source = 'hadithbase'")
 def contamination_exact(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "eval_items", "id", "arabic", "reference_english").select(F.col("id").alias("item_id"), F.explode(F.array("arabic", "reference_english")).alias("text"))
-    return sampling.exact_contamination(table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id"), items)
+    """Documents that equal one of a source that is held out, but for case and white space."""
+    rows = table(spark, d, "documents", "doc_id", "source", "text").where("source is not null")
+    held_out = rows.where("source = 'hadithbase'").select(F.col("doc_id").alias("item_id"), "text")
+    return sampling.exact_contamination(rows.where("source <> 'hadithbase'").select(F.col("doc_id").alias("id"), "text"), held_out)
 
 
 @register("sentence_counts", f"select doc_id, cast(coalesce(len(list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?]){W}', '\\1␞', 'g'), '␞'), lambda x: trim(x, ' ') <> '')), 0) as bigint) as n_sentences from documents")
@@ -101,24 +103,31 @@ def reassembled_items(spark: SparkSession, d: str) -> DataFrame:
     return segment.reassemble(results, segment.expected_counts(blocks))
 
 
-@register("paragraph_blocks")
+@register("paragraph_blocks", f"select doc_id, cast(i - 1 as integer) as \"at\", p[i] as paragraph from (select doc_id, p, unnest(generate_series(1, len(p))) as i from (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '-[ \\t]*\\r?\\n[ \\t]*(\\p{{Ll}})', '\\1', 'g'), '\\r?\\n[ \\t]*(?:\\r?\\n[ \\t]*)+'), lambda x: {sql_squeeze('x')}), lambda x: x <> '') as p from documents where text is not null))")
 def paragraph_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", F.posexplode(docs.paragraphs(docs.dehyphenate("text"))).alias("at", "paragraph"))
 
 
-@register("running_heads")
+_HEAD_TEXT = f"trim(regexp_replace(regexp_replace(line, '^\\s*[0-9]+\\s+|\\s+[0-9]+\\s*$', '', 'g'), '{W}', ' ', 'g'), ' ')"
+
+
+@register("running_heads", f"select head, count(*) as n from (select {_HEAD_TEXT} as head from (select unnest(string_split_regex(text, '\\r?\\n')) as line from documents)) where length(head) between 8 and 80 and upper(head) = head and regexp_matches(head, '\\p{{Lu}}') and {sql_words('head')} between 2 and 8 group by 1 having count(*) >= 3")
 def running_heads(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs.lines(table(spark, d, "documents", "source", "text"), "source", "text")
-    return docs.running_heads(rows, ["source"])
+    return docs.running_heads(docs.lines(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), [])
 
 
-@register("page_number_lines", r"select source, count(*) as n from (select source, unnest(string_split_regex(text, '\r?\n')) as line from documents) where regexp_matches(line, '^\s*[\[(]?[0-9IVXLCivxlc]{1,6}[\])]?\s*$') group by 1")
+@register("page_number_lines", r"select source, count(*) filter (regexp_matches(line, '^\s*[\[(]?[0-9IVXLCivxlc]{1,6}[\])]?\s*$')) as n, count(*) as lines from (select source, unnest(string_split_regex(text, '\r?\n')) as line from documents) group by 1")
 def page_number_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.lines(table(spark, d, "documents", "source", "text"), "source", "text")
-    return rows.where(docs.page_number("line")).groupBy("source").agg(F.count("*").alias("n"))
+    return rows.groupBy("source").agg(F.count_if(docs.page_number("line")).alias("n"), F.count("*").alias("lines"))
+
+
+_MARKUP = r"regexp_replace(text, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _MARKUP = f"replace({_MARKUP}, '{_entity}', '{_char}')"
 
 
-@register("markup_text")
+@register("markup_text", f"select doc_id, {sql_squeeze(_MARKUP)} as text from documents")
 def markup_text(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", docs.markup_text("text").alias("text"))
 
