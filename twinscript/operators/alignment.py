@@ -42,6 +42,7 @@ class SpanScores:
                 self.in_target.setdefault(name, {}).setdefault(j, 0)
                 self.in_target[name][j] += 1
         self.with_number = [j for j, x in enumerate(self.numbers[1]) if x]
+        self.any_number = any(self.numbers[0]) and bool(self.with_number)
 
     def _named(self, first: int, last: int, a: int, e: int) -> np.ndarray:
         """Share of each target span's names that each source span holds."""
@@ -63,6 +64,8 @@ class SpanScores:
     def _numbered(self, first: int, last: int, a: int, e: int) -> np.ndarray:
         """Numbers in common of all numbers, for spans that have some."""
         out = np.zeros((last - first, self.m - e + 1))
+        if not self.any_number:
+            return out
         columns = sorted({k for j in self.with_number for k in range(max(0, j - e + 1), min(j, self.m - e) + 1)})
         theirs = [frozenset().union(*self.numbers[1][j : j + e]) for j in columns]
         for i in range(first, last):
@@ -92,8 +95,8 @@ def best_path(n: int, m: int, gains: Gains, skip: float = SKIP, moves=MOVES) ->
     deep = max((a for a, _ in pairs), default=1)
     slope = skip * np.arange(m + 1)
 
-    def fill(before: list[np.ndarray], first: int, last: int, keep: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """The last rows before last, and the step into each cell of rows first to last - 1."""
+    def fill(before: list[np.ndarray], first: int, last: int, keep: bool) -> tuple[list[np.ndarray], np.ndarray, dict]:
+        """The last rows before last, the step into each cell of rows first to last - 1, and the scores of the links into them by move, with the source place of their first row."""
         came = np.zeros((last - first if keep else 0, m + 1), np.int8)
         made = {}
         for a, e in pairs:
@@ -121,20 +124,23 @@ def best_path(n: int, m: int, gains: Gains, skip: float = SKIP, moves=MOVES) ->
             before = [*before, row][-deep:]
             if keep:
                 came[i - first] = step
-        return before, came
+        return before, came, made
 
     size = max(deep, MOST_CELLS // (m + 1))
     starts, kept, before = range(0, n + 1, size), [], []
     for first in starts:
         kept.append(before)
         if first != starts[-1]:
-            before, _ = fill(before, first, first + size, False)
+            before, _, _ = fill(before, first, first + size, False)
     out, i, j = [], n, m
     for first in reversed(starts):
-        came = fill(kept.pop(), first, min(first + size, n + 1), True)[1]
+        _, came, made = fill(kept.pop(), first, min(first + size, n + 1), True)
         while i >= first and (i, j) != (0, 0):
             a, e = steps[came[i - first, j]]
-            score = float(gains(i - a, i - a + 1, a, e)[0, j - e]) - FATTER * (a + e - 2) if a and e else -skip
+            score = -skip
+            if a and e:
+                low, table = made[a, e]
+                score = float(table[i - a - low, j - e])
             out.append((i - a, i, j - e, j, score))
             i, j = i - a, j - e
     return out[::-1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions import text as t
@@ -154,3 +154,37 @@ def span_mean_cosine(spark: SparkSession, d: str) -> DataFrame:
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     return e.join(mean, "label").select("vec_id", F.round(dot(F.col("embedding"), F.col("v")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("v"), F.col("v"))), 4).alias("cosine"))
+
+
+def _tokens_sql(c: str) -> str:
+    return f"list_filter(string_split(regexp_replace(translate(regexp_replace(lower({c}), '{t.VOWEL_MARKS}', '', 'g'), 'أإآٱىة', 'اااايه'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+_LEDGER = f"(select block_id, row_number() over (partition by block_id order by word_sequence, id, i) - 1 as pos, tk[i] as token from (select *, unnest(generate_series(1, len(tk))) as i from (select distinct block_id, word_sequence, id, {_tokens_sql('text')} as tk from ledger_words where text is not null)))"
+_PATTERNS = f"(select entry_id, unnest(generate_series(1, len(tk))) - 1 as k, len(tk) as n, unnest(tk) as token from (select entry_id, {_tokens_sql('arabic')} as tk from glossary))"
+_SPANS = f"(select entry_id, block_id, start, start + n as \"end\" from (select entry_id, block_id, pos - k as start, n, k from {_LEDGER} w join {_PATTERNS} p using (token)) group by entry_id, block_id, start, n having count(distinct k) = n)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "ledger_words", "block_id", "word_sequence", "id", "text").where("text is not null").distinct()
+    each = words.select("block_id", "word_sequence", "id", F.posexplode(timeline.tokens("text")).alias("i", "token"))
+    placed = each.select("block_id", "token", (F.row_number().over(Window.partitionBy("block_id").orderBy("word_sequence", "id", "i")) - 1).alias("at"))
+    return timeline.find_spans(placed, table(spark, d, "glossary", "entry_id", "arabic").select("entry_id", timeline.tokens("arabic").alias("tokens")), "block_id", "entry_id")
+
+
+@register("ledger_spans", f"select * from {_SPANS}")
+def ledger_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the glossary's terms stand among the ledger's words, word by word."""
+    return _spans(spark, d)
+
+
+@register("first_ledger_spans", f"select entry_id, block_id, min(start) as start, arg_min(\"end\", start) as \"end\" from {_SPANS} group by 1, 2")
+def first_ledger_spans(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.first_spans(_spans(spark, d), "entry_id", "block_id")
+
+
+@register("clamped_spans", f"select block_id, entry_id, greatest(start, 2) as start, least(\"end\", 10) as \"end\", start < 2 or \"end\" > 10 as outside from {_SPANS} where greatest(start, 2) < least(\"end\", 10)")
+def clamped_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Those spans cut to the places 2 to 10 of each block."""
+    spans = _spans(spark, d)
+    return timeline.clamped(spans, spans.select("block_id").distinct().select("block_id", F.lit(2).alias("low"), F.lit(10).alias("high")), "block_id").select("block_id", "entry_id", "start", "end", "outside")
