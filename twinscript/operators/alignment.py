@@ -179,7 +179,9 @@ def align_groups(units: DataFrame) -> DataFrame:
         a, b = (pdf[pdf.side == s] for s in "ab")
         return pd.DataFrame(_linked(key[0], len(a), len(b), best_path(len(a), len(b), SpanScores(a, b))), columns=[c.split()[0] for c in LINKS.split(", ")])
 
-    return measured.groupBy("unit").applyInPandas(work, LINKS)
+    # the work is in the groups, not in their bytes, by which partitions would be put together
+    spread = measured.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    return spread.groupBy("unit").applyInPandas(work, LINKS)
 
 
 def length_partition(units: list[float], fragments: list[float], least: int = 1, most: int | None = None) -> list[tuple[int, int]]:
