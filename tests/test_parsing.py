@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinscript.functions import names, text
-from twinscript.operators import features, pairing, scans
+from twinscript.operators import features, pairing, records, scans, timeline
 from twinscript.sources import catalogs
 
 
@@ -122,3 +122,36 @@ def test_empty_texts_have_defined_results(spark, value):
     df = spark.createDataFrame([(value,)], "c string")
     r = df.select(names.name_skeletons(F.coalesce("c", F.lit(""))).alias("n"), scans.arabic_year("c").alias("y"), scans.page_head("c").alias("h"), scans.run_in_heading("c")["heading"].alias("r")).first()
     assert (r.n, r.y, r.h, r.r) == ([], None, None, None)
+
+
+def test_records_of_runs(spark):
+    raw = spark.createDataFrame([("a", "x", 3, 0.5, None), ("b", None, None, None, None), (None, "y", 1, 0.1, None), ("c", None, None, None, "boom")], "id string, english string, output_tokens int, latency_s double, error string")
+    made = records.run_rows(raw, run_id="r", adapter="batch")
+    assert [(r.item_id, r.translation, r.error) for r in made.collect()] == [("a", "x", None), ("b", "", "neither output nor error"), (None, "y", "no id"), ("c", "", "boom")]
+    assert tuple(records.run_summary(made).first()) == ("r", 4, 3, 4, 0.6)
+    old = spark.createDataFrame([("a", "x"), ("c", "z"), ("d", "w")], "item_id string, translation string")
+    got = {r.field: tuple(r)[1:] for r in records.compare_runs(made, old, "item_id", ["translation"]).collect()}
+    assert got == {"translation": (2, 1, 2, 1)}
+    one = spark.createDataFrame([("maker/gemma-27b-it", "2025-01-02 03:04:05")], "m string, at string").select(records.run_id(F.col("at").cast("timestamp"), "m", "batch").alias("x")).first().x
+    assert one == "20250102T030405Z-batch-gemma_27b"
+
+
+def test_pools_and_sheets(spark):
+    long = "word " * 30
+    pairs = spark.createDataFrame([("b", "1", long, "test"), ("a", "2", long, "test"), ("a", "3", "short", "test"), ("a", "4", long + "x", "train"), ("a", "5", None, None)], "source string, source_native_id string, arabic string, source_split string")
+    pool = records.candidate_pool(pairs, F.col("source_split") == "test")
+    assert [(r.source, r.source_native_id, r.band) for r in pool.collect()] == [("a", "2", "20-80")]
+    items = spark.createDataFrame([("i", "a b", "s", None, "x"), ("j", None, None, None, None)], "id string, arabic string, source string, genre string, band string")
+    outputs = spark.createDataFrame([("i", "one", "a b c", None)], "item_id string, system_id string, translation string, error string")
+    sheet = records.grading_rows(items, outputs, [("one", "A"), ("two", "B")], "b").orderBy("row_id").collect()
+    assert [(r.row_id, r.item_id, r.system_id, r.length_ratio) for r in sheet] == [("b-0001", "i", "one", "1.500"), ("b-0002", "i", "two", "0.000"), ("b-0003", "j", "one", ""), ("b-0004", "j", "two", "")]
+
+
+def test_spans_of_words(spark):
+    words = spark.createDataFrame([("k", i, w) for i, w in enumerate("a b a b c a".split())] + [("l", 0, "c")], "key string, at int, token string")
+    patterns = spark.createDataFrame([("p", ["a", "b"]), ("q", ["c"]), ("r", ["c", "b"]), ("s", []), ("t", ["b", "c", "a"])], "name string, tokens array<string>")
+    spans = timeline.find_spans(words, patterns, "key", "name")
+    assert sorted(map(tuple, spans.collect())) == [("p", "k", 0, 2), ("p", "k", 2, 4), ("q", "k", 4, 5), ("q", "l", 0, 1), ("t", "k", 3, 6)]
+    assert sorted(map(tuple, timeline.first_spans(spans, "name", "key").where("name = 'p'").collect())) == [("p", "k", 0, 2)]
+    bounds = spark.createDataFrame([("k", 1, 4)], "key string, low int, high int")
+    assert sorted((r.name, r.start, r.end, r.outside) for r in timeline.clamped(spans, bounds, "key").collect()) == [("p", 1, 2, True), ("p", 2, 4, False), ("t", 3, 4, True)]

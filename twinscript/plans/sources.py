@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.functions import text as t
+from twinscript.operators import records
 from twinscript.queries import register
 from twinscript.sources import catalogs
 from twinscript.sources.tables import table
@@ -95,12 +95,6 @@ def document_problems(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.document_paragraphs(p.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))).select("id", "problem")
 
 
-_ID = "sha256(coalesce(source, '') || ':' || coalesce(source_native_id, '') || ':' || coalesce(arabic, ''))"
-
-
-@register("item_ids", f"select id, source || ':' || substring({_ID}, 1, 12) as item_id from eval_items")
+@register("item_ids", "select id, source || ':' || source_native_id as item_id from eval_items")
 def item_ids(spark: SparkSession, d: str) -> DataFrame:
-    """A name for each pair that depends on its source and text only."""
-    rows = table(spark, d, "eval_items", "id", "source", "source_native_id", "arabic")
-    part = lambda c: F.coalesce(c, F.lit(""))
-    return rows.select("id", F.concat("source", F.lit(":"), F.substring(t.sha(F.concat_ws(":", part("source"), part("source_native_id"), part("arabic"))), 1, 12)).alias("item_id"))
+    return table(spark, d, "eval_items", "id", "source", "source_native_id").select("id", records.item_id().alias("item_id"))
