@@ -111,10 +111,11 @@ def canonical_texts(rows: DataFrame, key: list[str], text: str = "text") -> Data
 
     Only texts with an unusual character are cut into tokens, mapped and put together again.
     """
-    rows = rows.select(*key, F.col(text).alias("text"))
-    plain_text = F.trim(F.regexp_replace("text", f"[{SPACE_CLASS}]+", " "))
-    odd = rows.where(_suspicious(F.regexp_replace("text", f"[{SPACE_CLASS}]+", " ")))
-    easy = rows.where(F.col("text").isNull() | ~_suspicious(F.regexp_replace("text", f"[{SPACE_CLASS}]+", " "))).select(*key, "text", plain_text.alias("canonical"))
+    # squeezed and looked at once for each text, which is written since three steps read it
+    squeezed = rows.select(*key, F.col(text).alias("text")).withColumn("squeezed", F.trim(F.regexp_replace("text", f"[{SPACE_CLASS}]+", " ")))
+    rows = cut_lineage(squeezed.withColumn("odd", F.coalesce(_suspicious("squeezed"), F.lit(False))).drop("squeezed"))
+    odd = rows.where("odd").drop("odd")
+    easy = rows.where("not odd").select(*key, "text", F.trim(F.regexp_replace("text", f"[{SPACE_CLASS}]+", " ")).alias("canonical"))
     tokens = F.filter(F.split("text", f"[{SPACE_CLASS}]+"), lambda x: x != "")
     counts = rows.select(F.explode(tokens).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
     spelt = canonical_spellings(counts)
