@@ -55,7 +55,7 @@ def marked_lines(rows: DataFrame, key: str) -> DataFrame:
     """lines(key, at, line) with kind (meta, heading, paragraph, continued, other), level and clean text."""
     line = F.col("line")
     kind = F.when(line.startswith(META), "meta").when(line.rlike(HEADING), "heading").when(line.startswith(CONTINUED), "continued").when(line.rlike(PARAGRAPH), "paragraph").otherwise("other")
-    body = F.when(kind == "heading", F.regexp_extract(line, HEADING, 2)).when(kind == "continued", F.substring(line, 3, 1_000_000)).when(kind == "paragraph", F.substring(line, 3, 1_000_000)).otherwise(line)
+    body = F.when(kind == "heading", F.regexp_extract(line, HEADING, 2)).when(kind == "continued", F.expr("substring(line, 3)")).when(kind == "paragraph", F.expr("substring(line, 3)")).otherwise(line)
     return rows.select(key, "at", kind.alias("kind"), F.when(kind == "heading", F.length(F.regexp_extract(line, HEADING, 1))).alias("level"), t.squeeze(F.regexp_replace(body, INLINE, " ")).alias("text"))
 
 
