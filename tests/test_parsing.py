@@ -98,6 +98,13 @@ def test_catalogue_answers(spark):
     assert [(r.id, r.problem) for r in got.orderBy("id").collect()] == [("p0", "hash"), ("p1", "sequence")]
 
 
+def test_works_with_null_tags_and_empty_names(spark):
+    bodies = {"a": '{"tags": [null], "author_en": "", "title_en": ""}', "b": '{"tags": ["x", null, "y"], "author_en": "", "author_ar": "A"}', "c": '{"tags": [""]}', "d": '{"tags": []}', "e": "not found"}
+    works = catalogs.work_rows(spark.createDataFrame([(u, 1) for u in bodies], "uri string, rank int"), catalogs.metadata(spark.createDataFrame(list(bodies.items()), "uri string, body string"), "uri", "body"))
+    got = {r.uri: (r.genre, r.author, r.title) for r in works.collect()}
+    assert got == {"a": (None, "", None), "b": ("x;y", "A", None), "c": ("", None, None), "d": (None, None, None), "e": (None, None, None)}
+
+
 def test_a_classifier_learns_what_can_be_learnt(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 2))

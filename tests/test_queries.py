@@ -50,3 +50,12 @@ def test_query(spark, duck, name):
         want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_work_rows_tell_null_from_empty(spark, tmp_path):
+    works = [("0001A.B", 1, "", "T", None, None, 1), ("0002A.B", 2, None, "", 3, "", 1), ("A.B", 3, "N", None, 4, "law", 1), ("C.D", 4, "", "", 5, "law", 0), ("E.F", 5, "N", "T", None, None, None), (None, 6, "N", "T", 7, "law", 1)]
+    spark.createDataFrame(works, "uri string, priority_rank int, author string, title string, author_death_ah int, genre string, meta_found int").write.parquet(str(tmp_path / "works.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view works as select * from '{tmp_path}/works.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["work_rows"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(c.execute(ORACLES["work_rows"]).fetchall())

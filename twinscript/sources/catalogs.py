@@ -86,12 +86,13 @@ def pick(*names: str) -> Column:
 
 
 def work_rows(ranked: DataFrame, meta: DataFrame) -> DataFrame:
-    """The works table of ranked(uri, rank) and metadata(uri, meta)."""
+    """The works table of ranked(uri, rank) and metadata(uri, meta); without a tag other than null no genre, and an author given only as an empty text stays empty."""
     both = resolved(ranked.join(meta, "uri", "left"))
-    genre = F.when(F.size("meta.tags") > 0, F.array_join("meta.tags", ";"))
+    genre = F.when(F.size(F.array_compact("meta.tags")) > 0, F.array_join("meta.tags", ";"))
+    author = F.coalesce(pick("author_en", "author_ar", "author"), "meta.author_en", "meta.author_ar", "meta.author")
     evidence = F.to_json(F.struct(F.col("death_evidence").alias("author_death_ah"), F.col("lib_evidence").alias("source_lib_claim")), {"ignoreNullFields": "false"})
     return both.select(
-        "uri", F.col("rank").alias("priority_rank"), pick("author_en", "author_ar", "author").alias("author"), pick("title_en", "title_ar", "title").alias("title"), "author_death_ah", genre.alias("genre"), "source_lib_claim",
+        "uri", F.col("rank").alias("priority_rank"), author.alias("author"), pick("title_en", "title_ar", "title").alias("title"), "author_death_ah", genre.alias("genre"), "source_lib_claim",
         evidence.alias("source_evidence"), F.col("meta").isNotNull().cast("int").alias("meta_found"), *(F.lit("UNKNOWN").alias(c) for c in ("arabic_rights", "english_rights", "commercial_status")),
     )
 
