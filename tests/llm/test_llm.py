@@ -294,6 +294,55 @@ def test_windows_keep_to_the_mix_over_partitions(spark):
     assert (share.iloc[:30] - 0.5).abs().mean() < 0.05 and skewed.tokens.sum() == sum(n for _, s, n in sizes if s != "c")
 
 
+def round_robin(pieces, capacity, quantum, window):
+    """Deficit round-robin and best fit, visit by visit."""
+    order = sorted(quantum)
+    queues = {s: [i for i, p in enumerate(pieces) if p[0] == s] for s in order}
+    credit = dict.fromkeys(order, 0)
+    at, arrived, base, out = 0, True, 0, []
+    while any(queues.values()):
+        chosen, size, bins, back = [], 0, [], []
+        while any(queues.values()) and size < capacity * window:
+            s = order[at]
+            credit[s] += quantum[s] if arrived else 0
+            arrived = False
+            while queues[s] and pieces[queues[s][0]][1] <= credit[s] and size < capacity * window:
+                chosen.append(queues[s].pop(0))
+                credit[s] -= pieces[chosen[-1]][1]
+                size += pieces[chosen[-1]][1]
+            if size < capacity * window:
+                at, arrived = (at + 1) % len(order), True
+        for i in sorted(chosen, key=lambda i: (-pieces[i][1], i)):
+            n = pieces[i][1]
+            fits = min((b for b in bins if b[0] >= n), default=None)
+            if fits is None and len(bins) < window:
+                bins.append(fits := [capacity, base + len(bins)])
+            if fits is None:
+                back.append(i)
+                continue
+            out.append((i, fits[1], capacity - fits[0]))
+            fits[0] -= n
+        for i in sorted(back, reverse=True):
+            queues[pieces[i][0]].insert(0, i)
+            credit[pieces[i][0]] += pieces[i][1]
+        base += len(bins)
+    return out
+
+
+def test_packing_is_deficit_round_robin():
+    rng = random.Random(7)
+    shares = {"a": 0.5, "b": 0.25, "c": 0.125, "d": 0.125}
+    for window in (1, 2, 4) * 40:
+        pieces = [(s, 1) for s in "abcd"] + [(rng.choice("aabcd"), rng.choice([0, rng.randint(1, 64), rng.randint(1, 12)])) for _ in range(rng.randint(0, 150))]
+        assert p08_packing.fill(pieces, 64, shares, window) == round_robin(pieces, 64, {s: 64 * v for s, v in shares.items()}, window)
+    # a source without a share waits for all others, however small its texts and however far theirs are from being paid
+    pieces = [("a", 90)] * 20 + [("z", 1)] * 20
+    placed = p08_packing.fill(pieces, 100, {"a": 1.0, "z": 0.0}, 4)
+    assert sorted(i for i, _, _ in placed) == list(range(40))
+    assert [i for i, c, _ in placed if c < 16 and i >= 20] == [] and max(c for _, c, _ in placed) == 19
+    assert p08_packing.fill([("a", 5), ("z", 0), ("z", 7)], 10, {}, 2) == [(2, 0, 0), (0, 1, 0), (1, 0, 7)]
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "s", "hello world"), (2, "s", ""), (3, None, None)], "id bigint, source string, text string")
     assert rows(p08_packing.token_counts(df).select("id", "tokens")) == [(1, 2), (2, 0), (3, 0)]
