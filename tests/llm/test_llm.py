@@ -196,6 +196,23 @@ def test_editions_by_rules(spark):
     assert got == {1: "0106", 2: "0107", 5: "0200"}
 
 
+def test_editions_plans_stay_small(spark, monkeypatch):
+    # the driver holds every plan: matches are one table, and passes don't run each other's anti-joins again
+    scans, antijoins = [], []
+
+    def count(df):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        scans.append(plan.collectLeaves().size())
+        antijoins.append(plan.toString().count("Join LeftAnti"))
+        return df
+
+    cut = p04_entities.cut_lineage
+    monkeypatch.setattr(p04_entities, "cut_lineage", lambda df: cut(count(df)))
+    count(p04_entities.editions(*(spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("translations", "works"))))
+    assert scans[-1] <= 4 and max(scans) <= len(p04_entities.RULES) and sum(scans) <= 130
+    assert len(p04_entities.RULES) - 1 <= sum(antijoins) <= 20, antijoins
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,17 +96,13 @@ def _key(words: Column) -> Column:
 
 def lexicon(works: DataFrame, titles: DataFrame) -> DataFrame:
     """(word, known): words and phrases of titles with the catalogue's words for them."""
-    known = works.select(F.explode("words").alias("k")).distinct().unionByName(works.where(F.size("words") == 1).select(F.col("words")[0].alias("k"))).distinct()
-    sides = [("main", "inner"), ("arabic", "main"), ("arabic", "inner")]
-    pairs = [titles.select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides] + [works.select(F.col("title_words").alias("a"), F.col("words").alias("b"))]
-    both = pairs[0]
-    for p in pairs[1:]:
-        both = both.unionByName(p)
-    both = both.where((F.size("a") > 0) & (F.size("b") > 0))
-    even = both.where(F.size("a") == F.size("b")).select(F.explode(F.arrays_zip("a", "b")).alias("z")).select(F.col("z.a").alias("a"), F.col("z.b").alias("b"))
-    odd = both.where((F.size("a") != F.size("b")) & ((F.size("a") == 1) | (F.size("b") == 1))).select(_key(F.col("a")).alias("a"), _key(F.col("b")).alias("b"))
-    either = even.unionByName(odd)
-    seen = either.unionByName(either.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    known = cut_lineage(works.select(F.explode("words").alias("k")).distinct())
+    sides = F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("main", "inner"), ("arabic", "main"), ("arabic", "inner"))))
+    both = titles.select(F.explode(sides).alias("z")).select("z.a", "z.b").unionByName(works.select(F.col("title_words").alias("a"), F.col("words").alias("b"))).where((F.size("a") > 0) & (F.size("b") > 0))
+    even = F.when(F.size("a") == F.size("b"), F.arrays_zip("a", "b"))
+    odd = even.when((F.size("a") == 1) | (F.size("b") == 1), F.array(F.struct(_key(F.col("a")).alias("a"), _key(F.col("b")).alias("b"))))
+    either = both.select(odd.alias("z")).select(F.explode(F.concat("z", F.transform("z", lambda z: F.struct(z["b"].alias("a"), z["a"].alias("b"))))).alias("z")).select("z.a", "z.b")
+    seen = either.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     seen = cut_lineage(seen)
     w = Window.partitionBy("word")
     ranked = lambda df: df.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "known"))).where((F.col("r") == 1) & (F.col("share") >= LEAST_SHARE)).select("word", "known", "n")
@@ -192,22 +189,23 @@ ATTRIBUTES = ("given", "death", "family", "given_bones", "bones")
 
 def cascade(rows: DataFrame, works: DataFrame) -> DataFrame:
     """(id, rule, uri, openiti_uri): each row with its first rule that points to one work, by a join and an anti-join for each rule."""
-    resolved: DataFrame | None = None
-    rest = rows
+    passes: list[DataFrame] = []
+    whole = rest = rows
     for number, (name, fields, missing) in enumerate(RULES):
         a = rest.select("id", "openiti_uri", *(F.col(c).alias(f"a_{c}") for c in ATTRIBUTES), F.explode(_keys(fields, missing)).alias("key"))
-        b = works.select("uri", *(F.col(c).alias(f"b_{c}") for c in ATTRIBUTES), F.explode(_keys(fields, ())).alias("key")).distinct()
+        b = works.select("uri", *(F.col(c).alias(f"b_{c}") for c in ATTRIBUTES), F.explode(_keys(fields, ())).alias("key"))
         if fields == ("title",):
             # a title without an author only counts where it is one work's, so that no common title is ever paired with all its works
             b = b.join(b.groupBy("key").agg(F.min("uri").alias("low"), F.max("uri").alias("high")).where("low = high").select("key"), "key", "left_semi")
         pairs = a.join(b, "key").where(_agree(name, fields))
         one = pairs.groupBy("id").agg(F.first("openiti_uri", ignorenulls=True).alias("openiti_uri"), F.min("uri").alias("low"), F.max("uri").alias("uri")).where("low = uri")
-        found = cut_lineage(one.select("id", F.lit(number).alias("rule"), "uri", "openiti_uri"))
-        resolved = found if resolved is None else resolved.unionByName(found)
-        rest = rest.join(found.select("id"), "id", "left_anti")
+        passes.append(cut_lineage(one.select("id", F.lit(number).alias("rule"), "uri", "openiti_uri")))
+        # one anti-join with all that is resolved since rest was last written: nested ones would run again in every pass
+        rest = whole.join(reduce(DataFrame.unionByName, passes[number // 4 * 4 :]).select("id"), "id", "left_anti")
         if number % 4 == 3:
-            rest = cut_lineage(rest)
-    return resolved
+            whole = rest = cut_lineage(rest)
+    # one table: a union would be planned anew, scan by scan, wherever the matches are used
+    return cut_lineage(reduce(DataFrame.unionByName, passes))
 
 
 def confidences(found: DataFrame, rows: DataFrame, works: DataFrame) -> DataFrame:
@@ -216,9 +214,11 @@ def confidences(found: DataFrame, rows: DataFrame, works: DataFrame) -> DataFram
     smoothed = lambda right, wrong: (F.coalesce(right, F.lit(0)) + yes) / (F.coalesce(right, F.lit(0)) + F.coalesce(wrong, F.lit(0)) + yes + no)
     by_uri = {n: tuple(f for f in fields if f != "uri") for n, (_, fields, _) in enumerate(RULES) if "uri" in fields}
     alone = next(n for n, (_, fields, _) in enumerate(RULES) if fields == ("title",))
-    labelled = found.where("trim(openiti_uri) <> ''").withColumn("stated", F.trim("openiti_uri"))
-    plain = labelled.where(~F.col("rule").isin(*by_uri, alone)).withColumn("right", F.col("stated") == F.col("uri"))
-    trust = found.select("rule").distinct().join(plain.groupBy("rule").agg(F.count_if("right").alias("ok"), F.count_if(~F.col("right")).alias("bad")), "rule", "left").withColumn("confidence", smoothed(F.col("ok"), F.col("bad")))
+    labelled = F.coalesce(F.trim("openiti_uri") != "", F.lit(False))
+    right = F.trim("openiti_uri") == F.col("uri")
+    # those of by_uri and alone are replaced below
+    trust = found.groupBy("rule").agg(smoothed(F.count_if(labelled & right), F.count_if(labelled & ~right)).alias("confidence"))
+    plain = found.where(labelled & ~F.col("rule").isin(*by_uri, alone)).withColumn("stated", F.trim("openiti_uri")).withColumn("right", right)
     # wrong uris whose work agrees with the row all the same, attribute by attribute
     own = rows.groupBy("id").agg(F.collect_set("title").alias("titles"), *(F.max(c).alias(c) for c in ("family", "given")))
     theirs = works.select(F.col("uri").alias("stated"), *(F.col(c).alias(f"their_{c}") for c in ("title", "family", "given"))).dropDuplicates(["stated"])
@@ -257,7 +257,7 @@ def editions(translations: DataFrame, works: DataFrame) -> DataFrame:
     right = cut_lineage(right.withColumn("topics", F.when(F.col("topics") != "", F.col("topics"))))
     found = cascade(rows, right)
     names = F.create_map(*(x for n, (name, _, _) in enumerate(RULES) for x in (F.lit(n), F.lit(name))))
-    trusted = found.join(confidences(found, rows, right), "rule").where(F.col("confidence") >= LEAST_CONFIDENCE)
+    trusted = found.join(cut_lineage(confidences(found, rows, right)), "rule").where(F.col("confidence") >= LEAST_CONFIDENCE)
     return trusted.select(F.col("id").alias("translation_id"), "uri", names[F.col("rule")].alias("rule"), "confidence")
 
 
